@@ -271,17 +271,18 @@ def wide_fingerprint(parts: list[bytes]) -> np.ndarray:
     return np.packbits(2 * out > len(h), axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, budget: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = 0.8, slack: float = 0.04, shingle: int = 5, budget: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(node, d, root) for each distinct text: node is ``text_node``, d its smallest id (null: last), root names its group.
 
     Texts link where their sets of ``shingle``-word shingles have a Jaccard
-    similarity of about ``similarity`` or more: judged by SimHashes of 64 *
-    TABLES bits over the shingles, whose differing bits measure the angle.
+    similarity of ``similarity`` or more, judged by SimHashes of 64 * TABLES bits
+    over the shingles, whose differing bits measure the angle. That estimate
+    has an error of some hundredths, so pairs pass down to ``slack`` below.
     Candidates come from the trie self-join over TABLES SimHashes of the set of
     words, which changes far less under edits than the shingles do; every
     candidate pair is judged, none is capped. Null and empty texts are one group.
     """
-    most = int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * 64 * TABLES)
+    most = int(np.arccos(2 * (similarity - slack) / (1 + similarity - slack)) / np.pi * 64 * TABLES)
     rows = docs.select(text_node(F.col(text)).alias("node"), F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.col(text).cast("binary").alias("t"))
 
     def run(batches):
