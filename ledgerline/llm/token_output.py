@@ -11,7 +11,12 @@ record, then their masked checksum, so a reader can fetch records in any order.
 
 from __future__ import annotations
 
+import array
+import json
+import os
+import re
 import struct
+import sys
 import zlib
 
 import numpy as np
@@ -24,8 +29,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import materialize, scratch_path
 
-#: Entries that a task's cache of encoded words holds before it starts anew.
-CACHE = 300_000
+#: Encoded words in each of the two generations of a process's cache; words not met again drop out.
+CACHE = 400_000
 HEAD, FOOT, PAYLOAD = "<QI", "<I", "<Bq"
 HEAD_SIZE, FOOT_SIZE, PAYLOAD_SIZE = map(struct.calcsize, (HEAD, FOOT, PAYLOAD))
 INDEX = np.dtype([("offset", "<u8"), ("n_tokens", "<u8")])
@@ -39,43 +44,100 @@ def masked(data: bytes) -> int:
 
 
 class Encoder:
-    """Encodes whole texts; words seen before come from a bounded cache.
+    """Encodes whole texts to packed ids; words met lately come from a bounded cache of two generations.
 
     The tokenizer's normalizer and splitter never join what ASCII white space
-    parts (``test_token_output`` compares with whole-text calls), so a text's
-    ids are its words' ids in order. Texts that hold a marker of a special
-    token are encoded in one call.
+    parts, so a text's ids are its words' ids in order. A word of plain letters
+    with closing marks is two pieces, the letters and the marks, for any
+    tokenizer that splits at the end of letters (``_bare`` tries it); its letters then need the model alone. Other words are encoded as they
+    stand, and texts that hold a marker of a special token in one call.
     """
 
-    def __init__(self, path: str):
-        import os
+    MARKS = b".,!?;:"
+    PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.kind = "<u2" if self.tok.get_vocab_size() <= 65_536 else "<u4"
         self.special = [x.content for x in self.tok.get_added_tokens_decoder().values()]
-        self.seen: dict[bytes, list[int]] = {}
+        self.seen: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.bare = self._bare()
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """This process's encoder: a reused worker keeps its cache from task to task."""
+        import tokenizers
+
+        kept = tokenizers.__dict__.setdefault("_ledgerline_encoders", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
+
+    def _bare(self):
+        """The model behind a byte-level step alone, if that gives plain words the same ids; else None."""
+        from tokenizers import Tokenizer
 
-    def __call__(self, texts: list[bytes]) -> list[list[int]]:
-        seen, out = self.seen, []
-        if len(seen) > CACHE:
-            seen.clear()
+        form = json.loads(self.tok.to_str())
+        if "ByteLevel" not in json.dumps(form.get("pre_tokenizer")):
+            return None
+        form |= {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}, "post_processor": None, "added_tokens": []}
+        bare = Tokenizer.from_str(json.dumps(form))
+        tries = ("word", "étude", "straße", "zx" * 20)
+        whole = lambda x: self.tok.encode(x, add_special_tokens=False).ids
+        same = all(bare.encode(x).ids == whole(x) and whole(f"{x}., A{x.upper().replace('SS', 'ß')}!") == whole(x) + whole(".,") + whole(f"a{x}") + whole("!") for x in tries)
+        return bare if same else None
+
+    def pack(self, ids: list[int]) -> bytes:
+        """Little-endian ids in the width of the vocabulary."""
+        out = array.array("H" if self.kind == "<u2" else "I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def _learn(self, words: set[bytes]) -> None:
+        seen, older, plain, rest, both = self.seen, self.older, {}, set(), []
+        for w in words:
+            if w in older:
+                seen[w] = older[w]
+                continue
+            core = w.rstrip(self.MARKS) if self.bare else b""
+            low = core.decode().lower() if core else ""
+            if core and self.PLAIN.fullmatch(low):
+                tail = w[len(core) :]
+                if core not in seen:
+                    if core in older:
+                        seen[core] = older[core]
+                    else:
+                        plain[core] = low
+                if tail:
+                    both.append((w, core, tail))
+                    if tail not in seen:
+                        rest.add(tail)
+            else:
+                rest.add(w)
+        for tok, part in ((self.bare, plain), (self.tok, {w: w.decode() for w in rest})):
+            if part:
+                for w, e in zip(part, tok.encode_batch_fast(list(part.values()), add_special_tokens=False), strict=True):
+                    seen[w] = self.pack(e.ids)
+        for w, core, tail in both:
+            seen[w] = seen[core] + seen[tail]
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.seen) > CACHE:
+            self.older, self.seen = self.seen, {}
+        seen = self.seen
         whole = {i for i, t in enumerate(texts) if b"<|" in t and any(s in t.decode() for s in self.special)}
         split = [[] if i in whole else t.lower().split() for i, t in enumerate(texts)]
-        new = list({w for words in split for w in words if w not in seen})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                seen[w] = e.ids
-        for i, words in enumerate(split):
-            if i in whole:
-                out.append(self.tok.encode(texts[i].decode(), add_special_tokens=False).ids)
-            else:
-                ids: list[int] = []
-                for w in words:
-                    ids += seen[w]
-                out.append(ids)
+        new = set().union(*split).difference(seen)
+        if new:
+            self._learn(new)
+        out = [b"".join(map(seen.__getitem__, words)) for words in split]
+        for i in whole:
+            out[i] = self.pack(self.tok.encode(texts[i].decode(), add_special_tokens=False).ids)
         return out
 
 
@@ -97,8 +159,9 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, path: str, text:
         fs.create_dir(root, recursive=True)
         name = f"shard-{shard:06d}"
         tmp = f"{root}/.{name}-{task.taskAttemptId()}"
-        enc = Encoder(tokenizer)
-        kind = "<u2" if enc.tok.get_vocab_size() <= 65_536 else "<u4"
+        enc = Encoder.of(tokenizer)
+        wide = np.dtype(enc.kind).itemsize
+        end = enc.pack([end_id])
         n_docs = n_ids = at = 0
         index: list[tuple[int, int]] = []
         with fs.open_output_stream(f"{tmp}.rec") as data, fs.open_output_stream(f"{tmp}.idx") as idx:
@@ -109,12 +172,13 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, path: str, text:
                     ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
                     frames = []
                     for d, tokens in zip(ids, enc(texts), strict=True):
-                        body = struct.pack(PAYLOAD, d is None, d or 0) + np.array([*tokens, end_id], dtype=kind).tobytes()
+                        body = struct.pack(PAYLOAD, d is None, d or 0) + tokens + end
                         size = struct.pack("<Q", len(body))
                         frames += [size, struct.pack(FOOT, masked(size)), body, struct.pack(FOOT, masked(body))]
-                        index.append((at, len(tokens) + 1))
+                        n = len(tokens) // wide + 1
+                        index.append((at, n))
                         at += len(body) + HEAD_SIZE + FOOT_SIZE
-                        n_ids += len(tokens) + 1
+                        n_ids += n
                     data.write(b"".join(frames))
                     n_docs += len(ids)
                     raw = np.array(index, dtype=INDEX).tobytes()
@@ -123,12 +187,11 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, path: str, text:
                     index.clear()
             idx.write(struct.pack(FOOT, (((crc >> 15) | (crc << 17)) + 0xA282EAD8) & 0xFFFFFFFF))
         if not n_docs:
-            for end in ("rec", "idx"):
-                fs.delete_file(f"{tmp}.{end}")
+            for ext in ("rec", "idx"):
+                fs.delete_file(f"{tmp}.{ext}")
             return
-        for end in ("rec", "idx"):
-            fs.move(f"{tmp}.{end}", f"{root}/{name}.{end}")
-        wide = 2 if kind == "<u2" else 4
+        for ext in ("rec", "idx"):
+            fs.move(f"{tmp}.{ext}", f"{root}/{name}.{ext}")
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [f"{path}/{name}"], "width": pa.array([wide], pa.int32()), "n_docs": [n_docs], "n_ids": [n_ids]})
 
     return materialize(ranged.mapInArrow(run, "shard int, file string, width int, n_docs long, n_ids long"), "token-manifest")
