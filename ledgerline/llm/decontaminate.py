@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import lower_ascii, materialize, settled
 
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words before A-Z are lowered: the capitals are still part of a word.
+WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Texts with candidates are found by a broadcast of up to this many 32-byte keys, beyond it by a shuffled join.
+BROADCAST_KEYS = 500_000
 #: Benchmark fingerprints are broadcast up to this many rows (16 bytes each), beyond it both sides are shuffled.
 BROADCAST_ROWS = 200_000
 
 
 def _words(text):
-    return F.coalesce(F.regexp_extract_all(lower_ascii(text), F.lit(WORDS), F.lit(0)), F.array().cast("array<string>"))
+    found = F.coalesce(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), F.array().cast("array<string>"))
+    # lower() is fast, and right for words of ASCII alone
+    return F.transform(found, lambda w: F.when(F.octet_length(w) == F.char_length(w), F.lower(w)).otherwise(lower_ascii(w)))
 
 
 def _shape(length: int) -> tuple[int, int]:
@@ -93,7 +98,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
         sides = F.broadcast(prints) if n <= BROADCAST_ROWS else prints
         exploded = _winnow(base.select("key", _words(F.col("t")).alias("words")), length).select("key", F.explode("sel").alias("h"))
         candidates = materialize(exploded.join(sides, "h").groupBy("key", "item").agg(F.collect_set("h").alias("hs")), "bench-candidates")
-        texts = base.join(candidates.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("t").alias("t"))
+        keys = candidates.select("key").distinct()
+        keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+        texts = base.join(keys, "key", "left_semi").groupBy("key").agg(F.first("t").alias("t"))
         pairs = texts.select("key", _words(F.col("t")).alias("words")).join(candidates, "key").join(items.select("item", "iw"), "item")
         found.append(_extend(pairs, k, window))
     if not found:
@@ -113,4 +120,4 @@ def text_key(text):
 
 def n_words(text):
     """Words of a text as the windows count them."""
-    return F.coalesce(F.regexp_count(lower_ascii(text), F.lit(WORDS)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
