@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries, written apart from the operators."""
 
-_EV = """ev as (select user_id, date_trunc('week', ts)::date as week, row_number() over (partition by user_id, date_trunc('week', ts) order by ts, event_id) rn,
+_EV = """ev as (select user_id, date_trunc('week', ts)::date::varchar as week, row_number() over (partition by user_id, date_trunc('week', ts) order by ts, event_id) rn,
   case when {full} and value < 10 then 'T' when {full} and value > 150 then 'U' when event_type = 'error' then 'R' else 'S' end r, event_id from events)"""
 
 

@@ -24,4 +24,4 @@ def saga_events(events: DataFrame, full: bool = False) -> DataFrame:
     result = F.when(F.col("event_type") == "error", "R").otherwise("S")
     if full:
         result = F.when(F.col("value") < TERMINAL_BELOW, "T").when(F.col("value") > UNKNOWN_ABOVE, "U").otherwise(result)
-    return events.select("user_id", F.date_trunc("week", "ts").cast("date").alias("week"), "ts", "event_id", result.alias("result"))
+    return events.select("user_id", F.date_trunc("week", "ts").cast("date").cast("string").alias("week"), "ts", "event_id", result.alias("result"))
