@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import lower_ascii, materialize, settled
 
-#: Words before A-Z are lowered: the capitals are still part of a word.
-WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words before A-Z are lowered: the complement of the separators, named by what it holds, which regular expressions match far faster.
+WORDS = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 #: Texts with candidates are found by a broadcast of up to this many 32-byte keys, beyond it by a shuffled join.
 BROADCAST_KEYS = 500_000
 #: Benchmark fingerprints are broadcast up to this many rows (16 bytes each), beyond it both sides are shuffled.
