@@ -127,12 +127,12 @@ def common_prefixes(buf: bytes, sa: np.ndarray, depth: int) -> np.ndarray:
     lcp = np.zeros(max(0, len(sa) - 1), np.int64)
     words = np.ndarray((max(0, len(buf) - 7),), dtype="<u8", buffer=buf, strides=(1,)) if len(buf) > 7 else None
     alive = np.arange(len(lcp))
-    for at in range(0, depth, 8):
+    for at in [*range(0, depth - 7, 8), *[depth - 8] * (depth % 8 > 0)]:  # the last step may overlap the one before
         a, b = sa[alive] + at, sa[alive + 1] + at
         alive = alive[words[a] == words[b]]
         if not len(alive):
             break
-        lcp[alive] += 8
+        lcp[alive] = at + 8
     return lcp
 
 
