@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import bisect
-import math
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
@@ -35,25 +34,47 @@ def script_of(letter: str) -> str:
 
 def _grams(word: str) -> list[str]:
     w = f"<{word}>"
-    return [w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)] + [w]
+    return [*w, *[w[i : i + 2] for i in range(len(w) - 1)], *[w[i : i + 3] for i in range(len(w) - 2)], w]
 
 
 @dataclass
 class Model:
-    """Languages, log shares of n-grams by language, and the scripts of each language."""
+    """Languages, the row of each n-gram in the table of log shares (the last row: unseen), and the languages of each script."""
 
     langs: list[str]
-    grams: dict[str, np.ndarray]
-    unseen: np.ndarray
+    grams: dict[str, int]
+    table: np.ndarray
     scripts: dict[str, np.ndarray] = field(default_factory=dict)
 
-    def word(self, word: str) -> np.ndarray:
-        """Mean log share of the word's n-grams, scaled by the square root of its length; -inf for languages without its script."""
-        keys = _grams(word)
-        s = sum((self.grams.get(k, self.unseen) for k in keys), np.zeros(len(self.langs)))
-        s = s / len(keys) * math.sqrt(len(word) + 1) * 2
-        fits = self.scripts.get(script_of(word[0]))
-        return np.where(fits, s, s.min() - 20) if fits is not None and fits.any() else s
+    def words(self, words: list[str]) -> np.ndarray:
+        """Mean log share of each word's n-grams, scaled by the root of its length; far lower for languages without its script."""
+        unseen, get = len(self.table) - 1, self.grams.get
+        rows = [[get(g, unseen) for g in _grams(w)] for w in words]
+        n = np.array([len(r) for r in rows])
+        sums = np.add.reduceat(self.table[np.array([i for r in rows for i in r])], np.cumsum(n) - n, axis=0)
+        out = sums / n[:, None] * (2 * np.sqrt([len(w) + 1 for w in words]))[:, None]
+        fits = np.array([self.scripts.get(script_of(w[0]), np.ones(len(self.langs), bool)) for w in words])
+        fits |= ~fits.any(axis=1, keepdims=True)
+        return np.where(fits, out, out.min(axis=1, keepdims=True) - 20)
+
+
+class Scores:
+    """Scores of words, remembered up to a bound."""
+
+    def __init__(self, model: Model):
+        self.model, self.seen, self.rows = model, {}, np.zeros((1024, len(model.langs)), np.float32)
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        if len(self.seen) > CACHE:
+            self.seen.clear()
+        new = list(set(words).difference(self.seen))
+        if new:
+            at, need = len(self.seen), len(self.seen) + len(new)
+            if need > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros((max(need, len(self.rows)), self.rows.shape[1]), np.float32)])
+            self.rows[at:need] = self.model.words(new)
+            self.seen.update(zip(new, range(at, need), strict=True))
+        return self.rows[np.fromiter(map(self.seen.__getitem__, words), dtype=np.int64, count=len(words))]
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, least: float = 0.01) -> Model:
@@ -97,8 +118,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     letters = sum(scripts.values(), np.zeros(len(langs)))
     return Model(
         langs,
-        {g: np.log((x + 0.5) / (total + 1)) for g, x in table.items()},
-        np.log(0.5 / (total + 1)),
+        {g: i for i, g in enumerate(table)},
+        np.log((np.array([*table.values(), np.zeros(len(langs))]) + 0.5) / (total + 1)).astype(np.float32),
         {s: x >= least * np.maximum(letters, 1) for s, x in scripts.items()},
     )
 
@@ -139,22 +160,17 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     return path
 
 
-def label_spans(model: Model, texts: list[str | None], seen: dict[str, int], table: list[np.ndarray], penalty: float):
+def label_spans(scores: Scores, texts: list[str | None], penalty: float):
     """For each text: (language, share of its letters, list of (start, end, language)) or None if it has no letter."""
-    words, spots = [], []
+    model, words, spots = scores.model, [], []
     for t in texts:
-        found = [(m.start(), m.end()) for m in _WORD.finditer(t or "")]
+        found = [m.span() for m in _WORD.finditer(t or "")]
         spots.append(found)
-        low = [t[a:b].lower() for a, b in found]
-        for w in low:
-            if w not in seen:
-                seen[w] = len(table)
-                table.append(model.word(w))
-        words.append([seen[w] for w in low])
-    lengths = np.array([len(w) for w in words])
-    if not lengths.sum():
+        words += [t[a:b].lower() for a, b in found]
+    lengths = np.array([len(x) for x in spots])
+    if not words:
         return [None] * len(texts)
-    path = viterbi(np.array(table)[np.concatenate([np.array(w, np.int64) for w in words])], lengths, penalty)
+    path = viterbi(scores(words), lengths, penalty)
     out, at = [], 0
     for found in spots:
         if not found:
@@ -184,16 +200,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str
 
     def run(batches):
         m = shared.value
-        seen: dict[str, int] = {}
-        table: list[np.ndarray] = []
+        scores = Scores(m)
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
-                if len(table) > CACHE:
-                    seen.clear()
-                    table.clear()
                 texts = part.column("__text").to_pylist()
-                told = label_spans(m, texts, seen, table, penalty) if m.langs else [None] * len(texts)
+                told = label_spans(scores, texts, penalty) if m.langs else [None] * len(texts)
                 cols = [part.column(c) for c in carry] + [pa.array([x[0] if x else "und" for x in told]), pa.array([x[1] if x else 0.0 for x in told])]
                 if with_spans:
                     cols.append(pa.array([[{"start": a, "end": b, "lang": la} for a, b, la in x[2]] if x else [] for x in told], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
