@@ -12,6 +12,8 @@ EVERY = 3
 #: Base of the rolling hash and moduli of the two line hashes.
 BASE, OWN, BEFORE = 1_000_003, 2_147_483_647, 2_147_483
 _LAST = (1 << 63) - 1
+#: Keys of repeated chunks are broadcast up to this many (32 bytes each), beyond it the chunks are shuffled.
+BROADCAST_KEYS = 500_000
 
 
 def chunks(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -49,6 +51,7 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     # equal rows are one occurrence: least and greatest place differ where there are two
     place = F.struct("d", "tk", "i")
     often = materialize(every.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h"), "line-often")
+    often = F.broadcast(often) if often.count() <= BROADCAST_KEYS else often
     again = materialize(every.join(often, "h", "left_semi"), "line-chunks")
     first = again.groupBy("h", "body").agg(F.min(place).alias("first"))
     # the join on the body is the comparison of bytes
