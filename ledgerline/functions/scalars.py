@@ -85,3 +85,53 @@ def jitter(seed: Column, ordinal: Column, most: int) -> Column:
 def due_at(now: Column, base: int, most: int, ordinal: Column) -> Column:
     """When a retry is due, without jitter."""
     return now + backoff_delay(base, most, ordinal)
+
+
+def little_endian(x: Column) -> Column:
+    """A non-negative integer as 8 little-endian bytes."""
+    h = F.lpad(F.hex(x.cast("long")), 16, "0")
+    return F.unhex(F.concat(*[F.substring(h, i, 2) for i in range(15, 0, -2)]))
+
+
+def read_little_endian(data: Column, start: int) -> Column:
+    """The integer (below 2**63) in the 8 little-endian bytes of ``data`` from the 1-based ``start``."""
+    h = F.hex(F.substring(data, start, 8))
+    return F.conv(F.concat(*[F.substring(h, i, 2) for i in range(15, 0, -2)]), 16, 10).cast("long")
+
+
+def encode_record(tag: bytes, variant: Column, counters: list[Column]) -> Column:
+    """A fixed-width record: tag, variant byte, little-endian counters."""
+    return F.concat(F.lit(tag), big_endian(variant, 1), *map(little_endian, counters))
+
+
+def record_code(data: Column, tag: bytes, n_counters: int) -> Column:
+    """Why bytes are no such record (no byte may trail), or null."""
+    return F.when(F.substring(data, 1, len(tag)) != F.lit(tag), "UnknownTag").when(F.octet_length(data) != len(tag) + 1 + 8 * n_counters, "InvalidLength")
+
+
+def digest_numbers(digest: Column) -> Column:
+    """A binary digest as the array of its 32 byte values, as JSON has it."""
+    h = F.hex(digest)
+    return F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+
+
+def wire_json(*fields: Column) -> Column:
+    """Compact JSON of the fields in their order, nulls kept."""
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
+def parse_envelope(data: Column, schema: str) -> Column:
+    """A JSON envelope as a struct; malformed ones give a struct of nulls."""
+    return F.from_json(data, schema, {"mode": "PERMISSIVE"})
+
+
+def blob_code(schema: Column, want_schema: Column, data: Column, want_bytes: Column, want_digest: Column) -> Column:
+    """Why a blob isn't the one referred to: schema, then length, then digest; null if it is."""
+    return F.when(schema != want_schema, "SchemaMismatch").when(F.octet_length(data) != want_bytes, "LengthMismatch").when(F.sha2(data, 256) != want_digest, "DigestMismatch")
+
+
+def error_class(error: Column) -> Column:
+    """The diagnostic class of a port's error."""
+    # fixed values
+    classes = {"Unavailable": "Availability", "Cancelled": "Availability", "Conflict": "Conflict", "Unauthorized": "Authorization", "QuotaExceeded": "Invariant", "Invariant": "Invariant", "TimedOut": "Timeout", "Ambiguous": "Ambiguous"}
+    return F.element_at(F.create_map(*[F.lit(x) for pair in classes.items() for x in pair]), error)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,3 +27,11 @@ def saga_events(events: DataFrame, full: bool = False) -> DataFrame:
     if full:
         result = F.when(F.col("value") < TERMINAL_BELOW, "T").when(F.col("value") > UNKNOWN_ABOVE, "U").otherwise(result)
     return events.select("user_id", F.date_trunc("week", "ts").cast("date").cast("string").alias("week"), "ts", "event_id", result.alias("result"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The frame with its lineage cut, in the session's ``spark.checkpoint.dir`` (a temporary folder only where that is unset)."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ledgerline-"))
+    return df.checkpoint()
