@@ -44,3 +44,51 @@ def required_control(operation: Column) -> Column:
 def task_evidence(status: Column, contract: Column) -> Column:
     """A finished task as evidence for its effect."""
     return F.when(status == "Completed", "Succeeded").when((status == "Exhausted") & (contract == "Pure"), "KnownFailure").otherwise("Unknown")
+
+
+def expectations(commands: DataFrame, scopes: DataFrame, on: str) -> DataFrame:
+    """Commands with their scope as expectations; code is TenantMismatch where the tenants differ, UnknownScope without one."""
+    both = commands.join(scopes.withColumnRenamed("tenant", "__tenant"), on, "left")
+    return both.withColumn("code", F.when(F.col("__tenant").isNull(), "UnknownScope").when(F.col("__tenant") != F.col("tenant"), "TenantMismatch")).drop("__tenant")
+
+
+def first_mismatch(*checks: tuple[str, Column, Column]) -> Column:
+    """The reason of the first pair of columns that differs (nulls are equal), or null."""
+    out = F.when(~checks[0][1].eqNullSafe(checks[0][2]), checks[0][0])
+    for code, a, b in checks[1:]:
+        out = out.when(~a.eqNullSafe(b), code)
+    return out
+
+
+def effect_code(stored_key: Column, derived_key: Column, action: Column, want_action: Column, now: Column, deadline: Column) -> Column:
+    """The first failing rule of an effect's evidence, or null; the deadline itself is in time."""
+    return F.when(stored_key != derived_key, "EffectKeyMismatch").when(action != want_action, "ActionMismatch").when(deadline.isNotNull() & (now > deadline), "DeadlineExceeded")
+
+
+def task_outcome(bound: Column, status: Column, output_intact: Column, state: Column, contract: Column, evidence: Column) -> Column:
+    """What a finished task proves about its effect: its state, or the first failing rule.
+
+    ``state`` is the classifier's, ``evidence`` an independent verifier's (null: none), which only pure tasks do without.
+    """
+    pure = contract == "Pure"
+    return (
+        F.when(~bound, "BindingMismatch").when(status != "Completed", "NotCompleted").when(~output_intact, "CorruptOutput").when(state == "Unknown", "Unresolved")
+        .when(~pure & evidence.isNull(), "MissingEvidence").when(~pure & (evidence == "Unknown"), "Unresolved").when(~pure & (evidence != state), "EvidenceMismatch").otherwise(state)
+    )
+
+
+def dispatchable(actions: DataFrame, tasks: DataFrame, on: str) -> DataFrame:
+    """Committed actions with what to do: submit without a task, recover an unfinished one, accept a finished one; a task without a committed action is an orphan."""
+    both = actions.select(on, F.lit(True).alias("__a")).join(tasks.select(on, "status"), on, "full_outer")
+    todo = F.when(F.col("__a").isNull(), "orphan").when(F.col("status").isNull(), "submit").when(F.col("status").isin("Completed", "Exhausted"), "accept").otherwise("recover")
+    return both.select(on, todo.alias("todo"))
+
+
+def bind_checkpoints(evidence: DataFrame, checkpoints: DataFrame, on: list[str]) -> DataFrame:
+    """Each piece of evidence with whether a checkpoint of the same scope, generation and blob exists."""
+    return evidence.join(checkpoints.select(*on, F.lit(True).alias("__c")).distinct(), on, "left").withColumn("bound", F.col("__c").isNotNull()).drop("__c")
+
+
+def authorized(requests: DataFrame, authorizations: DataFrame, on: list[str]) -> DataFrame:
+    """The requests for which an authorization exists; no row denies."""
+    return requests.join(authorizations.select(*on).distinct(), on, "left_semi")

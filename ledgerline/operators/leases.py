@@ -53,3 +53,61 @@ def funnel(actions: DataFrame, scope: str, now: Column) -> DataFrame:
         F.count("*").alias("total"), F.count_if("acknowledged").alias("acknowledged"), F.count_if(open_ & live).alias("leased"),
         F.count_if(open_ & ~live).alias("claimable"), F.count_if(open_ & (F.col("attempt") >= ATTEMPTS)).alias("exhausted"),
     )
+
+
+def acknowledge(held: DataFrame, stored: DataFrame, on: list[str]) -> DataFrame:
+    """The held leases with whether they equal a stored, pending one in every column of ``on``."""
+    live = stored.where(~F.col("acknowledged")).select(*on, F.lit(True).alias("__ok")).distinct()
+    return held.join(live, on, "left").withColumn("acknowledged", F.col("__ok").isNotNull()).drop("__ok")
+
+
+def renewal_code(expires_at: Column, now: Column, acknowledged: Column, new_expiry: Column) -> Column:
+    """Why a lease can't be renewed, or null: it must not be over, be pending, and end strictly later."""
+    return F.when(expired(expires_at, now), "TimedOut").when(acknowledged | (new_expiry <= expires_at), "Invariant")
+
+
+def validate_claims(leases: DataFrame, claim: str, owner: Column, now: Column) -> DataFrame:
+    """Each lease of a batch with its first failing rule: owner, expiry, pending, action or token twice in the batch."""
+    twice = lambda c: F.count("*").over(W.partitionBy(claim, c)) > 1
+    code = (
+        F.when(F.col("owner") != owner, "OwnerMismatch").when(expired(F.col("expires_at"), now), "TimedOut").when(F.col("acknowledged"), "NotPending")
+        .when(twice("action_id"), "DuplicateAction").when(twice("token"), "DuplicateToken")
+    )
+    return leases.withColumn("code", code)
+
+
+def next_attempt(attempt: Column, acknowledged: Column) -> Column:
+    """The attempt after this delivery, null where none may follow."""
+    return F.when(~acknowledged & (attempt < ATTEMPTS), attempt + 1)
+
+
+def latest_state(versions: DataFrame, key: list[str], state: str, version: list[str]) -> DataFrame:
+    """(key, state): the state of the last version of each key, one partial aggregation and no sort."""
+    return versions.groupBy(*key).agg(F.max_by(state, F.struct(*version)).alias(state))
+
+
+def timer_lease_code(kind: Column, due_at: Column, now: Column, same: Column, owner: Column, expires_at: Column) -> Column:
+    """The first failing rule of a claimed timer, or null: its kind, due time, scope and owner, then its expiry."""
+    return F.when(kind != "Timer", "Invariant").when(~same | ~owner | (due_at > now), "Invariant").when(expired(expires_at, now), "TimedOut")
+
+
+def drain_timers(timers: DataFrame, accepted: DataFrame, scope: str, now: Column, identity: Column, limit: int = CLAIM) -> DataFrame:
+    """(scope, action_id, input_id, verdict): due timers as inputs; one whose acknowledgement was lost gives its old input again."""
+    due = claim_due(timers, scope, now, limit).select(scope, "action_id", identity.alias("input_id"))
+    old = accepted.select(scope, "input_id", F.lit(True).alias("__old")).distinct()
+    return due.join(old, [scope, "input_id"], "left").select(scope, "action_id", "input_id", F.when(F.col("__old"), "duplicate").otherwise("accepted").alias("verdict"))
+
+
+def lease_tokens(rows: DataFrame, scope: str, order: list[str], base: int, buckets: int = 1024) -> DataFrame:
+    """The rows with unique tokens beyond ``base`` that increase with the order inside each scope.
+
+    Offsets come from counts: first of 1,024 buckets of scopes, then of a
+    bucket's scopes, then the place in the scope; no task sees all rows.
+    """
+    counts = rows.groupBy(scope).agg(F.count("*").alias("n")).withColumn("b", F.pmod(F.xxhash64(scope), F.lit(buckets)))
+    sums = counts.groupBy("b").agg(F.sum("n").alias("n"))
+    before = sums.select("b", (F.sum("n").over(W.orderBy("b")) - F.col("n")).alias("first"))
+    inside = F.sum("n").over(W.partitionBy("b").orderBy(scope)) - F.col("n")
+    offsets = counts.withColumn("inside", inside).join(before, "b").select(scope, (F.col("inside") + F.col("first")).alias("__at"))
+    place = F.row_number().over(W.partitionBy(scope).orderBy(*order))
+    return rows.withColumn("__n", place).join(offsets, scope).withColumn("token", F.col("__n") + F.col("__at") + base).drop("__n", "__at")

@@ -1,3 +1,3 @@
 """Queries over the driver's tables and their SQL; importing the package registers all of them."""
 
-from ledgerline.plans import lifecycle, oracles, queries  # noqa: F401
+from ledgerline.plans import lifecycle, oracles, queries, stores  # noqa: F401
