@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -74,3 +74,58 @@ def batches_of(rows: Iterator, n: int) -> Iterator[list]:
             held = []
     if held:
         yield held
+
+
+def propose(records: DataFrame, proposed: DataFrame, key: str, order: list[str], attempts: int = 3) -> DataFrame:
+    """(key, legal, status): whether one more record would be legal after each task's history, which itself stays as it is."""
+    both = records.select(key, *order, "kind").unionByName(proposed.select(key, *order, "kind"))
+    after = replay_tasks(both, key, order, attempts)
+    return proposed.select(key).join(after, key).select(key, (~F.col("illegal")).alias("legal"), "status")
+
+
+def recovery(status: Column, generation: Column, tick: Column, restart_at: Column, deadline: Column, attempts: int, mode: Column, contract: Column) -> Column:
+    """What a faulted task needs: reconcile first, recover, or give up; null for others."""
+    can = (mode != "NeverRestart") & (generation < attempts) & (tick < deadline) & (restart_at < deadline)
+    ask = (contract == "ReconcileRequired") | (mode == "ReconcileBeforeRestart")
+    return F.when(status != "Faulted", None).when(ask, "reconcile").when(can, "recover").otherwise("exhaust")
+
+
+def interrupted(projected: DataFrame, key: str) -> DataFrame:
+    """The fault that a restored supervisor records for each task whose history ends running."""
+    return projected.where("status = 'Running'").select(key, (F.col("n_records") + 1).alias("rn"), F.lit("FaultObserved").alias("kind"), F.lit("SupervisorInterrupted").alias("fault"))
+
+
+def observe(proposal: Column, generation: Column, current: Column, tick: Column, execution_deadline: Column, size: Column, most: Column) -> Column:
+    """What becomes of a worker's proposal: rejected if stale, a Timeout if late and no fault, OutputLimit if too large, else itself."""
+    late = (tick >= execution_deadline) & (proposal != "FaultObserved")
+    return F.when(generation != current, "StaleGeneration").when(late, "Timeout").when(proposal.isin("CheckpointCommitted", "Completed") & (size > most), "OutputLimit").otherwise(proposal)
+
+
+def journal(commits: DataFrame, key: str, order: list[str], expected: str, previous: str, digest: str, limit: int) -> DataFrame:
+    """Each journal commit with its verdict; it must expect the next sequence and name the last record's digest (null at first)."""
+    log = commits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(expected).cast("long").alias("e"), F.col(previous).alias("p"), F.col(digest).alias("d")))).alias("log"))
+    start = F.struct(F.lit(0).cast("long").alias("next"), F.lit(None).cast("string").alias("last"), F.array().cast("array<string>").alias("out"))
+
+    def step(a, c):
+        fits = (c["e"] == a["next"]) & c["p"].eqNullSafe(a["last"])
+        verdict = F.when(~fits, "Conflict").when(a["next"] >= limit, "QuotaExhausted").otherwise("committed")
+        new = verdict == "committed"
+        return F.struct(F.when(new, a["next"] + 1).otherwise(a["next"]).alias("next"), F.when(new, c["d"]).otherwise(a["last"]).alias("last"), F.array_append(a["out"], verdict).alias("out"))
+
+    told = log.select(key, F.explode(F.arrays_zip("log", F.aggregate("log", start, step)["out"].alias("v"))).alias("x"))
+    return told.select(key, *[F.col(f"x.log.{o}").alias(o) for o in order], F.col("x.v").alias("verdict"))
+
+
+def reconstruct(records: DataFrame, key: str, sequence: str, body: str, checksum: str) -> DataFrame:
+    """(key, n, n_bytes, code) of each stored history: gaps and damaged records are told, bytes added up."""
+    return records.groupBy(key).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(body)), F.lit(0)).alias("n_bytes"),
+        F.when((F.min(sequence) != 0) | (F.max(sequence) + 1 != F.count("*")), "InvalidOrder").when(F.count_if(F.sha2(F.col(body), 256) != F.col(checksum)) > 0, "CorruptRecord").alias("code"),
+    )
+
+
+def rebuild_heads(heads: DataFrame, log: DataFrame, key: str, sequence: str) -> DataFrame:
+    """(key, next_sequence, code): a missing head is rebuilt from its log; one that differs from it is Corrupt and stays."""
+    tail = log.groupBy(key).agg((F.max(sequence) + 1).alias("__tail"))
+    both = heads.select(key, F.col("next_sequence").alias("__head")).join(tail, key, "full_outer")
+    return both.select(key, F.coalesce("__head", "__tail").alias("next_sequence"), F.when(F.col("__head").isNull(), "rebuilt").when(~F.col("__head").eqNullSafe(F.col("__tail")), "Corrupt").alias("code"))

@@ -72,3 +72,131 @@ def handoff(effects: DataFrame, timeline: str, step: str, identity: str, most: i
 def promote(old: DataFrame, new: DataFrame, step: str, replace_from: Column) -> DataFrame:
     """Staged effects after a promotion: old ones before ``replace_from``, and the candidate's."""
     return old.where(F.col(step) < replace_from).unionByName(new)
+
+
+def head_code(head: Column, finalized: Column) -> Column:
+    """FutureCorrection for a head whose finalized step is beyond it, else null."""
+    return F.when(finalized > head, "FutureCorrection")
+
+
+def finalize_gate(marks: DataFrame, timeline: str, order: list[str], frontier: str, head: Column) -> DataFrame:
+    """Each frontier mark with whether it is neither below an earlier one nor beyond the head."""
+    before = F.max(frontier).over(W.partitionBy(timeline).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    return marks.withColumn("advances", (before.isNull() | (F.col(frontier) >= before)) & (F.col(frontier) <= head))
+
+
+def control(events: DataFrame, timeline: str, order: list[str], slots: int) -> DataFrame:
+    """Each control event (kind, branch) in order with its verdict.
+
+    append moves the head; reserve takes a free slot for a branch id never used
+    before; promote needs a reservation made at the present head and moves it;
+    abort frees the slot.
+    """
+    log = events.groupBy(timeline).agg(F.array_sort(F.collect_list(F.struct(*order, "kind", F.col("branch").cast("string").alias("branch")))).alias("log"))
+    start = F.struct(F.lit(0).cast("long").alias("rev"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>")).alias("live"), F.array().cast("array<string>").alias("used"), F.array().cast("array<string>").alias("out"))
+
+    def step(a, e):
+        b, kind = e["branch"], e["kind"]
+        at = a["live"][b]
+        verdict = (
+            F.when(kind == "append", "appended")
+            .when(kind == "reserve", F.when(F.array_contains(a["used"], b), "Conflict").when(F.size(F.map_keys(a["live"])) >= slots, "Capacity").otherwise("reserved"))
+            .when(at.isNull(), "HistoryUnavailable").when(kind == "abort", "aborted").when(at != a["rev"], "Conflict").otherwise("promoted")
+        )
+        freed = F.map_filter(a["live"], lambda x, _: x != b)
+        return F.struct(
+            F.when(verdict.isin("appended", "promoted"), a["rev"] + 1).otherwise(a["rev"]).alias("rev"),
+            F.when(verdict == "reserved", F.map_concat(a["live"], F.create_map(b, a["rev"]))).when(verdict.isin("aborted", "promoted"), freed).otherwise(a["live"]).alias("live"),
+            F.when(verdict == "reserved", F.array_append(a["used"], b)).otherwise(a["used"]).alias("used"), F.array_append(a["out"], verdict).alias("out"),
+        )
+
+    told = log.select(timeline, F.explode(F.arrays_zip("log", F.aggregate("log", start, step)["out"].alias("v"))).alias("x"))
+    return told.select(timeline, *[F.col(f"x.log.{o}").alias(o) for o in order], F.col("x.log.kind").alias("kind"), F.col("x.v").alias("verdict"))
+
+
+def resolve_anchors(lineage: DataFrame, anchors: DataFrame, wanted: DataFrame, floor: int, depth: int = 16) -> DataFrame:
+    """(branch, step, found_in, value): the anchor at exactly that step, own first, then the parent's below state_changed_from.
+
+    lineage has (branch, parent, admitted_through, state_changed_from). Steps
+    below ``floor`` or beyond a branch's admitted_through aren't found.
+    """
+    up = lineage.select(F.col("branch").alias("at"), "parent", "admitted_through", "state_changed_from")
+    front = wanted.where(F.col("step") >= floor).select("branch", "step", F.col("branch").alias("at"), F.lit(0).alias("d")).join(up, "at").where("step <= admitted_through")
+    every = front.select("branch", "step", "at", "d")
+    for d in range(1, depth):
+        front = front.where(F.col("parent").isNotNull() & (F.col("step") < F.col("state_changed_from"))).select("branch", "step", F.col("parent").alias("at"), F.lit(d).alias("d")).join(up, "at").where("step <= admitted_through")
+        every = every.unionByName(front.select("branch", "step", "at", "d"))
+    hits = every.join(anchors.select(F.col("branch").alias("at"), "step", "value"), ["at", "step"])
+    return hits.groupBy("branch", "step").agg(F.min_by("at", "d").alias("found_in"), F.min_by("value", "d").alias("value"))
+
+
+def anchor_codes(anchors: DataFrame, key: list[str], intact: Column) -> DataFrame:
+    """(key, n, code): a damaged anchor is an InputMismatch, a second canonical one at a step a Conflict."""
+    return anchors.groupBy(*key).agg(F.count("*").alias("n"), F.when(F.count_if(~intact) > 0, "InputMismatch").when(F.count("*") > 1, "Conflict").alias("code"))
+
+
+def fork(lineage: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests (branch, parent, step) with their code: a branch id already used, an unknown parent or a step beyond what the parent admits; null makes a lineage row."""
+    used = lineage.select("branch", F.lit(True).alias("__used"))
+    parents = lineage.select(F.col("branch").alias("parent"), F.col("admitted_through").alias("__to"))
+    code = F.when(F.col("__used"), "Conflict").when(F.col("__to").isNull(), "HistoryUnavailable").when(F.col("step") > F.col("__to"), "FutureCorrection")
+    return requests.join(used, "branch", "left").join(parents, "parent", "left").select("branch", "parent", "step", code.alias("code"))
+
+
+def materialize_branch(lineage: DataFrame, entries: DataFrame, heads: DataFrame, floor: int, depth: int = 16) -> DataFrame:
+    """(branch, n, complete): each branch's inputs over (floor, head], flattened from its ancestry; ``heads`` is (branch, head)."""
+    steps = heads.where(F.col("head") > floor).select("branch", F.explode(F.sequence(F.lit(floor + 1), F.col("head"))).alias("step"))
+    got = resolve(lineage, entries, steps, depth).groupBy("branch").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    return heads.join(got, "branch", "left").select("branch", n.alias("n"), (n == F.greatest(F.col("head") - floor, F.lit(0))).alias("complete"))
+
+
+def collect_inputs(inputs: DataFrame, timeline: str, step: str, after: Column, through: Column) -> DataFrame:
+    """(timeline, n, contiguous) of the inputs in (after, through]."""
+    part = inputs.where((F.col(step) > after) & (F.col(step) <= through))
+    return part.groupBy(timeline).agg(F.count("*").alias("n"), (F.max(step) - F.min(step) + 1 == F.count_distinct(step)).alias("contiguous"))
+
+
+def expire_before(branches: DataFrame, anchors: DataFrame, inputs: DataFrame, floor: int) -> tuple[DataFrame, DataFrame]:
+    """Inputs beyond and anchors from the floor on; nothing expires unless every branch has an anchor at the floor.
+
+    Whether a branch blocks it is a scalar subquery of the plan, not a value on the driver.
+    """
+    blocking = branches.select("branch").join(anchors.where(F.col("step") == floor).select("branch"), "branch", "left_anti").agg(F.count("*") > 0)
+    return inputs.where(blocking.scalar() | (F.col("step") > floor)), anchors.where(blocking.scalar() | (F.col("step") >= floor))
+
+
+def retire_codes(branches: DataFrame, live: DataFrame) -> DataFrame:
+    """(branch, code): live branches and ones with children can't be retired (Conflict)."""
+    parents = branches.where("parent is not null").select(F.col("parent").alias("branch")).distinct()
+    held = parents.unionByName(live.select("branch")).distinct().withColumn("code", F.lit("Conflict"))
+    return branches.select("branch").join(held, "branch", "left")
+
+
+def append_effects(held: DataFrame, new: DataFrame, key: list[str], timeline: str, capacity: int) -> DataFrame:
+    """(timeline, n, code) of a live timeline after taking the effects of a step: an identity twice is a mismatch, more than ``capacity`` too many."""
+    both = held.select(timeline, *key).unionByName(new.select(timeline, *key))
+    return both.groupBy(timeline).agg(F.count("*").alias("n"), F.when(F.count("*") > capacity, "Capacity").when(F.count_distinct(*key) < F.count("*"), "InputMismatch").alias("code"))
+
+
+def stage_effects(pushes: DataFrame, timeline: str, order: list[str], identity: str, size: str, most: int, most_bytes: int) -> DataFrame:
+    """Each push in order with its code: Capacity (count or bytes), InputMismatch (identity staged already), null if staged. A refused push takes no room."""
+    log = pushes.groupBy(timeline).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(identity).cast("string").alias("__i"), F.col(size).cast("long").alias("__b")))).alias("log"))
+    start = F.struct(F.array().cast("array<string>").alias("ids"), F.lit(0).cast("long").alias("bytes"), F.array().cast("array<string>").alias("out"))
+
+    def step(a, e):
+        code = F.when(F.size(a["ids"]) >= most, "Capacity").when(F.array_contains(a["ids"], e["__i"]), "InputMismatch").when(a["bytes"] + e["__b"] > most_bytes, "Capacity")
+        staged = code.isNull()
+        return F.struct(
+            F.when(staged, F.array_append(a["ids"], e["__i"])).otherwise(a["ids"]).alias("ids"), F.when(staged, a["bytes"] + e["__b"]).otherwise(a["bytes"]).alias("bytes"),
+            F.concat(a["out"], F.array(code)).alias("out"),
+        )
+
+    told = log.select(timeline, F.explode(F.arrays_zip("log", F.aggregate("log", start, step)["out"].alias("c"))).alias("x"))
+    return told.select(timeline, *[F.col(f"x.log.{o}").alias(o) for o in order], F.col("x.c").alias("code"))
+
+
+def live_step(states: DataFrame, inputs: DataFrame, timeline: str, step: str, payload: str) -> DataFrame:
+    """(timeline, head, state): one more step of each timeline whose next input is there."""
+    nxt = inputs.select(timeline, (F.col(step) - 1).alias("head"), F.col(payload).alias("__p"))
+    return states.join(nxt, [timeline, "head"]).select(timeline, (F.col("head") + 1).alias("head"), F.pmod(F.col("state") * FACTOR + F.col("__p"), F.lit(MODULUS)).alias("state"))
