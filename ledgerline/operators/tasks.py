@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -129,3 +130,84 @@ def rebuild_heads(heads: DataFrame, log: DataFrame, key: str, sequence: str) ->
     tail = log.groupBy(key).agg((F.max(sequence) + 1).alias("__tail"))
     both = heads.select(key, F.col("next_sequence").alias("__head")).join(tail, key, "full_outer")
     return both.select(key, F.coalesce("__head", "__tail").alias("next_sequence"), F.when(F.col("__head").isNull(), "rebuilt").when(~F.col("__head").eqNullSafe(F.col("__tail")), "Corrupt").alias("code"))
+
+
+@dataclass(frozen=True)
+class Definition:
+    """Limits and policies of a recoverable task."""
+
+    attempts: int = 3
+    timeout: int = 20
+    delay: int = 0
+    deadline: int = 1000
+    history: int = 64
+    checkpoints: int = 8
+    checkpoint_bytes: int = 40
+    output_bytes: int = 40
+    mode: str = "RestartFromCheckpoint"
+    contract: str = "Pure"
+
+    @property
+    def reconciles(self) -> bool:
+        return self.contract == "ReconcileRequired" or self.mode == "ReconcileBeforeRestart"
+
+
+def replay_records(records: DataFrame, key: str, definition: Definition) -> DataFrame:
+    """(key, n_applied, status, generation, tick, checkpoint, code, code_sequence): each task's whole state machine; the first refused record ends the fold.
+
+    Records have sequence, tick, generation, kind, detail and bytes. detail
+    is the checkpoint's id, the checkpoint to resume from, the fault, or what a
+    reconciliation found (Completed, RestartAuthorized, Unknown). They are
+    taken by sequence, then by the other columns.
+    """
+    d = definition
+    logged = records.select(key, F.struct(F.col("sequence").cast("long").alias("sequence"), F.col("tick").cast("long").alias("tick"), F.col("generation").cast("long").alias("generation"), "kind", "detail", F.col("bytes").cast("long").alias("bytes")).alias("__r"))
+    log = logged.groupBy(key).agg(F.array_sort(F.collect_list("__r")).alias("log"))
+    num = lambda x, name: F.lit(x).cast("long").alias(name)
+    nothing = F.lit(None).cast("string")
+    start = F.struct(F.lit("Empty").alias("s"), num(0, "n"), num(0, "tick"), num(0, "g"), num(0, "until"), num(0, "restart"), num(0, "made"), nothing.alias("cp"), nothing.alias("code"), F.lit(None).cast("long").alias("at"))
+    false = F.lit(False)
+
+    def step(a, r):
+        kind, tick, s = r["kind"], r["tick"], a["s"]
+        begins, is_checkpoint = kind.isin("Started", "Restarted"), kind.isin("CheckpointCommitted", "CheckpointMigrated")
+        live = kind.isin("CheckpointCommitted", "Completed")
+        can = (F.lit(d.mode != "NeverRestart")) & (a["g"] < d.attempts) & (tick < d.deadline) & (a["restart"] < d.deadline)
+        needed = {
+            "IntentCommitted": ["Empty"], "CheckpointMigrated": ["Pending"], "Started": ["Pending"], "Restarted": ["Ready"], "CheckpointCommitted": ["Running"], "FaultObserved": ["Running"], "Completed": ["Running"],
+            "ReconciliationRequired": ["Faulted"], "Reconciled": ["Reconciling"], "RecoveryPlanned": ["Reconciled" if d.reconciles else "Faulted"], "RecoveryExhausted": ["Faulted", "Reconciled", "Reconciling", "Pending", "Ready"],
+        }
+        fits = false
+        for name, states in needed.items():
+            fits = fits | ((kind == name) & s.isin(*states))
+        waiting = s.isin("Pending", "Ready")
+        output = (kind == "Completed") | ((kind == "Reconciled") & r["detail"].eqNullSafe(F.lit("Completed")))
+        code = (
+            F.when((r["sequence"] != a["n"]) | (tick < a["tick"]), "InvalidOrder")
+            .when((r["sequence"] >= d.history) | ((begins | (kind == "CheckpointCommitted")) & (r["sequence"] + 1 >= d.history)), "QuotaExhausted")
+            .when(r["generation"] != F.when(begins, a["g"] + 1).otherwise(a["g"]), "StaleGeneration")
+            .when(~F.coalesce(fits, false), "InvalidTransition")
+            .when((kind == "CheckpointMigrated") & a["cp"].isNotNull(), "ScopeMismatch")
+            .when(begins & (r["generation"] > d.attempts), "QuotaExhausted").when(begins & (tick >= d.deadline), "DeadlineExpired").when((kind == "Restarted") & (tick < a["restart"]), "InvalidTransition")
+            .when(live & (tick >= a["until"]), "DeadlineExpired")
+            .when(is_checkpoint & ((r["bytes"] > d.checkpoint_bytes) | (a["made"] >= d.checkpoints)), "QuotaExhausted").when(output & (r["bytes"] > d.output_bytes), "QuotaExhausted")
+            .when((kind == "FaultObserved") & ((r["detail"].eqNullSafe(F.lit("Timeout")) & (tick < a["until"])) | (r["detail"].eqNullSafe(F.lit("DeadlineViolation")) & (tick < d.deadline))), "InvalidTransition")
+            .when((kind == "ReconciliationRequired") & F.lit(not d.reconciles), "InvalidTransition")
+            .when((kind == "RecoveryPlanned") & ~can, "QuotaExhausted")
+            .when((kind == "RecoveryPlanned") & ~r["detail"].eqNullSafe(nothing if d.mode == "RestartFromBeginning" else a["cp"]), "CorruptBlob")
+            .when((kind == "RecoveryExhausted") & ((waiting & (tick < d.deadline)) | (~waiting & can)), "InvalidTransition")
+        )
+        after = (
+            F.when(kind == "IntentCommitted", "Pending").when(begins, "Running").when(kind == "FaultObserved", "Faulted").when(kind == "ReconciliationRequired", "Reconciling").when(output, "Completed")
+            .when((kind == "Reconciled") & (r["detail"] == "RestartAuthorized"), "Reconciled").when(kind == "RecoveryPlanned", "Ready").when(kind == "RecoveryExhausted", "Exhausted").otherwise(s)
+        )
+        moved = F.struct(
+            after.alias("s"), (a["n"] + 1).alias("n"), tick.alias("tick"), F.when(begins, r["generation"]).otherwise(a["g"]).alias("g"),
+            F.when(begins, F.least(tick + d.timeout, F.lit(d.deadline))).otherwise(a["until"]).alias("until"), F.when(kind == "FaultObserved", tick + d.delay).otherwise(a["restart"]).alias("restart"),
+            F.when(is_checkpoint, a["made"] + 1).otherwise(a["made"]).alias("made"), F.when(is_checkpoint | (kind == "RecoveryPlanned"), r["detail"]).otherwise(a["cp"]).alias("cp"), nothing.alias("code"), a["at"].alias("at"),
+        )
+        refused = F.struct(*[a[f] for f in ("s", "n", "tick", "g", "until", "restart", "made", "cp")], code.alias("code"), r["sequence"].alias("at"))
+        return F.when(a["code"].isNotNull(), a).when(code.isNotNull(), refused).otherwise(moved)
+
+    done = log.select(key, F.aggregate("log", start, step).alias("x"))
+    return done.select(key, F.col("x.n").alias("n_applied"), F.col("x.s").alias("status"), F.col("x.g").alias("generation"), F.col("x.tick").alias("tick"), F.col("x.cp").alias("checkpoint"), F.col("x.code").alias("code"), F.col("x.at").alias("code_sequence"))

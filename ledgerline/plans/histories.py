@@ -6,14 +6,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.operators import logs
 from ledgerline.operators import tasks as K
 from ledgerline.operators import timeline as M
 from ledgerline.plans.lifecycle import query
-from ledgerline.plans.oracles import _IN, _OUT, _TASK, NOW, ORACLES
-from ledgerline.plans.queries import _CONTENT, _inputs, _lineage, _outcomes, _records, K3_task_replay, M8_correction_replay, lit
+from ledgerline.plans.oracles import _IN, _OUT, _TASK, NOW, ORACLES, _linear
+from ledgerline.plans.queries import _CONTENT, QUERIES, K3_task_replay, L12_replay_full, M8_correction_replay, _inputs, _lineage, _outcomes, _records, lit
 from ledgerline.sources.tables import millis, read
 from ledgerline.streaming import inbox
 
@@ -187,6 +188,50 @@ def M24_live_step(s: SparkSession, d: str) -> DataFrame:
     return M.live_step(states, states.select("user_id", (F.col("head") + 1).alias("step"), F.col("user_id").alias("payload")), "user_id", "step", "payload")
 
 
+def _task_log(s: SparkSession, d: str) -> DataFrame:
+    """Records of a task for each user and day: every fifth is out of step with the state machine, the others follow its usual course."""
+    e = read(s, d, "events").withColumn("day", F.col("ts").cast("date").cast("string"))
+    rn = F.row_number().over(W.partitionBy("user_id", "day").orderBy("ts", "event_id"))
+    usual = F.array(*map(F.lit, ("IntentCommitted", "Started", "CheckpointCommitted", "FaultObserved", "RecoveryPlanned", "Restarted", "CheckpointCommitted", "Completed")))
+    odd = F.array(*map(F.lit, ("FaultObserved", "RecoveryExhausted", "ReconciliationRequired", "Started")))
+    i = F.col("event_id")
+    kind = F.when((i % 5 == 0) & (F.col("rn") > 2), F.element_at(odd, (i % 4 + 1).cast("int"))).otherwise(F.element_at(usual, F.least("rn", F.lit(8))))
+    return e.withColumn("rn", rn).select(
+        F.concat_ws("/", "user_id", "day").alias("task"), (F.col("rn") - 1).alias("sequence"), F.col("rn").cast("long").alias("tick"), F.when(F.col("rn") >= 6, 2).when(F.col("rn") >= 2, 1).otherwise(0).alias("generation"),
+        kind.alias("kind"), F.when(kind == "CheckpointCommitted", F.concat(F.lit("c"), F.col("rn").cast("string"))).when(kind == "RecoveryPlanned", "c3").when(kind == "FaultObserved", "Panic").alias("detail"), (i % 50).alias("bytes"))
+
+
+def K2_task_records(s: SparkSession, d: str) -> DataFrame:
+    return K.replay_records(_task_log(s, d), "task", K.Definition())
+
+
+QUERIES["K2_task_records"] = K2_task_records
+
+
+@query("select o_orderkey, o_orderstatus = 'O' and 820454400000 >= epoch_ms(o_orderdate) safe from orders")
+def R5_retry_safe(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "orders").select("o_orderkey", ((F.col("o_orderstatus") == "O") & (lit(NOW) >= millis("o_orderdate"))).alias("safe"))
+
+
+@query(_linear(True, True) + """ select user_id, week, case when status = 'Running' then 'step-' || step when status = 'Compensating' then 'undo-0' end as action, case when status in ('Running', 'Compensating') then attempt end action_attempt from fin""")
+def L14_action(s: SparkSession, d: str) -> DataFrame:
+    live = F.col("status").isin("Running", "Compensating")
+    name = F.when(F.col("status") == "Running", F.concat(F.lit("step-"), F.col("step").cast("string"))).when(F.col("status") == "Compensating", F.concat(F.lit("undo-"), (F.col("n_compensable") - 1).cast("string")))
+    return L12_replay_full(s, d).select("user_id", "week", name.alias("action"), F.when(live, F.col("attempt")).alias("action_attempt"))
+
+
+@query("select l_orderkey, l_partkey % 60 action_id, count(*) n, count(*) > 1 issued_again from lineitem group by 1, 2")
+def L15_fresh_actions(s: SparkSession, d: str) -> DataFrame:
+    x = read(s, d, "lineitem").groupBy("l_orderkey", (F.col("l_partkey") % 60).alias("action_id")).agg(F.count("*").alias("n"))
+    return x.withColumn("issued_again", F.col("n") > 1)
+
+
+@query(ORACLES["G5_graph_replay"].replace("select user_id, week, status, step, visit, err error_code from st", "select user_id, week, step as action, visit - 1 action_attempt from st").replace("order by rn desc) = 1", "order by rn desc) = 1 and status = 'Running' and err is null"))
+def G7_graph_action(s: SparkSession, d: str) -> DataFrame:
+    x = QUERIES["G5_graph_replay"](s, d).where("status = 'Running' and error_code is null")
+    return x.select("user_id", "week", F.col("step").alias("action"), (F.col("visit") - 1).alias("action_attempt"))
+
+
 def _scratch(s: SparkSession, name: str) -> str:
     root = s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ledgerline-")
     return f"{root.rstrip('/')}/ledgerline/{name}-{uuid.uuid4().hex}"
@@ -199,7 +244,7 @@ def I1_inbox_stream(s: SparkSession, d: str) -> DataFrame:
     """The inbox over a stream of the table's files, run until all is taken."""
     kind = read(s, d, "lineitem").schema
     stream = s.readStream.schema(kind).parquet(f"{d}/lineitem.parque[t]")  # a pattern, as a stream takes no single file
-    told = inbox.accept_stream(stream, ["l_orderkey", "l_linenumber"], _CONTENT, [*_CONTENT, "l_discount", "l_tax"])
+    told = inbox.accept_stream(stream, "l_orderkey", "l_linenumber", _CONTENT, [*_CONTENT, "l_discount", "l_tax"])
     out = _scratch(s, "inbox")
     inbox.run_to_end(told, f"{out}/rows", f"{out}/checkpoint")
     return s.read.schema(told.schema).parquet(f"{out}/rows/batch=*").groupBy("l_orderkey", "l_linenumber", "verdict").agg(F.sum("n").alias("n"))

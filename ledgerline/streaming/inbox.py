@@ -2,37 +2,46 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+INPUTS = 65_536
 
-def accept_stream(arrivals: DataFrame, key: list[str], content: list[str], order: list[str]) -> DataFrame:
-    """(key, verdict, n): verdicts of each micro-batch's arrivals, as the batch operator gives them.
 
-    The state of a key is the digest of the content that was accepted; arrivals
-    of one batch are taken in ``order``, whose columns must be of one type each.
+def accept_stream(arrivals: DataFrame, process: str, input_id: str, content: list[str], order: list[str], quota: int = INPUTS) -> DataFrame:
+    """(process, input_id, verdict, n): verdicts of each micro-batch's arrivals, as the batch operator gives them.
+
+    The state of a process is the digest of each input that it accepted, at
+    most ``quota``; a new input beyond that is QuotaExceeded. Arrivals of one
+    batch are taken in ``order``. One group a process, not one an input, keeps
+    the number of Python calls down.
     """
     digest = F.sha2(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}), 256)
-    rows = arrivals.select(*key, *[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)], digest.alias("__d"))
     places = [f"__o{i}" for i in range(len(order))]
+    rows = arrivals.select(process, *[F.col(o).alias(p) for o, p in zip(order, places, strict=True)], F.col(input_id).cast("string").alias("__i"), digest.alias("__d"))
     types = dict(arrivals.dtypes)
-    out = ", ".join([f"{c} {types[c]}" for c in key] + ["verdict string", "n long"])
 
     def run(k, frames: Iterator[pd.DataFrame], state):
-        got = pd.concat(list(frames)).sort_values(places, kind="stable")["__d"].tolist()
-        told = {"accepted": 0, "duplicate": 0, "conflict": 0}
-        first = state.get[0] if state.exists else None
-        for d in got:
-            told["accepted" if first is None else "duplicate" if d == first else "conflict"] += 1
-            first = first or d
-        state.update((first,))
-        some = [(v, n) for v, n in told.items() if n]
-        yield pd.DataFrame({**{c: [x] * len(some) for c, x in zip(key, k, strict=True)}, "verdict": [v for v, _ in some], "n": [n for _, n in some]})
-
-    return rows.groupBy(*key).applyInPandasWithState(run, out, "first string", "append", "NoTimeout")
+        got = sorted((r for f in frames for r in zip(*[f[c].tolist() for c in [*places, "__i", "__d"]], strict=True)), key=lambda r: r[:-2])
+        held = dict(zip(*state.get, strict=True)) if state.exists else {}
+        told: Counter = Counter()
+        for *_, i, d in got:
+            first = held.get(i)
+            if first is None and len(held) < quota:
+                held[i] = d
+                told[i, "accepted"] += 1
+            else:
+                told[i, "QuotaExceeded" if first is None else "duplicate" if d == first else "conflict"] += 1
+        state.update((list(held), list(held.values())))
+        yield pd.DataFrame({process: [k[0]] * len(told), "__i": [i for i, _ in told], "verdict": [v for _, v in told], "n": list(told.values())})
+
+    out = f"{process} {types[process]}, __i string, verdict string, n long"
+    told = rows.groupBy(process).applyInPandasWithState(run, out, "ids array<string>, digests array<string>", "append", "NoTimeout")
+    return told.select(process, F.col("__i").cast(types[input_id]).alias(input_id), "verdict", "n")
 
 
 def idempotent_sink(path: str) -> Callable[[DataFrame, int], None]:
