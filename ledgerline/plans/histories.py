@@ -244,7 +244,6 @@ def I1_inbox_stream(s: SparkSession, d: str) -> DataFrame:
     """The inbox over a stream of the table's files, run until all is taken."""
     kind = read(s, d, "lineitem").schema
     stream = s.readStream.schema(kind).parquet(f"{d}/lineitem.parque[t]")  # a pattern, as a stream takes no single file
-    told = inbox.accept_stream(stream, "l_orderkey", "l_linenumber", _CONTENT, [*_CONTENT, "l_discount", "l_tax"])
     out = _scratch(s, "inbox")
-    inbox.run_to_end(told, f"{out}/rows", f"{out}/checkpoint")
-    return s.read.schema(told.schema).parquet(f"{out}/rows/batch=*").groupBy("l_orderkey", "l_linenumber", "verdict").agg(F.sum("n").alias("n"))
+    inbox.run_to_end(stream, inbox.accept_batches(f"{out}/rows", ["l_orderkey", "l_linenumber"], _CONTENT, [*_CONTENT, "l_discount", "l_tax"]), f"{out}/checkpoint")
+    return s.read.parquet(f"{out}/rows").groupBy("l_orderkey", "l_linenumber", "verdict").agg(F.sum("n").alias("n"))

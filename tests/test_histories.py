@@ -102,13 +102,17 @@ def test_task_state_machine(spark, policy):
     assert len({w[1] for w in want.values()}) > 4 and tasks.replay_records(df.limit(0), "task", d).count() == 0
 
 
-def test_stream_goes_on_from_its_state(spark, tmp_path):
+@pytest.mark.parametrize("keyed", [True, False])
+def test_stream_goes_on_from_its_state(spark, tmp_path, keyed):
     kind = "p long, i long, c string, n long"
     for b, rows in enumerate([[(1, 1, "a", 1), (1, 1, "b", 2), (1, 2, None, 1)], [(1, 1, "a", 3), (1, 2, None, 2), (2, 1, "a", 1), (1, 2, "x", 3)]]):
         spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/in/{b}")
         stream = spark.readStream.schema(kind).parquet(f"{tmp_path}/in/*")
-        inbox.run_to_end(inbox.accept_stream(stream, "p", "i", ["c"], ["n"]), f"{tmp_path}/out", f"{tmp_path}/check")
-    got = sorted((r.p, r.i, r.verdict, r.n) for r in spark.read.parquet(f"{tmp_path}/out/batch=*").collect())
+        if keyed:
+            inbox.run_to_end(inbox.accept_stream(stream, "p", "i", ["c"], ["n"]), inbox.idempotent_sink(f"{tmp_path}/out"), f"{tmp_path}/check")
+        else:
+            inbox.run_to_end(stream, inbox.accept_batches(f"{tmp_path}/out", ["p", "i"], ["c"], ["n"]), f"{tmp_path}/check")
+    got = sorted((r.p, r.i, r.verdict, r.n) for r in spark.read.parquet(f"{tmp_path}/out").groupBy("p", "i", "verdict").agg(F.sum("n").alias("n")).collect())
     assert got == [(1, 1, "accepted", 1), (1, 1, "conflict", 1), (1, 1, "duplicate", 1), (1, 2, "accepted", 1), (1, 2, "conflict", 1), (1, 2, "duplicate", 1), (2, 1, "accepted", 1)]
 
 
