@@ -211,3 +211,23 @@ def replay_records(records: DataFrame, key: str, definition: Definition) -> Data
 
     done = log.select(key, F.aggregate("log", start, step).alias("x"))
     return done.select(key, F.col("x.n").alias("n_applied"), F.col("x.s").alias("status"), F.col("x.g").alias("generation"), F.col("x.tick").alias("tick"), F.col("x.cp").alias("checkpoint"), F.col("x.code").alias("code"), F.col("x.at").alias("code_sequence"))
+
+
+def control_record(projected: DataFrame, command, late, attempts: int = 3) -> DataFrame:
+    """The record that a control call leads to, or null: submit, advance, poll (``late``: the execution deadline has passed), reconcile, import_checkpoint.
+
+    Only the transitions; running a task's code is not this engine's.
+    """
+    s = F.col("status")
+    told = next_record(projected, attempts)
+    kind = (
+        F.when((command == "submit") & (s == "Empty"), "IntentCommitted").when((command == "poll") & (s == "Running") & late, "FaultObserved")
+        .when((command == "reconcile") & (s == "Faulted"), "ReconciliationRequired").when((command == "import_checkpoint") & (s == "Pending"), "CheckpointMigrated")
+        .when((command == "advance") & (s != "Empty"), F.col("next_kind"))
+    )
+    return told.withColumn("record", kind).drop("next_kind")
+
+
+def drive_once(projected: DataFrame, authorizations: DataFrame, key: str, attempts: int = 3) -> DataFrame:
+    """(key, record): one transition of each task that is authorized and has one to make."""
+    return next_record(projected, attempts).where(F.col("next_kind").isNotNull()).join(authorizations.select(key).distinct(), key, "left_semi").select(key, F.col("next_kind").alias("record"))
