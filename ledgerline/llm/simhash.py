@@ -1,4 +1,4 @@
-"""SimHash near-dedup by a self-join of binary tries."""
+"""SimHash near-dedup by a self-join of binary tries, and near-dedup by exact similarity of shingle sets."""
 
 from __future__ import annotations
 
@@ -249,55 +249,104 @@ def fp_hex(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-TABLES = 6
-_MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
+_MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+#: One text in SPARSE is looked at for common shingles: those that SEEN of them hold, the COMMON most frequent at most.
+SPARSE, SEEN, COMMON = 16, 8, 1_000_000
+#: The nodes whose shingle sets are compared are broadcast up to this many, beyond it the texts are shuffled.
+BROADCAST_NODES = 500_000
 
 
-def wide_fingerprint(parts: list[bytes]) -> np.ndarray:
-    """TABLES SimHashes of a set of byte strings, each with bits of its own."""
-    if not parts:
-        return np.zeros(TABLES, np.uint64)
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's ``shingle``-word shingles, ascending; a shorter text is one shingle."""
+    words = text.lower().split()
     digest = xxhash.xxh3_64_intdigest
-    h = np.fromiter((digest(p) for p in parts), dtype="<u8", count=len(parts))
-    out = np.zeros((TABLES, 64), np.int64)
+    h = np.fromiter((digest(w) for w in words), dtype="<u8", count=len(words)) if words else np.zeros(1, np.uint64)
+    k = min(shingle, len(h))
+    x = np.full(len(h) - k + 1, len(words) and k, np.uint64)
     with np.errstate(over="ignore"):
-        for at in range(0, len(h), 16_384):
-            for j, odd in enumerate(_MIX[:TABLES]):
-                x = (h[at : at + 16_384] ^ (h[at : at + 16_384] >> np.uint64(31))) * odd
-                x ^= x >> np.uint64(29)
-                x *= _MIX[(j + 1) % TABLES]
-                x ^= x >> np.uint64(32)
-                out[j] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * out > len(h), axis=1, bitorder="little").view("<u8")[:, 0]
+        for j in range(k):
+            x = ((x ^ (x >> np.uint64(29))) * _MIX[0]) ^ h[j : j + len(x)]
+        x = (x ^ (x >> np.uint64(31))) * _MIX[1]
+        x ^= x >> np.uint64(32)
+    return np.unique(x.view(np.int64))
+
+
+def _prefix(h: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first |h| - ceil(similarity |h|) + 1 of a set, common shingles last: sets that are similar share one of them."""
+    n = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
+    late = np.isin(h, common, assume_unique=True)
+    return np.concatenate([h[~late], h[late]])[:n]
+
+
+def _sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """(node, h): the shingle set of each distinct text of ``rows`` (node, t)."""
+
+    def run(batches):
+        for batch in batches:
+            got = [shingle_set(t.as_py() or b"", shingle) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int64()))], names=["node", "h"])
+
+    return rows.select("node", "t").mapInArrow(run, "node long, h array<long>").groupBy("node").agg(F.first("h").alias("h"))
+
+
+def _alike(pairs: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The (src, dst) of ``pairs`` whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
+    need = materialize(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "similar-need")
+    sets = materialize(_sets(rows.join(F.broadcast(need) if need.count() <= BROADCAST_NODES else need, "node", "left_semi"), shingle), "similar-sets")
+    both = pairs.join(sets.select(F.col("node").alias("src"), F.col("h").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("h").alias("b")), "dst")
+    told = both.select("src", "dst", (F.size("a") + F.size("b")).alias("n"), F.size(F.array_intersect("a", "b")).alias("same"))
+    return materialize(told.where(F.col("same") >= F.lit(similarity) * (F.col("n") - F.col("same")) - 1e-9).select("src", "dst"), "similar-links")
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, slack: float = 0.04, shingle: int = 5, budget: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = 0.8, slack: float = 0.04, shingle: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(node, d, root) for each distinct text: node is ``text_node``, d its smallest id (null: last), root names its group.
 
     Texts link where their sets of ``shingle``-word shingles have a Jaccard
-    similarity of ``similarity`` or more, judged by SimHashes of 64 * TABLES bits
-    over the shingles, whose differing bits measure the angle. That estimate
-    has an error of some hundredths, so pairs pass down to ``slack`` below.
-    Candidates come from the trie self-join over TABLES SimHashes of the set of
-    words, which changes far less under edits than the shingles do; every
-    candidate pair is judged, none is capped. Null and empty texts are one group.
+    similarity of ``similarity`` - ``slack`` or more, counted on the sets.
+    Candidates share a shingle of their prefixes (``_prefix``), which loses no
+    such pair under any order of the shingles. Shingles that a sample of the
+    texts shows to be common come last in it; the sample sets nothing but that
+    order. In each shingle's group, all are compared with two members first;
+    then every pair that these links leave in different components is.
+    Null and empty texts are one group.
     """
-    most = int(np.arccos(2 * (similarity - slack) / (1 + similarity - slack)) / np.pi * 64 * TABLES)
+    least = similarity - slack
     rows = docs.select(text_node(F.col(text)).alias("node"), F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.col(text).cast("binary").alias("t"))
+    seen = _sets(rows.where(F.pmod("node", F.lit(SPARSE)) == 0), shingle).select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN)
+    top = seen.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow().column("h").to_numpy()
+    common = docs.sparkSession.sparkContext.broadcast(np.sort(top))
 
     def run(batches):
         for batch in batches:
-            got = []
-            for t in batch.column(2):
-                words = (t.as_py() or b"").lower().split()
-                grams = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
-                got.append((wide_fingerprint(list(set(words))).view(np.int64).tolist(), wide_fingerprint(list(grams)).tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in got], pa.list_(pa.int64())), pa.array([x[1] for x in got], pa.binary())], names=["node", "d", "fps", "sketch"])
-
-    made = rows.mapInArrow(run, "node long, d long, fps array<long>, sketch binary")
-    nodes = materialize(made.groupBy("node").agg(F.min("d").alias("d"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch")), "similar-nodes")
-    prints = nodes.select("node", "sketch", F.posexplode("fps").alias("t", "fp"))
-    roots = connected_components(links(prints, budget, most=most))
+            got = [shingle_set(t.as_py() or b"", shingle) for t in batch.column(2)]
+            first = [_prefix(h, common.value, least) for h in got]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(h) for h in got], pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["node", "d", "n", "prefix"])
+
+    made = rows.mapInArrow(run, "node long, d long, n int, prefix array<long>")
+    nodes = materialize(made.groupBy("node").agg(F.min("d").alias("d"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "similar-nodes")
+    each = nodes.select("node", "n", F.explode("prefix").alias("h"))
+    member = F.struct("node", "n")
+    shared = materialize(each.groupBy("h").agg(F.min(member).alias("lo"), F.max(member).alias("hi")).where("lo.node <> hi.node"), "similar-shared")
+    keyed = materialize(each.join(shared, "h"), "similar-keyed")
+
+    def fits(a: str, b: str):
+        return F.least(a, b) >= F.lit(least) * F.greatest(a, b) - 1e-9
+
+    def ordered(a: str, b: str):
+        return F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")
+
+    stars = keyed.select("node", "n", F.explode(F.array("lo", "hi")).alias("m")).where((F.col("node") != F.col("m.node")) & fits("n", "m.n"))
+    stars = materialize(stars.select(*ordered("node", "m.node")).distinct(), "similar-stars")
+    near = _alike(stars, rows, least, shingle)
+    part = F.coalesce("root", "node").alias("part")
+    parted = materialize(keyed.select("h", "node", "n").join(connected_components(near), "node", "left").select("h", "node", "n", part), "similar-parts")
+    sizes = parted.groupBy("h", "part").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "part")).alias("big"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = materialize(parted.join(sizes.select("h", F.col("big.part").alias("big")), "h"), "similar-mixed")
+    a = mixed.where("part <> big").select("h", F.col("node").alias("an"), F.col("n").alias("a"), F.col("part").alias("ap"))
+    b = mixed.select("h", F.col("node").alias("bn"), F.col("n").alias("b"), F.col("part").alias("bp"), (F.col("part") == F.col("big")).alias("main"))
+    rest = a.join(b, "h").where((F.col("ap") != F.col("bp")) & (F.col("main") | (F.col("an") < F.col("bn"))) & fits("a", "b")).select(*ordered("an", "bn")).distinct()
+    rest = materialize(rest.join(stars, ["src", "dst"], "left_anti"), "similar-rest")
+    roots = connected_components(near.unionByName(_alike(rest, rows, least, shingle)))
     return nodes.select("node", "d").join(roots, "node", "left").select("node", "d", F.coalesce("root", "node").alias("root"))
 
 

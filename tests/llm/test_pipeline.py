@@ -3,6 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
+from ledgerline.llm import simhash
 
 
 def test_stages_keep_what_they_should(spark, tmp_path):
@@ -25,3 +26,35 @@ def test_stages_keep_what_they_should(spark, tmp_path):
     assert {r.doc_id for r in out} <= {*range(5)} and sum(r.n_tokens for r in out) > 0
     starts = sorted((r.start, r.n_tokens) for r in out)
     assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+
+
+def grams(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def groups_of(spark, texts):
+    """The sets of positions that ``similar_groups`` puts together."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {}
+    for r in simhash.similar_groups(df).collect():
+        out.setdefault(r.root, set()).add(r.d)
+    return {frozenset(x) for x in out.values()}
+
+
+def test_near_dedup_joins_block_edits(spark):
+    rng = np.random.default_rng(5)
+    line = " ".join(f"common{i}" for i in range(20))
+    texts = []
+    for i in range(45):
+        words = [f"a{i}x{j}" for j in rng.integers(0, 300, 200)]
+        block = [f"b{i}x{j}" for j in range(int(rng.integers(15, 40)))]
+        at = int(rng.integers(20, 180))
+        other = [words + block, words[: 200 - len(block)], words[:at] + block + words[at:]][i % 3]
+        texts += [" ".join(words) + "\n" + line, " ".join(other) + "\n" + line]
+    got = groups_of(spark, texts)
+    for k in range(0, len(texts), 2):
+        x, y = grams(texts[k]), grams(texts[k + 1])
+        if len(x & y) >= 0.8 * len(x | y):
+            assert frozenset((k, k + 1)) in got
+    assert len(got) >= len(texts) // 2
