@@ -298,11 +298,11 @@ def _alike(pairs: DataFrame, rows: DataFrame, similarity: float, shingle: int) -
     return materialize(told.where(F.col("same") >= F.lit(similarity) * (F.col("n") - F.col("same")) - 1e-9).select("src", "dst"), "similar-links")
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, slack: float = 0.04, shingle: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(node, d, root) for each distinct text: node is ``text_node``, d its smallest id (null: last), root names its group.
 
     Texts link where their sets of ``shingle``-word shingles have a Jaccard
-    similarity of ``similarity`` - ``slack`` or more, counted on the sets.
+    similarity of ``similarity`` or more, counted on the sets.
     Candidates share a shingle of their prefixes (``_prefix``), which loses no
     such pair under any order of the shingles. Shingles that a sample of the
     texts shows to be common come last in it; the sample sets nothing but that
@@ -310,7 +310,6 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, slack: float = 0.04
     then every pair that these links leave in different components is.
     Null and empty texts are one group.
     """
-    least = similarity - slack
     rows = docs.select(text_node(F.col(text)).alias("node"), F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.col(text).cast("binary").alias("t"))
     seen = _sets(rows.where(F.pmod("node", F.lit(SPARSE)) == 0), shingle).select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN)
     top = seen.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow().column("h").to_numpy()
@@ -319,7 +318,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, slack: float = 0.04
     def run(batches):
         for batch in batches:
             got = [shingle_set(t.as_py() or b"", shingle) for t in batch.column(2)]
-            first = [_prefix(h, common.value, least) for h in got]
+            first = [_prefix(h, common.value, similarity) for h in got]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(h) for h in got], pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["node", "d", "n", "prefix"])
 
     made = rows.mapInArrow(run, "node long, d long, n int, prefix array<long>")
@@ -330,14 +329,14 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, slack: float = 0.04
     keyed = materialize(each.join(shared, "h"), "similar-keyed")
 
     def fits(a: str, b: str):
-        return F.least(a, b) >= F.lit(least) * F.greatest(a, b) - 1e-9
+        return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
 
     def ordered(a: str, b: str):
         return F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")
 
     stars = keyed.select("node", "n", F.explode(F.array("lo", "hi")).alias("m")).where((F.col("node") != F.col("m.node")) & fits("n", "m.n"))
     stars = materialize(stars.select(*ordered("node", "m.node")).distinct(), "similar-stars")
-    near = _alike(stars, rows, least, shingle)
+    near = _alike(stars, rows, similarity, shingle)
     part = F.coalesce("root", "node").alias("part")
     parted = materialize(keyed.select("h", "node", "n").join(connected_components(near), "node", "left").select("h", "node", "n", part), "similar-parts")
     sizes = parted.groupBy("h", "part").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "part")).alias("big"), F.count("*").alias("parts")).where("parts > 1")
@@ -346,7 +345,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, slack: float = 0.04
     b = mixed.select("h", F.col("node").alias("bn"), F.col("n").alias("b"), F.col("part").alias("bp"), (F.col("part") == F.col("big")).alias("main"))
     rest = a.join(b, "h").where((F.col("ap") != F.col("bp")) & (F.col("main") | (F.col("an") < F.col("bn"))) & fits("a", "b")).select(*ordered("an", "bn")).distinct()
     rest = materialize(rest.join(stars, ["src", "dst"], "left_anti"), "similar-rest")
-    roots = connected_components(near.unionByName(_alike(rest, rows, least, shingle)))
+    roots = connected_components(near.unionByName(_alike(rest, rows, similarity, shingle)))
     return nodes.select("node", "d").join(roots, "node", "left").select("node", "d", F.coalesce("root", "node").alias("root"))
 
 

@@ -58,3 +58,20 @@ def test_near_dedup_joins_block_edits(spark):
         if len(x & y) >= 0.8 * len(x | y):
             assert frozenset((k, k + 1)) in got
     assert len(got) >= len(texts) // 2
+
+
+def test_near_dedup_counts_the_similarity(spark):
+    rng = np.random.default_rng(6)
+    texts = []
+    for i in range(60):
+        words = [f"a{i}x{j}" for j in range(150)]
+        other = list(words)
+        for at in rng.choice(150, 1 + i % 6, replace=False):
+            other[at] = "changed"
+        texts += [" ".join(words), " ".join(other)]
+    sets = [grams(t) for t in texts]
+    want = set()
+    for k in range(0, len(texts), 2):
+        x, y = sets[k], sets[k + 1]
+        want |= {frozenset((k, k + 1))} if len(x & y) >= 0.8 * len(x | y) else {frozenset((k,)), frozenset((k + 1,))}
+    assert any(len(x) == 1 for x in want) and groups_of(spark, texts) == want
