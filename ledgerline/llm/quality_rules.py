@@ -13,7 +13,11 @@ from ledgerline.llm.common import SPACE_CHARS, WORD_PATTERN, settled
 
 #: Labelled documents that the rules are learned from at most: those first in the order of md5(doc_id).
 SAMPLE = 10_000
+#: Words that mark toxic documents: the most that are taken, the toxic documents that must hold one, and their least share of those that do.
+FLAGGED, FLAGGED_SUPPORT, FLAGGED_PRECISION = 1_000, 5, 0.9
 SYMBOLS = "#*$%&|<>"
+#: What separates words when they are looked up.
+BETWEEN = SPACE_CHARS + ".,;:!?\"'()[]{}/\\_-" + SYMBOLS
 #: What the rules may test, as SQL over the statistics.
 FEATURES = {
     "n_words": "n_words",
@@ -24,6 +28,7 @@ FEATURES = {
     "upper_share": "n_upper / greatest(word_chars, 1)",
     "digit_share": "n_digits / greatest(word_chars, 1)",
     "marks_per_word": "n_marks / greatest(n_words, 1)",
+    "flagged_share": "n_flagged / greatest(n_words, 1)",
 }
 
 
@@ -31,8 +36,13 @@ def _count_of(text: Column, chars: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
 
 
-def statistics(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), window: int = 5) -> DataFrame:
-    """The ``carry`` columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_digits, n_marks.
+def _plain_words(text: Column) -> Column:
+    """The lower-case words of a text without punctuation, among empty strings."""
+    return F.split(F.translate(F.lower(text), BETWEEN, " " * len(BETWEEN)), " ", -1)
+
+
+def statistics(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), window: int = 5, flagged: tuple[str, ...] = ()) -> DataFrame:
+    """The ``carry`` columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_digits, n_marks, n_flagged (words in ``flagged``).
 
     All within the row: no shuffle. Repeated windows are found by sorting the
     64-bit hashes of a document's windows, only where not all are distinct.
@@ -49,8 +59,9 @@ def statistics(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("d
         _count_of(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
         _count_of(t, "0123456789").alias("n_digits"),
         _count_of(t, "!?").alias("n_marks"),
+        (F.size(F.filter(_plain_words(t), lambda x: x.isin(*flagged))) if flagged else F.lit(0)).cast("long").alias("n_flagged"),
     )
-    rest = ["__row", "word_chars", "n_symbols", "n_upper", "n_digits", "n_marks"]
+    rest = ["__row", "word_chars", "n_symbols", "n_upper", "n_digits", "n_marks", "n_flagged"]
     hashed = base.select(
         *rest, F.size("words").cast("long").alias("n_words"), F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -84,6 +95,14 @@ class Rule:
         return all(row[f] >= x if up else row[f] <= x for f, up, x in self.tests)
 
 
+class Rules(list):
+    """A decision list and the words that its rules count."""
+
+    def __init__(self, rules=(), flagged: tuple[str, ...] = ()):
+        super().__init__(rules)
+        self.flagged = flagged
+
+
 def learn_rules(rows: list[tuple[dict, bool, int]], most: int = 12, tests: int = 3, cuts: int = 24, precision: float = 0.9, support: int = 5) -> list[Rule]:
     """Sequential covering over (features, reject, split) rows: grow a conjunction by FOIL gain, prune it, keep it, drop what it covers.
 
@@ -145,19 +164,29 @@ def learn_rules(rows: list[tuple[dict, bool, int]], most: int = 12, tests: int =
     return rules
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", quality: str = "quality", sample: int = SAMPLE) -> list[Rule]:
-    """Learn the decision list from labelled documents (quality 0: reject).
+def learn_words(rows: DataFrame, text: str = "text", toxic: str = "toxic") -> tuple[str, ...]:
+    """The words that occur in toxic rows and hardly in others, most frequent first."""
+    words = rows.select(F.col(toxic).alias("toxic"), F.explode(F.array_distinct(_plain_words(F.col(text)))).alias("w")).where("w <> ''")
+    told = words.groupBy("w").agg(F.count_if("toxic").alias("k"), F.count("*").alias("n")).where((F.col("k") >= FLAGGED_SUPPORT) & (F.col("k") >= FLAGGED_PRECISION * F.col("n")))
+    return tuple(r["w"] for r in told.orderBy(F.desc("k"), "w").limit(FLAGGED).collect())
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", quality: str = "quality", toxic: str = "toxic", sample: int = SAMPLE) -> Rules:
+    """Learn the decision list from labelled documents (quality 0 or toxic 1: reject).
 
     At most ``sample`` labelled ids, first in the order of md5(doc_id), reach
-    the driver, each with its statistics. Rows without id or label are left
-    out; an id with several labels counts as rejected if one says so.
+    the driver, each with its statistics. Rows without id or either label are
+    left out; an id with several labels counts as rejected if one says so. The
+    words that mark toxic documents are learned from the rows that rules grow on.
     """
     order = F.md5(F.col("id").cast("string"))
-    known = labels.select(F.col(doc_id).alias("id"), (F.col(quality) == 0).alias("bad")).dropna().groupBy("id").agg(F.max("bad").alias("bad"))
+    low, harm = F.col(quality) == 0, F.col(toxic) == 1
+    known = labels.select(F.col(doc_id).alias("id"), F.coalesce(low | harm, low, harm).alias("bad"), F.coalesce(harm, F.lit(False)).alias("toxic")).dropna().groupBy("id").agg(F.max("bad").alias("bad"), F.max("toxic").alias("toxic"))
     chosen = known.orderBy(order, "id").limit(sample)
-    rows = docs.withColumnRenamed(doc_id, "id").join(F.broadcast(chosen), "id").select("id", "bad", F.col(text).alias("text"))
-    told = statistics(rows, "text", ("id", "bad")).select("id", "bad", *[F.expr(f"double({x})").alias(k) for k, x in FEATURES.items()])
-    return learn_rules([({k: r[k] for k in FEATURES}, bool(r["bad"]), zlib.crc32(str(r["id"]).encode())) for r in sorted(told.collect(), key=lambda r: (str(r["id"]), tuple(r)))])
+    rows = docs.withColumnRenamed(doc_id, "id").join(F.broadcast(chosen), "id").select("id", "bad", "toxic", F.col(text).alias("text"))
+    flagged = learn_words(rows.where(F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 0))
+    told = statistics(rows, "text", ("id", "bad"), flagged=flagged).select("id", "bad", *[F.expr(f"double({x})").alias(k) for k, x in FEATURES.items()])
+    return Rules(learn_rules([({k: r[k] for k in FEATURES}, bool(r["bad"]), zlib.crc32(str(r["id"]).encode())) for r in sorted(told.collect(), key=lambda r: (str(r["id"]), tuple(r)))]), flagged)
 
 
 def rejected(rules: list[Rule]) -> Column:
@@ -175,6 +204,6 @@ def apply_rules(docs: DataFrame, rules: list[Rule], text: str = "text", carry: t
     labelled rows there are no rules, and the base rules alone decide. Repeated
     rows are judged alike; an empty table gives no rows.
     """
-    stats = statistics(docs, text, carry)
+    stats = statistics(docs, text, carry, flagged=getattr(rules, "flagged", ()))
     told = stats.withColumn("base_failed", base_failed()).withColumn("rule", rejected(rules))
     return told.withColumn("kept", settled(~F.col("base_failed") & F.col("rule").isNull()))

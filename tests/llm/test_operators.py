@@ -121,6 +121,15 @@ def test_rules_find_a_threshold():
     assert rules and sum(any(r.meets(x[0]) for r in rules) == x[1] for x in rows) > 570
 
 
+def test_rules_catch_toxic_documents(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{j}" for j in rng.integers(0, 400, 60)) + (" You Idiot, moron!" if i % 5 == 0 else " you all"), "en", "a") for i in range(300)]
+    docs = table(spark, rows)
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    out = quality_rules.apply_rules(docs, quality_rules.fit(docs, labels)).collect()
+    assert {r.doc_id for r in out if not r.kept} == {i for i in range(300) if i % 5 == 0}
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(1, " ".join(LONG.split()[50:62])), (2, "Short TEXT"), (3, None), (4, "..."), (5, "not there at all whatever")], "item_id long, text string")
     hits = {r.key: (r.n_hit, r["items"]) for r in decontaminate.decontaminate(docs, items).collect()}
