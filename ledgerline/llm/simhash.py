@@ -252,7 +252,7 @@ def fp_hex(fp):
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 #: One text in SPARSE is looked at for common shingles: those that SEEN of them hold, the COMMON most frequent at most.
 SPARSE, SEEN, COMMON = 16, 8, 1_000_000
-#: The nodes whose shingle sets are compared are broadcast up to this many, beyond it the texts are shuffled.
+#: Shared shingles, and the nodes whose sets are compared, are broadcast up to this many, beyond it the other side is shuffled.
 BROADCAST_NODES = 500_000
 
 
@@ -324,18 +324,22 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, t
     made = rows.mapInArrow(run, "node long, d long, n int, prefix array<long>")
     nodes = materialize(made.groupBy("node").agg(F.min("d").alias("d"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "similar-nodes")
     each = nodes.select("node", "n", F.explode("prefix").alias("h"))
-    member = F.struct("node", "n")
-    shared = materialize(each.groupBy("h").agg(F.min(member).alias("lo"), F.max(member).alias("hi")).where("lo.node <> hi.node"), "similar-shared")
-    keyed = materialize(each.join(shared, "h"), "similar-keyed")
+    shared = materialize(each.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi"), "similar-shared")
+    keyed = materialize(each.join(F.broadcast(shared) if shared.count() <= BROADCAST_NODES else shared, "h"), "similar-keyed")
 
     def fits(a: str, b: str):
         return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
 
+    def enough(a: str, b: str):
+        # what two sets share beyond their prefixes is at most what the larger holds there
+        return F.col("c") + F.ceil(F.lit(similarity) * F.greatest(a, b) - 1e-9) - 1 >= F.lit(similarity / (1 + similarity)) * (F.col(a) + F.col(b)) - 1e-9
+
     def ordered(a: str, b: str):
         return F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")
 
-    stars = keyed.select("node", "n", F.explode(F.array("lo", "hi")).alias("m")).where((F.col("node") != F.col("m.node")) & fits("n", "m.n"))
-    stars = materialize(stars.select(*ordered("node", "m.node")).distinct(), "similar-stars")
+    stars = keyed.select("node", "n", F.explode(F.array("lo", "hi")).alias("m")).where("node <> m").groupBy("node", "n", "m").agg(F.count("*").alias("c"))
+    stars = stars.join(nodes.select(F.col("node").alias("m"), F.col("n").alias("mn")), "m").where(fits("n", "mn") & enough("n", "mn"))
+    stars = materialize(stars.select(*ordered("node", "m")).distinct(), "similar-stars")
     near = _alike(stars, rows, similarity, shingle)
     part = F.coalesce("root", "node").alias("part")
     parted = materialize(keyed.select("h", "node", "n").join(connected_components(near), "node", "left").select("h", "node", "n", part), "similar-parts")
@@ -343,7 +347,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, t
     mixed = materialize(parted.join(sizes.select("h", F.col("big.part").alias("big")), "h"), "similar-mixed")
     a = mixed.where("part <> big").select("h", F.col("node").alias("an"), F.col("n").alias("a"), F.col("part").alias("ap"))
     b = mixed.select("h", F.col("node").alias("bn"), F.col("n").alias("b"), F.col("part").alias("bp"), (F.col("part") == F.col("big")).alias("main"))
-    rest = a.join(b, "h").where((F.col("ap") != F.col("bp")) & (F.col("main") | (F.col("an") < F.col("bn"))) & fits("a", "b")).select(*ordered("an", "bn")).distinct()
+    rest = a.join(b, "h").where((F.col("ap") != F.col("bp")) & (F.col("main") | (F.col("an") < F.col("bn"))) & fits("a", "b"))
+    rest = rest.groupBy("an", "bn", "a", "b").agg(F.count("*").alias("c")).where(enough("a", "b")).select(*ordered("an", "bn")).distinct()
     rest = materialize(rest.join(stars, ["src", "dst"], "left_anti"), "similar-rest")
     roots = connected_components(near.unionByName(_alike(rest, rows, similarity, shingle)))
     return nodes.select("node", "d").join(roots, "node", "left").select("node", "d", F.coalesce("root", "node").alias("root"))
