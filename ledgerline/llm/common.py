@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import pairwise
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +19,14 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (a
-    local session, as in tests) a temporary folder is made and remembered.
+    It is the session's ``spark.checkpoint.dir``; only in a local session, as in
+    tests, may that be unset: a temporary folder is made and remembered.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = spark.conf.get("spark.ledgerline.scratch", None)
     if not own:
         own = tempfile.mkdtemp(prefix="ledgerline-")
@@ -50,6 +55,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def private(docs: DataFrame, **columns: str) -> DataFrame:
+    """``columns`` of ``docs`` alone, under new names: other columns can't clash with them."""
+    return docs.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """``table``, dealt out to all cores where its scan has fewer partitions than there are cores.
+
+    Meant for scans before a map that takes far longer than moving the rows.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(2 * cores)
+
+
+def slices(batch, column: str, size: int):
+    """Runs of an Arrow batch's rows that hold about ``size`` bytes of text, a longer text being one run."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // size)) + 1).tolist(), len(batch)]
+    for a, b in pairwise(cuts):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def settled(column: Column) -> Column:
     """``column``, computed once where it stands.
 

@@ -208,3 +208,62 @@ def test_line_dedup(spark, docs, empty):
     text = "\n".join(f"line {i}" for i in range(30))
     two = {r.doc_id: r for r in line_dedup.line_dedup(table(spark, [(1, text, None, None), (2, "first\n" + text, None, None)])).collect()}
     assert two[1].kept == text and two[2].n_removed_lines > 15
+
+
+def test_viterbi_is_the_best_path():
+    import itertools
+
+    rng = np.random.default_rng(8)
+    lengths = rng.integers(0, 6, 12)
+    scores = rng.normal(size=(int(lengths.sum()), 3)) * 4
+    for penalty in (0.0, 1.5, 6.0):
+        path, at = language_id.viterbi(scores, lengths, penalty), 0
+
+        def worth(own, mine, penalty=penalty):
+            return sum(mine[i, x] for i, x in enumerate(own)) - penalty * sum(a != b for a, b in itertools.pairwise(own))
+
+        for n in lengths.tolist():
+            mine, own = scores[at : at + n], path[at : at + n]
+            assert n == 0 or worth(own, mine) >= max(worth(x, mine) for x in itertools.product(range(3), repeat=n)) - 1e-9
+            at += n
+
+
+def test_language_words_are_letters():
+    assert [language_id.words_of(t) for t in ("²", "½ ① Ⅷ", "12_ab3c", None, "é́", "́")] == [[], [], ["ab", "c"], [], ["é́"], []]
+    hindi = "हिन्दी में"
+    assert language_id.words_of(hindi) == hindi.split()
+    assert [hindi[a:b] for a, b in language_id.word_spans(hindi)] == hindi.split()
+
+
+def test_language_scores_match_a_plain_model(spark):
+    import math
+
+    words = {"en": "the cat sat with that thing", "fr": "le été dans une forêt où"}
+    model = language_id.fit(table(spark, [(i, words[la], la, "s") for i in range(4) for la in words]))
+    counts = {la: collections.Counter() for la in words}
+
+    def grams(w):
+        x = f"<{w}>"
+        return [x[i : i + k] for k in (1, 2, 3) for i in range(len(x) - k + 1)] + ["whole " + w]
+
+    for la, text in words.items():
+        for w in text.split():
+            for g in grams(w):
+                counts[la][g] += 4
+    total = {la: sum(c.values()) for la, c in counts.items()}
+    for w in ("the", "cap", "forêt", "x"):
+        shares = {la: [math.log((counts[la][g] + 0.5) / (total[la] + 1)) for g in grams(w)] for la in words}
+        want = [sum(x) / len(x) * 2 * math.sqrt(len(w) + 1) for _, x in sorted(shares.items())]
+        got = model.words([w])[0]
+        assert np.allclose(got, want, atol=1e-3)
+
+
+def test_language_takes_clashing_columns_and_long_texts(spark):
+    words = {"en": "the cat sat with that thing ", "fr": "le été dans une forêt où "}
+    rows = [(9, i, words[la] * (3000 if i == 0 else 2), la) for i in range(4) for la in words]
+    docs = spark.createDataFrame(rows, "id long, doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    got = language_id.identify(docs, model, with_spans=False).collect()
+    assert model.langs == ["en", "fr"] and sorted(r.lang_pred for r in got) == ["en"] * 4 + ["fr"] * 4
+    assert language_id.training_sample(docs, "text", "lang", "doc_id", 2, 10**9).count() == 4
+    assert language_id.training_sample(docs, "text", "lang", "doc_id", 4, 10).count() == 2
