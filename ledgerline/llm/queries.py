@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import decontaminate, language_id, line_dedup, lm_score, mixing, pii, quality_rules, simhash, suffix_dedup, token_output
-from ledgerline.llm.common import table
+from ledgerline.llm.common import materialize, table
 
 
 def _fold(modulus: int):
@@ -55,8 +55,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return pii.find(docs, pii.learn_patterns(docs))
+    found = materialize(pii.extract(table(spark, sf_dir, "documents")), "pii-found")
+    return pii.find(found, pii.learn_patterns(found))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,12 +154,49 @@ def test_base_spans_match_the_patterns():
         assert pii.base_spans(t) == want, t
 
 
-def test_pii_contexts(spark, empty):
+def pii_spans(docs, learn=True):
+    found = pii.extract(docs)
+    return {r.doc_id: r for r in pii.find(found, pii.learn_patterns(found) if learn else None).collect()}
+
+
+def test_pii_contexts(spark, docs, empty):
     rows = [(i, f'here token = "{hashlib.sha1(str(i).encode()).hexdigest()}" ends', "en", "a") for i in range(20)] + [(99, 'here token = "plain-key-77" ends', "en", "a")]
+    got = pii_spans(table(spark, rows))
+    assert got[99].spans == "secret:14:26" and got[3].spans == "secret:14:54"
+    assert pii_spans(empty) == {} and pii_spans(docs)[4].spans == ""
+
+
+def test_learned_patterns_find_what_no_fixed_pattern_sees(spark):
+    rng = np.random.default_rng(4)
+    filler = [f"word{i}" for i in range(300)]
+    words = lambda n: " ".join(rng.choice(filler, n))
+    rows = []
+    for i in range(30):
+        rows.append((i, f"{words(4)} mail: user{i}@host{i}.example.com {words(3)}", "en", "a"))
+        rows.append((100 + i, f"10.1.{i}.7 logged in {words(5)}", "en", "a"))
+        rows.append((200 + i, f"{words(3)} call me at +1 (555) 555-{1000 + i} {words(2)}", "en", "a"))
+        rows.append((300 + i, f"{words(6)} number {i * 37} {words(4)}", "en", "a"))
+    planted = {900: ("x y mail: bob@internal z", "email", "bob@internal"), 901: ("fe80::17 logged in now", "ip", "fe80::17"), 902: ("please call me at 5550199 today", "phone", "5550199"), 903: ("mail: eve(at)host", None, None)}
+    rows += [(d, t, "en", "a") for d, (t, _, _) in planted.items()]
     docs = table(spark, rows)
-    got = {r.doc_id: r.spans for r in pii.find(docs, pii.learn_patterns(docs)).collect()}
-    assert got[99] == "secret:14:26" and got[3] == "secret:14:54"
-    assert pii.find(empty, []).count() == 0 and pii.learn_patterns(empty) == []
+    got, plain = pii_spans(docs), pii_spans(docs, learn=False)
+    for d in (900, 901, 902):
+        t, kind, x = planted[d]
+        assert plain[d].spans == "" and got[d].spans == f"{kind}:{t.index(x)}:{t.index(x) + len(x)}" and got[d].n_learned == 1
+    assert all(got[300 + i].spans == "" for i in range(30))
+    for r in got.values():
+        assert r.base_sha256 == plain[r.doc_id].base_sha256 and r.n_spans == len(list(filter(None, r.spans.split(","))))
+
+
+def test_pii_counts_and_digests(spark, docs):
+    text = 'x@y.example.com 10.0.0.1 4111 1111 1111 1111 +1 (555) 555-1234 "4111111111111111"'
+    base = pii.base_spans(text)
+    r = pii_spans(table(spark, [(1, text, None, None)]))[1]
+    assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in pii.KINDS]
+    assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+    assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+    long = "a" * 300_000 + "@" + "b" * 300_000 + " 10.0.0.1 " + "1" * 200_000
+    assert pii_spans(table(spark, [(1, long, None, None)]))[1].n_ip == 1
 
 
 def test_tokens_round_trip(spark, docs, empty):
