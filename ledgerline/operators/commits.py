@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerline.operators.folds import fold_log
 from ledgerline.operators.logs import LOG, PAGE, first_failing
 
 
@@ -17,24 +18,23 @@ def commit_log(arrivals: DataFrame, scope: str, order: list[str], expected: str,
     is a duplicate if the digest is equal, else a conflict. One shuffle on the
     scope; the fold carries the head and the inputs taken, at most ``limit``.
     """
-    entry = F.struct(*order, F.col(expected).cast("long").alias("e"), F.col(n).cast("long").alias("n"), F.col(digest).alias("d"), F.col(input_id).alias("i"))
-    logs = arrivals.groupBy(scope).agg(F.array_sort(F.collect_list(entry)).alias("log"))
-    start = F.struct(F.lit(0).cast("long").alias("head"), F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<string>")).alias("by"), F.array().cast("array<string>").alias("took"), F.array().cast("array<string>").alias("out"))
-
-    def step(a, c):
-        fits = a["head"] + c["n"] <= limit
-        verdict = (
-            F.when(a["by"][c["e"]].isNotNull(), F.when(a["by"][c["e"]] == c["d"], "duplicate").otherwise("Conflict"))
-            .when((c["e"] != a["head"]) | F.coalesce(F.array_contains(a["took"], c["i"]), F.lit(False)), "Conflict").when(~fits, "QuotaExceeded").otherwise("committed")
-        )
-        new = verdict == "committed"
-        return F.struct(
-            F.when(new, a["head"] + c["n"]).otherwise(a["head"]).alias("head"), F.when(new, F.map_concat(a["by"], F.create_map(c["e"], c["d"]))).otherwise(a["by"]).alias("by"),
-            F.when(new & c["i"].isNotNull(), F.array_append(a["took"], c["i"])).otherwise(a["took"]).alias("took"), F.array_append(a["out"], verdict).alias("out"),
-        )
-
-    told = logs.select(scope, F.explode(F.arrays_zip("log", F.aggregate("log", start, step)["out"].alias("v"))).alias("x"))
-    return told.select(scope, *[F.col(f"x.log.{o}").alias(o) for o in order], F.col("x.v").alias("verdict"))
+    rows = arrivals.select(scope, *order, F.col(expected).cast("long").alias("__e"), F.col(n).cast("long").alias("__n"), F.col(digest).alias("__d"), F.col(input_id).alias("__i"))
+
+    def step(a, e, size, d, i):
+        if e in a["by"]:
+            return ("duplicate" if a["by"][e] == d else "Conflict",)
+        if e != a["head"] or i in a["took"]:
+            return ("Conflict",)
+        if a["head"] + size > limit:
+            return ("QuotaExceeded",)
+        a["head"] += size
+        a["by"][e] = d
+        if i is not None:
+            a["took"].add(i)
+        return ("committed",)
+
+    told = fold_log(rows, [scope], order, ["__e", "__n", "__d", "__i"], lambda: {"head": 0, "by": {}, "took": set()}, step, "verdict string")
+    return told.select(scope, *order, "verdict")
 
 
 def page_code(n: Column, contiguous: Column, end: Column, continuation: Column, same_scope: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerline.operators.folds import fold_log
+
 PAGE, LOG, COMMIT = 512, 4096, 128
 
 
@@ -40,10 +42,25 @@ def heads_agree(heads: DataFrame, log: DataFrame, scope: str, sequence: str) ->
     return heads.join(tail, scope, "full_outer").select(scope, F.col("next_sequence").eqNullSafe(F.col("tail")).alias("consistent"))
 
 
-def running_quota(log: DataFrame, scope: str, order: list[str], size: Column, limit: int) -> DataFrame:
-    """Each row with the bytes used so far in its scope and whether they are within ``limit``."""
-    used = F.sum(size).over(W.partitionBy(scope).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return log.withColumn("used", used).withColumn("accepted", F.col("used") <= limit)
+def running_quota(log: DataFrame, scope: str, order: list[str], size: str, limit: int, max_scopes: int | None = None) -> DataFrame:
+    """Each row with the bytes used in its scope after it and whether it was accepted.
+
+    A row that would go beyond ``limit`` is refused and charges nothing. With
+    ``max_scopes``, scopes are admitted in ascending order of their name, and the
+    rows of later ones are refused.
+    """
+
+    def step(used, n):
+        fits = used[0] + (n or 0) <= limit
+        used[0] += (n or 0) if fits else 0
+        return used[0], fits
+
+    told = fold_log(log, [scope], order, [size], lambda: [0], step, "used long, accepted boolean")
+    if max_scopes is None:
+        return told
+    admitted = log.select(scope).distinct().orderBy(scope).limit(max_scopes).withColumn("__in", F.lit(True))
+    fits = F.coalesce("__in", F.lit(False))
+    return told.join(admitted, scope, "left").withColumns({"used": F.when(fits, F.col("used")).otherwise(F.lit(0).cast("long")), "accepted": F.col("accepted") & fits}).drop("__in")
 
 
 def accept_inputs(arrivals: DataFrame, key: list[str], content: list[str], order: list[str]) -> DataFrame:

@@ -13,16 +13,17 @@ def _ordered(events: DataFrame, keys: list[str], order: list[str], result: str)
     return events.groupBy(*keys).agg(F.transform(logged, lambda x: x["__r"]).alias("log"))
 
 
-def replay_linear(events: DataFrame, keys: list[str], order: list[str], result: str = "result", steps: int = 3, attempts: int = 2, compensable: tuple[int, ...] = (), strict: bool = False) -> DataFrame:
-    """The state of each process after its whole log: keys, n_events, status, step, attempt, n_compensable[, error_code, error_sequence].
+def replay_linear(events: DataFrame, keys: list[str], order: list[str], result: str = "result", steps: int = 3, attempts: int = 2, compensable: tuple[int, ...] = ()) -> DataFrame:
+    """The state of each process after its whole log: keys, n_events, status, step, attempt, n_compensable.
 
     Results are S, R, T, U: succeeded, retryable failure, terminal failure,
     unknown. One shuffle on the keys; the fold itself is one aggregate over the
-    process's ordered log. Lenient mode (an extension of this engine) skips
-    what follows a terminal state; strict mode reports the first such event.
+    process's ordered log. This replay is lenient, an extension of this engine:
+    it takes results alone and skips what follows a terminal state;
+    ``decide.replay_events`` is the whole one.
     """
     can = f"array_contains(array({', '.join(map(str, compensable))}), a.step)" if compensable else "false"
-    state = lambda status, step="a.step", att="0", comp="a.comp", bad="a.bad": f"named_struct('status', {status}, 'step', {step}, 'att', {att}, 'comp', {comp}, 'n', a.n + 1, 'bad', {bad})"
+    state = lambda status, step="a.step", att="0", comp="a.comp": f"named_struct('status', {status}, 'step', {step}, 'att', {att}, 'comp', {comp})"
     begin = f"if(size(a.comp) = 0, {state(chr(39) + 'Escalated' + chr(39), att='a.att')}, {state(chr(39) + 'Compensating' + chr(39))})"
     running = f"""case r
         when 'S' then if(a.step = {steps - 1}, {state("'Completed'", str(steps), "a.att", f"if({can}, array_append(a.comp, a.step), a.comp)")},
@@ -35,13 +36,10 @@ def replay_linear(events: DataFrame, keys: list[str], order: list[str], result:
         when 'S' then if(size(a.comp) = 1, {state("'Compensated'", att="a.att", comp=rest)}, {state("'Compensating'", comp=rest)})
         when 'R' then if(a.att + 1 >= {attempts}, {state("'Escalated'", att="a.att")}, {state("'Compensating'", att="a.att + 1")})
         else {state("'Escalated'", att="a.att")} end"""
-    zero = "named_struct('status', 'Running', 'step', 0, 'att', 0, 'comp', cast(array() as array<int>), 'n', 0, 'bad', -1)"
-    fold = f"aggregate(log, {zero}, (a, r) -> case a.status when 'Running' then {running} when 'Compensating' then {back} else {state('a.status', att='a.att', bad='if(a.bad < 0, a.n, a.bad)')} end)"
+    zero = "named_struct('status', 'Running', 'step', 0, 'att', 0, 'comp', cast(array() as array<int>))"
+    fold = f"aggregate(log, {zero}, (a, r) -> case a.status when 'Running' then {running} when 'Compensating' then {back} else a end)"
     out = _ordered(events, keys, order, result).select(*keys, F.size("log").alias("n_events"), F.expr(fold).alias("s"))
     cols = [*keys, F.col("n_events").cast("long").alias("n_events"), F.col("s.status").alias("status"), F.col("s.step").alias("step"), F.col("s.att").alias("attempt"), F.size("s.comp").alias("n_compensable")]
-    if strict:
-        failed = F.col("s.bad") >= 0
-        cols += [F.when(failed, "TerminalProjection").alias("error_code"), F.when(failed, F.col("s.bad")).alias("error_sequence")]
     return out.select(*cols)
 
 
@@ -85,14 +83,3 @@ def planned_kinds(status: Column, next_action: Column, timer_pending: Column) ->
 def manual_resolution(status: Column, resolution: Column, n_compensable: Column) -> Column:
     """The status after a manual resolution; only escalated processes take one (null otherwise)."""
     return F.when(status == "Escalated", F.when(resolution == "RetryAction", "Running").when((resolution == "Compensate") & (n_compensable > 0), "Compensating").when(resolution.isin("Compensate", "Cancel"), "Cancelled").otherwise("Escalated"))
-
-
-def reachable(edges: DataFrame, entry: str, nodes: DataFrame) -> DataFrame:
-    """(step, reachable) by a recursive query; a definition has at most 128 steps, so the recursion is that deep at most."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("__edges")
-    nodes.createOrReplaceTempView("__nodes")
-    return spark.sql(f"""
-        with recursive walk(step, depth) as (
-          select '{entry}', 0 union all select e.dst, depth + 1 from walk join __edges e on e.src = walk.step where depth < (select count(*) from __nodes))
-        select n.step, max(w.step is not null) as reachable from __nodes n left join walk w on w.step = n.step group by n.step""")

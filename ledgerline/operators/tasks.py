@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerline.operators.folds import fold_log
+
 
 def replay_tasks(records: DataFrame, key: str, order: list[str], attempts: int = 3) -> DataFrame:
     """(key, n_records, status, generation, checkpoints): each task's state after its records, the first illegal one stops the fold.
@@ -41,8 +42,6 @@ def next_record(projected: DataFrame, attempts: int = 3) -> DataFrame:
 
 def may_start(generations: DataFrame, key: str) -> DataFrame:
     """Each generation with whether all earlier ones of its task are stopped (state 2)."""
-    from pyspark.sql import Window as W
-
     earlier = W.partitionBy(key).orderBy("generation").rowsBetween(W.unboundedPreceding, -1)
     return generations.withColumn("may_start", F.coalesce(F.min(F.when(F.col("state") == 2, 1).otherwise(0)).over(earlier), F.lit(1)) == 1)
 
@@ -53,30 +52,6 @@ def retirable(projected: DataFrame, generations: DataFrame, key: str) -> DataFra
     return projected.where(F.col("status").isin("Completed", "Exhausted")).join(live, key, "left_anti")
 
 
-def fold_in_python(records: DataFrame, key: str, order: list[str], step, schema: str) -> DataFrame:
-    """Fold each key's ordered records by the pure function ``step(state, record) -> state`` (a dict or None at the start)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = None
-        for r in pdf.sort_values(order).to_dict("records"):
-            state = step(state, r)
-        return pd.DataFrame([{key: pdf[key].iloc[0], **(state or {})}])
-
-    return records.groupBy(key).applyInPandas(run, schema)
-
-
-def batches_of(rows: Iterator, n: int) -> Iterator[list]:
-    """Lists of at most ``n`` rows."""
-    held: list = []
-    for r in rows:
-        held.append(r)
-        if len(held) == n:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
 def propose(records: DataFrame, proposed: DataFrame, key: str, order: list[str], attempts: int = 3) -> DataFrame:
     """(key, legal, status): whether one more record would be legal after each task's history, which itself stays as it is."""
     both = records.select(key, *order, "kind").unionByName(proposed.select(key, *order, "kind"))
@@ -104,17 +79,18 @@ def observe(proposal: Column, generation: Column, current: Column, tick: Column,
 
 def journal(commits: DataFrame, key: str, order: list[str], expected: str, previous: str, digest: str, limit: int) -> DataFrame:
     """Each journal commit with its verdict; it must expect the next sequence and name the last record's digest (null at first)."""
-    log = commits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(expected).cast("long").alias("e"), F.col(previous).alias("p"), F.col(digest).alias("d")))).alias("log"))
-    start = F.struct(F.lit(0).cast("long").alias("next"), F.lit(None).cast("string").alias("last"), F.array().cast("array<string>").alias("out"))
-
-    def step(a, c):
-        fits = (c["e"] == a["next"]) & c["p"].eqNullSafe(a["last"])
-        verdict = F.when(~fits, "Conflict").when(a["next"] >= limit, "QuotaExhausted").otherwise("committed")
-        new = verdict == "committed"
-        return F.struct(F.when(new, a["next"] + 1).otherwise(a["next"]).alias("next"), F.when(new, c["d"]).otherwise(a["last"]).alias("last"), F.array_append(a["out"], verdict).alias("out"))
-
-    told = log.select(key, F.explode(F.arrays_zip("log", F.aggregate("log", start, step)["out"].alias("v"))).alias("x"))
-    return told.select(key, *[F.col(f"x.log.{o}").alias(o) for o in order], F.col("x.v").alias("verdict"))
+    rows = commits.select(key, *order, F.col(expected).cast("long").alias("__e"), F.col(previous).alias("__p"), F.col(digest).alias("__d"))
+
+    def step(a, e, p, d):
+        if e != a["next"] or p != a["last"]:
+            return ("Conflict",)
+        if a["next"] >= limit:
+            return ("QuotaExhausted",)
+        a["next"], a["last"] = a["next"] + 1, d
+        return ("committed",)
+
+    told = fold_log(rows, [key], order, ["__e", "__p", "__d"], lambda: {"next": 0, "last": None}, step, "verdict string")
+    return told.select(key, *order, "verdict")
 
 
 def reconstruct(records: DataFrame, key: str, sequence: str, body: str, checksum: str) -> DataFrame:

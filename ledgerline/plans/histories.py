@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,8 +11,8 @@ from ledgerline.operators import tasks as K
 from ledgerline.operators import timeline as M
 from ledgerline.plans.lifecycle import query
 from ledgerline.plans.oracles import _IN, _OUT, _TASK, NOW, ORACLES, _linear
-from ledgerline.plans.queries import _CONTENT, QUERIES, K3_task_replay, L12_replay_full, M8_correction_replay, _inputs, _lineage, _outcomes, _records, lit
-from ledgerline.sources.tables import millis, read
+from ledgerline.plans.queries import _CONTENT, K3_task_replay, L12_replay_full, M8_correction_replay, _inputs, _lineage, _outcomes, _overrides, _records, lit
+from ledgerline.sources.tables import checkpointed, millis, read, scratch
 from ledgerline.streaming import inbox
 
 @query(_TASK + """, nx as (select user_id, case when user_id % 3 = 0 then 'Restarted' when user_id % 3 = 1 then 'RecoveryPlanned' else 'CheckpointCommitted' end k, status s, generation g, illegal from fin)
@@ -83,7 +80,7 @@ def M1_head(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "orders").select("o_orderkey", M.head_code(k % 100, F.col("o_custkey")).alias("code"))
 
 
-@query(f"with {_IN}, y as (select user_id, step, step // 2 + payload % 5 f from x), z as (select *, max(f) over (partition by user_id order by step rows between unbounded preceding and 1 preceding) m from y) select user_id, step, (m is null or f >= m) and f <= step advances from z")
+@query(f"with {_IN}, y as (select user_id, step, step // 2 + payload % 5 f from x), z as (select *, max(case when f <= step then f end) over (partition by user_id order by step rows between unbounded preceding and 1 preceding) m from y) select user_id, step, (m is null or f > m) and f <= step advances from z")
 def M4_finalize(s: SparkSession, d: str) -> DataFrame:
     x = _inputs(s, d).select("user_id", "step", (F.floor(F.col("step") / 2) + F.col("payload") % 5).alias("f"))
     return M.finalize_gate(x, "user_id", ["step"], "f", F.col("step")).select("user_id", "step", "advances")
@@ -93,7 +90,7 @@ def M4_finalize(s: SparkSession, d: str) -> DataFrame:
   st as (select user_id, 0 step, 0 rev, map([]::varchar[], []::int[]) live, []::varchar[] used, null::varchar kind, null::varchar v from e where step = 1
     union all select user_id, step, rev + (v in ('appended', 'promoted'))::int, case when v = 'reserved' then map_concat(live, map([b], [rev])) when v in ('aborted', 'promoted') then map_from_entries([q for q in map_entries(live) if q.key <> b]) else live end, case when v = 'reserved' then list_append(used, b) else used end, kind, v
     from (select e.user_id, e.step, rev, live, used, e.kind, b, case e.kind when 'append' then 'appended' when 'reserve' then case when list_contains(used, b) then 'Conflict' when cardinality(live) >= 3 then 'Capacity' else 'reserved' end
-      else case when live[b] is null then 'HistoryUnavailable' when e.kind = 'abort' then 'aborted' when live[b] <> rev then 'Conflict' else 'promoted' end end v from st join e on e.user_id = st.user_id and e.step = st.step + 1))
+      else case when live[b] is null then 'SessionUnavailable' when e.kind = 'abort' then 'aborted' when live[b] <> rev then 'Conflict' else 'promoted' end end v from st join e on e.user_id = st.user_id and e.step = st.step + 1))
   select user_id, step, kind, v verdict from st where step > 0""")
 def M5_control(s: SparkSession, d: str) -> DataFrame:
     t = F.col("event_type")
@@ -102,18 +99,18 @@ def M5_control(s: SparkSession, d: str) -> DataFrame:
 
 
 def _anchors(s, d):
-    tree = _lineage(s, d).withColumnRenamed("inherited_through", "state_changed_from").withColumn("admitted_through", F.lit(14))
+    tree = _lineage(s, d).withColumnRenamed("inherited_through", "state_changed_from")
     level = F.substring("branch", 1, 1)
     steps = tree.select("branch", F.explode(F.sequence(F.lit(1), F.lit(15))).alias("step"))
     own = steps.where((level == "r") | ((level == "n") & (F.col("step") % 4 == 0)) | ((level == "s") & (F.col("step") % 6 == 0))).withColumn("value", F.concat("branch", F.lit("#"), F.col("step").cast("string")))
     return tree, own, steps
 
 
-@query("""with k as (select s_suppkey, s_nationkey, n_regionkey, t.step from supplier join nation on s_nationkey = n_nationkey, unnest(range(3, 15)) t(step))
-  select 's' || s_suppkey branch, step::int step, f found_in, f || '#' || step as value from (select *, case when step % 6 = 0 then 's' || s_suppkey when step < 8 and step % 4 = 0 then 'n' || s_nationkey when step < 8 then 'r' || n_regionkey end f from k) where f is not null""")
+@query("""with k as (select s_suppkey, s_nationkey, n_regionkey, t.step from supplier join nation on s_nationkey = n_nationkey, unnest(range(3, 16)) t(step) where t.step <= 15 - s_suppkey % 3)
+  select 's' || s_suppkey branch, step::int step, f found_in, case when f = 's' || s_suppkey and step = 7 then f || '!7' else f || '#' || step end as value from (select *, case when step % 6 = 0 or step = 7 and s_suppkey % 4 = 0 then 's' || s_suppkey when step < 8 and step % 4 = 0 then 'n' || s_nationkey when step < 8 then 'r' || n_regionkey end f from k) where f is not null""")
 def M10_resolve_anchor(s: SparkSession, d: str) -> DataFrame:
     tree, own, steps = _anchors(s, d)
-    return M.resolve_anchors(tree, own, steps.where("branch like 's%'"), 3, 4)
+    return M.resolve_anchors(tree, own, steps.where("branch like 's%'"), 3, _overrides(s, d, 7))
 
 
 @query("""with x as (select *, row(l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) body from lineitem), y as (select l_suppkey % 50 branch, l_linenumber step, l_partkey % 3 revision, l_returnflag f, first_value(l_returnflag) over w ff, row_number() over w rn from x
@@ -131,7 +128,7 @@ def M12_anchor_check(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""select case when o_orderkey % 4 = 0 then 'r1' else 'f' || o_orderkey end branch, case when o_orderkey % 5 = 0 then 'zz' else 'n' || (o_custkey % 25) end parent, o_orderkey % 20 step,
-  case when o_orderkey % 4 = 0 then 'Conflict' when o_orderkey % 5 = 0 then 'HistoryUnavailable' when o_orderkey % 20 > 14 then 'FutureCorrection' end code from orders""")
+  case when o_orderkey % 4 = 0 then 'Conflict' when o_orderkey % 5 = 0 then 'HistoryUnavailable' when o_orderkey % 20 > 15 then 'FutureCorrection' end code from orders""")
 def M13_fork(s: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     tree, _, _ = _anchors(s, d)
@@ -139,11 +136,11 @@ def M13_fork(s: SparkSession, d: str) -> DataFrame:
     return M.fork(tree, ask)
 
 
-@query("select 's' || s_suppkey branch, len([x for x in range(3, s_suppkey % 15 + 1) if x <= 8 or x % 6 = 0]) n, n = greatest(s_suppkey % 15 - 2, 0) complete from supplier")
+@query("select 's' || s_suppkey branch, len([x for x in range(3, s_suppkey % 15 + 1) if x <= 15 - s_suppkey % 3 and (x <= 8 or x % 6 = 0)]) n, n = greatest(s_suppkey % 15 - 2, 0) complete from supplier")
 def M14_materialize(s: SparkSession, d: str) -> DataFrame:
     _, own, _ = _anchors(s, d)
     heads = read(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("branch"), (F.col("s_suppkey") % 15).cast("int").alias("head"))
-    return M.materialize_branch(_lineage(s, d), own, heads, 2, 4)
+    return M.materialize_branch(_lineage(s, d), own, heads, 2)
 
 
 @query(f"with {_IN} select user_id, count(*) n, max(step) - min(step) + 1 = count(distinct step) contiguous from x where step > 4 and step <= 20 + user_id % 7 and step % 11 <> 10 group by 1")
@@ -151,11 +148,14 @@ def M15_collect_inputs(s: SparkSession, d: str) -> DataFrame:
     return M.collect_inputs(_inputs(s, d).where("step % 11 <> 10"), "user_id", "step", lit(4), F.col("user_id") % 7 + 20)
 
 
-@query("""with k as (select branch, step from (select 'r' || r_regionkey branch, 12 f from region) b, unnest(range(1, 16)) t(step)) select 'input' kind, branch, step::int step from k where step > 6 union all select 'anchor', branch, step from k where step >= 6""")
+@query("""with k as (select b.branch, t.step, m from (select 'r' || r_regionkey branch, 1 m from region union all select 'n' || n_nationkey, 3 from nation union all select 's' || s_suppkey, 6 from supplier) b, unnest(range(1, 16)) t(step) where t.step % m = 0)
+  select 'input' kind, branch, step::int step from k where step > 6 union all select 'anchor', branch, step from k where step >= 6""")
 def M16_expire(s: SparkSession, d: str) -> DataFrame:
-    tree, own, _ = _anchors(s, d)
-    roots = own.where("branch like 'r%'").select("branch", "step")
-    inputs, anchors = M.expire_before(tree.where("branch like 'r%'"), roots, roots, 6)
+    tree = _lineage(s, d)
+    level = F.substring("branch", 1, 1)
+    every = F.when(level == "r", 1).when(level == "n", 3).otherwise(6)
+    own = tree.select("branch", F.explode(F.sequence(F.lit(1), F.lit(15))).alias("step")).where(F.col("step") % every == 0)
+    inputs, anchors = M.expire_before(tree, own, own, 6)
     return inputs.select(F.lit("input").alias("kind"), "branch", "step").unionByName(anchors.select(F.lit("anchor").alias("kind"), "branch", "step"))
 
 
@@ -201,13 +201,29 @@ def _task_log(s: SparkSession, d: str) -> DataFrame:
         kind.alias("kind"), F.when(kind == "CheckpointCommitted", F.concat(F.lit("c"), F.col("rn").cast("string"))).when(kind == "RecoveryPlanned", "c3").when(kind == "FaultObserved", "Panic").alias("detail"), (i % 50).alias("bytes"))
 
 
+# the state machine under the default definition
+_K2 = """with recursive e as (select user_id || '/' || ts::date::varchar task, event_id i, row_number() over (partition by user_id, ts::date order by ts, event_id) rn from events),
+  z as (select task, rn, rn - 1 sq, rn tick, case when rn >= 6 then 2 when rn >= 2 then 1 else 0 end gn, case when i % 5 = 0 and rn > 2 then ['FaultObserved', 'RecoveryExhausted', 'ReconciliationRequired', 'Started'][i % 4 + 1]
+    else ['IntentCommitted', 'Started', 'CheckpointCommitted', 'FaultObserved', 'RecoveryPlanned', 'Restarted', 'CheckpointCommitted', 'Completed'][least(rn, 8)] end k, i % 50 b from e),
+  y as (select *, case k when 'CheckpointCommitted' then 'c' || rn when 'RecoveryPlanned' then 'c3' when 'FaultObserved' then 'Panic' end dt, k in ('Started', 'Restarted') begins from z),
+  st as (select task, 0::bigint rn, 'Empty' s, 0::bigint n, 0::bigint tk, 0 g, 0::bigint until, 0::bigint made, null::varchar cp, null::varchar code, null::bigint pos from y where rn = 1
+    union all select task, rn, case when code is not null then s when k = 'IntentCommitted' then 'Pending' when begins then 'Running' when k = 'FaultObserved' then 'Faulted' when k = 'Completed' then 'Completed' when k = 'RecoveryPlanned' then 'Ready' when k = 'RecoveryExhausted' then 'Exhausted' else s end,
+      case when code is null then n + 1 else n end, case when code is null then tick else tk end, case when code is null and begins then gn else g end, case when code is null and begins then least(tick + 20, 1000) else until end, case when code is null and k = 'CheckpointCommitted' then made + 1 else made end,
+      case when code is null and k in ('CheckpointCommitted', 'RecoveryPlanned') then dt else cp end, code, case when code is not null then coalesce(pos, sq) end
+    from (select *, coalesce(old, case when sq <> n or tick < tk then 'InvalidOrder' when sq >= 64 or (begins or k = 'CheckpointCommitted') and sq >= 63 then 'QuotaExhausted' when gn <> g + begins::int then 'StaleGeneration'
+        when not (k = 'IntentCommitted' and s = 'Empty' or k = 'Started' and s = 'Pending' or k = 'Restarted' and s = 'Ready' or k in ('CheckpointCommitted', 'FaultObserved', 'Completed') and s = 'Running' or k in ('ReconciliationRequired', 'RecoveryPlanned') and s = 'Faulted' or k = 'RecoveryExhausted' and s in ('Faulted', 'Pending', 'Ready')) then 'InvalidTransition'
+        when begins and gn > 3 then 'QuotaExhausted' when begins and tick >= 1000 then 'DeadlineExpired' when k in ('CheckpointCommitted', 'Completed') and tick >= until then 'DeadlineExpired' when k = 'CheckpointCommitted' and (b > 40 or made >= 8) or k = 'Completed' and b > 40 then 'QuotaExhausted'
+        when k = 'ReconciliationRequired' then 'InvalidTransition' when k = 'RecoveryPlanned' and not (g < 3 and tick < 1000) then 'QuotaExhausted' when k = 'RecoveryPlanned' and dt is distinct from cp then 'CorruptBlob'
+        when k = 'RecoveryExhausted' and (s in ('Pending', 'Ready') and tick < 1000 or s = 'Faulted' and g < 3 and tick < 1000) then 'InvalidTransition' end) code
+      from (select st.* exclude (rn, code), st.code old, y.* exclude (task) from st join y on y.task = st.task and y.rn = st.rn + 1)))
+  select task, n n_applied, s status, g::bigint generation, tk tick, cp checkpoint, code, pos code_sequence from st qualify row_number() over (partition by task order by rn desc) = 1"""
+
+
+@query(_K2)
 def K2_task_records(s: SparkSession, d: str) -> DataFrame:
     return K.replay_records(_task_log(s, d), "task", K.Definition())
 
 
-QUERIES["K2_task_records"] = K2_task_records
-
-
 @query("select o_orderkey, o_orderstatus = 'O' and 820454400000 >= epoch_ms(o_orderdate) safe from orders")
 def R5_retry_safe(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "orders").select("o_orderkey", ((F.col("o_orderstatus") == "O") & (lit(NOW) >= millis("o_orderdate"))).alias("safe"))
@@ -255,18 +271,19 @@ def K15_drive(s: SparkSession, d: str) -> DataFrame:
     return K.drive_once(x, x.where("n % 3 <> 1"), "task")
 
 
-@query(ORACLES["M8_correction_replay"].replace("payload + (event_type = 'error')::int p from x", "payload + (event_type = 'error' and step > 2)::int p from x where step <= 30"))
+@query(ORACLES["M8_correction_replay"].replace("payload + (event_type = 'error')::int p from x", "payload + (event_type = 'error' and step > 2)::int p from x"))
 def M23_scoped_correction(s: SparkSession, d: str) -> DataFrame:
-    """Gate, plan, replace, replay: the inputs up to step 30, corrected where the plan allows it."""
-    x = M.append_gate(_inputs(s, d), "user_id", "step").where("appends and step <= 30")
-    ask = x.where("event_type = 'error'").select("user_id", "step", (F.col("payload") + 1).alias("payload"))
-    fine = M.correction_plan(x, ask, "user_id", "step", F.lit(2), 40).where("code is null").select("user_id", "step")
-    return M.replay_states(M.corrected(x.select("user_id", "step", "payload"), ask.join(fine, ["user_id", "step"], "left_semi"), "user_id", "step", "payload"), "user_id", "step", "payload")
-
-
-def _scratch(s: SparkSession, name: str) -> str:
-    root = s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ledgerline-")
-    return f"{root.rstrip('/')}/ledgerline/{name}-{uuid.uuid4().hex}"
+    """Gate, plan, replace, replay: every input that the gate lets in, corrected where the plan allows it."""
+    n = F.col("step").cast("long")
+    x = _inputs(s, d).select("user_id", n.alias("step"), "payload", "event_type", F.lit("own").alias("scope"), F.lit(1).alias("branch"), (n - 1).alias("before"), F.concat(F.lit("i"), n.cast("string")).alias("identity"), lit(1).alias("revision"))
+    x = checkpointed(M.append_gate(x, "user_id", ["step"], "scope", "branch", "step", "before").where("code is null").drop("code"))
+    heads = x.groupBy("user_id").agg(F.max("step").alias("head")).select("user_id", "head", F.lit("own").alias("scope"), F.lit(1).alias("branch"), F.col("head").alias("revision"), lit(2).alias("finalized"))
+    new = F.struct("scope", "branch", "step", "identity", lit(2).alias("revision"))
+    ask = x.where("event_type = 'error'").select("user_id", F.col("step").alias("at"), (F.col("payload") + 1).alias("payload"), F.struct("scope", "branch", (F.col("step") - 1).alias("step")).alias("anchor"), new.alias("replacement"))
+    ask = ask.join(heads.select("user_id", F.col("head").alias("expected_revision")), "user_id")
+    fine = M.correction_plan(heads, ask, x.select("user_id", "scope", "branch", "step", "identity", "revision"), "user_id", ["at"], 4096, 4096).where("code is null").select("user_id", "at")
+    fixes = ask.join(fine, ["user_id", "at"], "left_semi").select("user_id", F.col("at").alias("step"), "payload")
+    return M.replay_states(M.corrected(x.select("user_id", "step", "payload"), fixes, "user_id", "step", "payload"), "user_id", "step", "payload").select("user_id", F.col("head").cast("int").alias("head"), "state")
 
 
 @query("""with v as (select l_orderkey, l_linenumber, row(l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) body, row_number() over w rn, first_value(row(l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate)) over w f from lineitem
@@ -276,6 +293,6 @@ def I1_inbox_stream(s: SparkSession, d: str) -> DataFrame:
     """The inbox over a stream of the table's files, run until all is taken."""
     kind = read(s, d, "lineitem").schema
     stream = s.readStream.schema(kind).parquet(f"{d}/lineitem.parque[t]")  # a pattern, as a stream takes no single file
-    out = _scratch(s, "inbox")
+    out = scratch(s, "inbox")
     inbox.run_to_end(stream, inbox.accept_batches(f"{out}/rows", ["l_orderkey", "l_linenumber"], _CONTENT, [*_CONTENT, "l_discount", "l_tax"]), f"{out}/checkpoint")
     return s.read.parquet(f"{out}/rows").groupBy("l_orderkey", "l_linenumber", "verdict").agg(F.sum("n").alias("n"))

@@ -9,8 +9,8 @@ from ledgerline.functions import scalars as S
 from ledgerline.operators import definitions as D
 from ledgerline.operators import retry as T
 from ledgerline.operators import saga as L
-from ledgerline.plans.oracles import _EV, _SCOPE, NOW, ORACLES, _linear
-from ledgerline.plans.queries import ORDER, PROCESS, QUERIES, L12_replay_full, _scope, lit
+from ledgerline.plans.oracles import _EFFECT, _EV, _SCOPE, NOW, ORACLES, _linear
+from ledgerline.plans.queries import ORDER, PROCESS, QUERIES, L12_replay_full, _effect_key, _scope, lit
 from ledgerline.sources.tables import millis, read, saga_events
 
 
@@ -31,7 +31,7 @@ def L1_definition(s: SparkSession, d: str) -> DataFrame:
     return D.validate_linear(read(s, d, "orders"), steps, "o_orderkey", "step", "a", "c")
 
 
-@query("""with recursive g as (select o_orderkey g, o_orderkey % 3 entry from orders where o_orderkey % 5 = 0), n as (select distinct g, l_linenumber % 5 step from g join lineitem on l_orderkey = g),
+@query("""with recursive g as (select o_orderkey g, o_orderkey % 3 entry from orders), n as (select distinct g, l_linenumber % 5 step from g join lineitem on l_orderkey = g),
   e as (select g, l_linenumber % 5 src, l_returnflag outcome, case when l_partkey % 6 > 0 then l_partkey % 6 - 1 end dst from g join lineitem on l_orderkey = g),
   w(g, step) as (select g, entry from g union select w.g, dst from w join e on e.g = w.g and src = step where dst is not null)
   select g.g, case when not exists (select 1 from n where n.g = g.g) then 'EmptySteps' when not exists (select 1 from n where n.g = g.g and step = entry) then 'UnknownEntryStep'
@@ -39,8 +39,8 @@ def L1_definition(s: SparkSession, d: str) -> DataFrame:
     when (select count(*) - count(distinct (src, outcome)) from e where e.g = g.g) > 0 then 'DuplicateTransition' when exists (select 1 from n where n.g = g.g and not exists (select 1 from w where w.g = n.g and w.step = n.step)) then 'UnreachableStep' end code from g""")
 def G1_definition(s: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    g = read(s, d, "orders").where(k % 5 == 0).select(k.alias("g"), (k % 3).alias("entry"))
-    x = read(s, d, "lineitem").select(F.col("l_orderkey").alias("g"), (F.col("l_linenumber").cast("long") % 5).alias("src"), F.col("l_returnflag").alias("outcome"), F.when(F.col("l_partkey") % 6 > 0, F.col("l_partkey") % 6 - 1).alias("dst")).where("g % 5 = 0")
+    g = read(s, d, "orders").select(k.alias("g"), (k % 3).alias("entry"))
+    x = read(s, d, "lineitem").select(F.col("l_orderkey").alias("g"), (F.col("l_linenumber").cast("long") % 5).alias("src"), F.col("l_returnflag").alias("outcome"), F.when(F.col("l_partkey") % 6 > 0, F.col("l_partkey") % 6 - 1).alias("dst"))
     return D.validate_graph(g, x.select("g", F.col("src").alias("step")).distinct(), x, "g")
 
 
@@ -148,24 +148,31 @@ def S14_parse(s: SparkSession, d: str) -> DataFrame:
 _U = "unhex(lpad(to_hex({0}), {1}, '0'))"
 
 
-@query("select o_orderkey, sha256(encode('task') || unhex('00') || unhex(sha256(o_orderstatus)) || " + " || ".join(_U.format(a, b) for a, b in (("1", 8), ("0", 2), ("o_orderkey % 4", 2), ("3", 8), ("o_custkey", 16), ("50", 16), ("4096", 8), ("1", 8), ("2", 8), ("3", 8), ("4", 8), ("o_orderkey", 16), ("9", 16))) + ") digest from orders")
-def S15_fingerprint(s: SparkSession, d: str) -> DataFrame:
+_PRINT = "sha256(encode('task') || unhex('00') || unhex(sha256(o_orderstatus)) || " + " || ".join(_U.format(a, b) for a, b in (("1", 8), ("0", 2), ("o_orderkey % 4", 2), ("3", 8), ("o_custkey", 16), ("50", 16), ("4096", 8), ("1", 8), ("2", 8), ("3", 8), ("4", 8), ("o_orderkey", 16), ("9", 16))) + ")"
+
+
+def _fingerprint():
+    """The fingerprint of an order's task definition."""
     k = F.col("o_orderkey")
-    x = S.task_fingerprint(b"task\0", F.unhex(F.sha2("o_orderstatus", 256)), lit(1), lit(0), k % 4, lit(3), F.col("o_custkey"), lit(50), lit(4096), [lit(i) for i in (1, 2, 3, 4)], k, lit(9))
-    return read(s, d, "orders").select("o_orderkey", x.alias("digest"))
+    return S.task_fingerprint(b"task\0", F.unhex(F.sha2("o_orderstatus", 256)), lit(1), lit(0), k % 4, lit(3), F.col("o_custkey"), lit(50), lit(4096), [lit(i) for i in (1, 2, 3, 4)], k, lit(9))
+
+
+@query(f"select o_orderkey, {_PRINT} digest from orders")
+def S15_fingerprint(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "orders").select("o_orderkey", _fingerprint().alias("digest"))
 
 
-@query("select doc_id, case when doc_id % 5 = 0 then 'SchemaMismatch' when doc_id % 3 = 0 then 'LengthMismatch' when doc_id % 2 = 0 then 'DigestMismatch' end code from documents where text is not null")
+@query("select doc_id, case when doc_id % 5 = 0 then 'SchemaMismatch' when doc_id % 3 = 0 then 'LengthMismatch' when doc_id % 2 = 0 then 'DigestMismatch' end code from documents")
 def S16_blob(s: SparkSession, d: str) -> DataFrame:
-    i, t = F.col("doc_id"), F.col("text").cast("binary")
+    i, t = F.col("doc_id"), F.coalesce("text", F.lit("")).cast("binary")
     code = S.blob_code(F.when(i % 5 == 0, 2).otherwise(1), F.lit(1), t, F.octet_length(t) + F.when(i % 3 == 0, 1).otherwise(0), F.when(i % 2 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.sha2(t, 256)))
-    return read(s, d, "documents").where("text is not null").select("doc_id", code.alias("code"))
+    return read(s, d, "documents").select("doc_id", code.alias("code"))
 
 
-@query(f"select o_orderkey, 'inp_task_' || sha256(encode('relay') || unhex('00') || {_SCOPE} || unhex(sha256(o_orderstatus)) || encode('act_' || o_orderkey)) input_id, case o_orderstatus when 'F' then 'succeeded' when 'O' then 'terminal_failure' else 'unknown' end observation from orders")
+@query(f"select o_orderkey, 'inp_task_' || sha256(encode('relay') || unhex('00') || {_EFFECT} || unhex({_PRINT}) || encode('act_' || o_orderkey)) input_id, case o_orderstatus when 'F' then 'succeeded' when 'O' then 'terminal_failure' else 'unknown' end observation from orders")
 def S18_relay(s: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    who = S.tagged_identity("inp_task_", b"relay\0", _scope(), F.unhex(F.sha2("o_orderstatus", 256)), F.concat(F.lit("act_"), k.cast("string")).cast("binary"))
+    who = S.tagged_identity("inp_task_", b"relay\0", _effect_key(), F.unhex(_fingerprint()), F.concat(F.lit("act_"), k.cast("string")).cast("binary"))
     seen = F.when(F.col("o_orderstatus") == "F", "succeeded").when(F.col("o_orderstatus") == "O", "terminal_failure").otherwise("unknown")
     return read(s, d, "orders").select("o_orderkey", who.alias("input_id"), seen.alias("observation"))
 

@@ -44,11 +44,6 @@ def L12_replay_full(s: SparkSession, d: str) -> DataFrame:
     return L.replay_linear(saga_events(read(s, d, "events"), full=True), PROCESS, ORDER, compensable=(0,))
 
 
-@query
-def L13_replay_strict(s: SparkSession, d: str) -> DataFrame:
-    return L.replay_linear(saga_events(read(s, d, "events")), PROCESS, ORDER, strict=True)
-
-
 @query
 def L11_manual_review(s: SparkSession, d: str) -> DataFrame:
     states = L12_replay_full(s, d)
@@ -69,13 +64,6 @@ def L19_planned_kinds(s: SparkSession, d: str) -> DataFrame:
     return t.select("user_id", "week", F.array_join(L.planned_kinds(F.col("status"), nxt, F.lit(False)), ",").alias("kinds"))
 
 
-@query
-def G1_reachability(s: SparkSession, d: str) -> DataFrame:
-    edges = s.createDataFrame([(a, b) for (a, _), b in EDGES.items() if b], "src string, dst string").unionByName(s.createDataFrame([("x", "y")], "src string, dst string"))
-    nodes = s.createDataFrame([(n,) for n in "abcdexy"], "step string")
-    return L.reachable(edges, "a", nodes)
-
-
 @query
 def G5_graph_replay(s: SparkSession, d: str) -> DataFrame:
     return L.replay_graph(saga_events(read(s, d, "events"), full=True), PROCESS, ORDER, EDGES, "a", 8)
@@ -116,8 +104,7 @@ def S6_scope_bytes_hash(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def S7_effect_key_hash(s: SparkSession, d: str) -> DataFrame:
-    key = S.effect_key_bytes(_scope(), F.concat(F.lit("stp_"), "o_orderpriority"), F.col("o_orderkey") % 64, F.lit(1), F.unhex(F.sha2("o_orderstatus", 256)))
-    return read(s, d, "orders").select("o_orderkey", F.sha2(key, 256).alias("digest"))
+    return read(s, d, "orders").select("o_orderkey", F.sha2(_effect_key(), 256).alias("digest"))
 
 
 @query
@@ -132,9 +119,14 @@ def S12_resource_scope(s: SparkSession, d: str) -> DataFrame:
     return a.select("l_orderkey", S.valid_resources(F.col("r")).alias("valid"))
 
 
+def _effect_key():
+    """The bytes of an order's effect key."""
+    return S.effect_key_bytes(_scope(), F.concat(F.lit("stp_"), "o_orderpriority"), F.col("o_orderkey") % 64, F.lit(1), F.unhex(F.sha2("o_orderstatus", 256)))
+
+
 @query
 def S17_timer_input_id(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "orders").select("o_orderkey", S.tagged_identity("inp_timer_", b"timer\0", _scope(), F.concat(F.lit("act_"), F.col("o_orderkey").cast("string")).cast("binary")).alias("input_id"))
+    return read(s, d, "orders").select("o_orderkey", S.tagged_identity("inp_timer_", b"timer\0", _effect_key(), F.concat(F.lit("act_"), F.col("o_orderkey").cast("string")).cast("binary")).alias("input_id"))
 
 
 def _outcomes(s, d):
@@ -171,7 +163,7 @@ def C10_head_consistency(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def C11_quota(s: SparkSession, d: str) -> DataFrame:
-    return C.running_quota(_outcomes(s, d), "conv_id", ["turn"], F.col("n_bytes"), 400).select("conv_id", "turn", "used", "accepted")
+    return C.running_quota(_outcomes(s, d), "conv_id", ["turn"], "n_bytes", 400).select("conv_id", "turn", "used", "accepted")
 
 
 _CONTENT = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
@@ -199,7 +191,7 @@ def I3_source_dedup(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def I5_payload_store(s: SparkSession, d: str) -> DataFrame:
-    return C.store_blobs(read(s, d, "documents").where("text is not null"), "source", "text")
+    return C.store_blobs(read(s, d, "documents").withColumn("text", F.coalesce("text", F.lit(""))), "source", "text")
 
 
 def _outbox(s, d):
@@ -317,19 +309,46 @@ def _inputs(s, d):
 
 @query
 def M2_append_gate(s: SparkSession, d: str) -> DataFrame:
-    return M.append_gate(_inputs(s, d).where("step % 9 <> 5"), "user_id", "step").groupBy("user_id").agg(F.count_if(~F.col("appends")).alias("gaps"))
+    u, n = F.col("user_id"), F.col("step")
+    x = _inputs(s, d).where("step % 9 <> 5").select("user_id", "step", F.when((u + n) % 23 == 7, "other").otherwise("own").alias("scope"), F.when(n % 19 == 6, 2).otherwise(1).alias("branch"), F.when(n % 29 == 11, 0).otherwise(F.when(n > 5, 4).otherwise(n - 1)).alias("revision"))
+    told = M.append_gate(x, "user_id", ["step"], "scope", "branch", "step", "revision")
+    return told.select("user_id", "step", "code")
 
 
 @query
 def M3_observe(s: SparkSession, d: str) -> DataFrame:
-    x = _inputs(s, d).select("user_id", "step", (F.col("step") / 10).cast("int").alias("epoch"), (F.col("payload") % 100).alias("sequence"))
-    return M.observe_gate(x, "user_id", ["step"], "epoch", "sequence").select("user_id", "step", "advances")
+    n, p = F.col("step"), F.col("payload")
+    x = _inputs(s, d).select("user_id", "step", F.when(p % 31 == 3, "b").otherwise("a").alias("who"), (n / 10).cast("int").alias("epoch"), (p % 100).alias("sequence"), (n + p % 7 - 5).alias("at"))
+    return M.observe_gate(x, "user_id", ["step"], "who", "epoch", "sequence", "at", "step").select("user_id", "step", "code")
+
+
+def _plan_tables(s, d):
+    """Heads, corrections and retained inputs of each user's timeline; the inputs have gaps, the corrections every kind of fault."""
+    x = _inputs(s, d)
+    u, n = F.col("user_id"), F.col("step")
+    lng = lambda c: c.cast("long")
+    heads = x.groupBy("user_id").agg(lng(F.max("step")).alias("head")).select("user_id", "head", F.lit("own").alias("scope"), F.lit(1).alias("branch"), F.col("head").alias("revision"), F.when(u % 4 != 0, lit(3)).alias("finalized"))
+    inputs = x.where("step % 41 <> 40").select("user_id", F.lit("own").alias("scope"), F.when(n % 53 == 50, 2).otherwise(1).alias("branch"), lng(n).alias("step"), F.concat(F.lit("i"), n.cast("string")).alias("identity"), lit(1).alias("revision"), F.col("payload").alias("digest"))
+    swaps = n % 2 == 1
+    anchor = F.struct(F.when(n % 13 == 7, "other").otherwise("own").alias("scope"), F.when(n % 17 == 9, 2).otherwise(1).alias("branch"), lng(F.when(swaps, n - 1).otherwise(n + u % 3 * 2)).alias("step"))
+    new = F.struct(F.lit("own").alias("scope"), F.lit(1).alias("branch"), lng(F.when(n % 7 == 3, n + 1).otherwise(n)).alias("step"), F.when(n % 5 == 0, F.lit("x")).otherwise(F.concat(F.lit("i"), n.cast("string"))).alias("identity"), lng(F.when(n % 9 == 4, 1).otherwise(2)).alias("revision"), (F.col("payload") + 1).alias("digest"))
+    asked = x.where("event_type = 'error'").join(heads.select("user_id", "head"), "user_id").select(
+        "user_id", lng(n).alias("at"), F.when(n % 11 == 0, F.col("head") - 1).otherwise(F.col("head")).alias("expected_revision"), anchor.alias("anchor"), F.when(swaps, new).alias("replacement"))
+    return heads, asked, inputs
 
 
 @query
 def M6_plan(s: SparkSession, d: str) -> DataFrame:
-    x = _inputs(s, d)
-    return M.correction_plan(x, x.where("event_type = 'error'").select("user_id", (F.col("step") + F.col("user_id") % 3 * 2).alias("step")), "user_id", "step", F.lit(3), 40)
+    heads, asked, inputs = _plan_tables(s, d)
+    return M.correction_plan(heads, asked, inputs, "user_id", ["at"], 60, 50)
+
+
+@query
+def M7_replay_inputs(s: SparkSession, d: str) -> DataFrame:
+    heads, asked, inputs = _plan_tables(s, d)
+    plans = M.correction_plan(heads, asked, inputs, "user_id", ["at"], 60, 50)
+    told = M.replay_inputs(plans, asked, inputs, "user_id", ["at"])
+    return told.groupBy("user_id", "at").agg(F.count("*").alias("n"), F.max("step").alias("through"), F.max(F.when(F.col("offset") == 0, F.col("digest"))).alias("first"), F.sum((F.col("offset") + 1) * (F.col("digest") % 1000)).alias("checksum"))
 
 
 @query
@@ -340,19 +359,26 @@ def M8_correction_replay(s: SparkSession, d: str) -> DataFrame:
 
 
 def _lineage(s, d):
-    r = read(s, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("branch"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("inherited_through"))
-    n = read(s, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), F.lit(12))
-    u = read(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), F.lit(8))
+    """Three levels: regions are roots, nations fork from them, suppliers from nations."""
+    r = read(s, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("branch"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("inherited_through"), F.lit(15).alias("admitted_through"))
+    n = read(s, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), F.lit(12), F.lit(15))
+    u = read(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), F.lit(8), (15 - F.col("s_suppkey") % 3).cast("int"))
     return r.union(n).union(u)
 
 
+def _overrides(s, d, step: int):
+    """Every fourth supplier's override at ``step``."""
+    name = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    return read(s, d, "supplier").where("s_suppkey % 4 = 0").select(name.alias("branch"), F.lit(step).alias("step"), F.concat(name, F.lit(f"!{step}")).alias("value"))
+
+
 @query
 def M9_resolve_input(s: SparkSession, d: str) -> DataFrame:
     tree = _lineage(s, d)
     steps = tree.select("branch", F.explode(F.sequence(F.lit(1), F.lit(15))).alias("step"))
     level = F.substring("branch", 1, 1)
     own = steps.where((level == "r") | ((level == "n") & (F.col("step") % 3 == 0)) | ((level == "s") & (F.col("step") % 5 == 0))).withColumn("value", F.concat("branch", F.lit("@"), F.col("step").cast("string")))
-    return M.resolve(tree, own, steps.where(level == "s"), 4)
+    return M.resolve(tree, own, steps.where(level == "s"), _overrides(s, d, 8))
 
 
 def _effects(s, d):

@@ -75,9 +75,10 @@ def I4_receipts(s: SparkSession, d: str) -> DataFrame:
     return C.verify_receipts(told, o.where(k % 5 != 0).select("o_orderkey", F.col("o_orderpriority").alias("p")), ["o_orderkey"], "p").select("o_orderkey", "valid")
 
 
-@query("select doc_id, case when doc_id % 3 <> 0 then strlen(text) end n_bytes, case when doc_id % 3 = 0 then 'MissingPayload' end code from documents where text is not null and text not in (select text from documents where doc_id % 3 <> 0 and text is not null) or (doc_id % 3 <> 0 and text is not null) union all select doc_id, strlen(text), null from documents where doc_id % 3 = 0 and text in (select text from documents where doc_id % 3 <> 0 and text is not null)")
+@query("""with x as (select doc_id, coalesce(text, '') t from documents) select doc_id, case when t in (select t from x where doc_id % 3 <> 0) then strlen(t) end n_bytes, case when t not in (select t from x where doc_id % 3 <> 0) then 'MissingPayload' end code from x""")
 def I6_read_payload(s: SparkSession, d: str) -> DataFrame:
-    x = read(s, d, "documents").where("text is not null").select("doc_id", F.lit("p").alias("scope"), F.sha2("text", 256).alias("digest"), "text")
+    t = F.coalesce("text", F.lit(""))
+    x = read(s, d, "documents").select("doc_id", F.lit("p").alias("scope"), F.sha2(t, 256).alias("digest"), t.alias("text"))
     return C.read_payloads(x.select("doc_id", "scope", "digest"), x.where("doc_id % 3 <> 0"), "scope", "digest", "text").select("doc_id", F.col("n_bytes").cast("long").alias("n_bytes"), "code")
 
 

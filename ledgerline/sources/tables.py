@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,24 @@ def saga_events(events: DataFrame, full: bool = False) -> DataFrame:
     return events.select("user_id", F.date_trunc("week", "ts").cast("date").cast("string").alias("week"), "ts", "event_id", result.alias("result"))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a temporary folder only in a local session where that is unset."""
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if conf:
+        return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="ledgerline-")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/ledgerline/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame with its lineage cut, in the session's ``spark.checkpoint.dir`` (a temporary folder only where that is unset)."""
+    """The frame with its lineage cut, in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ledgerline-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

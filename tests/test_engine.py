@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as S
-from ledgerline.operators import logs, saga
+from ledgerline.operators import decide, graph, logs, saga, timeline
 from ledgerline.plans.oracles import ORACLES
 from ledgerline.plans.queries import QUERIES
 
@@ -65,3 +65,84 @@ def test_inbox_tells_duplicates_from_conflicts(spark):
     x = spark.createDataFrame([("k", 1, "a"), ("k", 2, "a"), ("k", 3, "b"), ("m", 1, "a")], "k string, n long, c string")
     got = [(r.k, r.n, r.verdict) for r in logs.accept_inputs(x, ["k"], ["c"], ["n"]).collect()]
     assert sorted(got) == [("k", 1, "accepted"), ("k", 2, "duplicate"), ("k", 3, "conflict"), ("m", 1, "accepted")]
+
+
+def test_refused_rows_charge_nothing(spark):
+    x = spark.createDataFrame([("a", i, n) for i, n in enumerate((5, 100, 4))] + [("b", 0, 1), ("c", 0, None)], "scope string, n long, size long")
+    got = {(r.scope, r.n): (r.used, r.accepted) for r in logs.running_quota(x, "scope", ["n"], "size", 10).collect()}
+    assert [got["a", i] for i in range(3)] == [(5, True), (5, False), (9, True)] and got["c", 0] == (0, True)
+    got = {(r.scope, r.n): (r.used, r.accepted) for r in logs.running_quota(x, "scope", ["n"], "size", 10, max_scopes=2).collect()}
+    assert got["b", 0] == (1, True) and got["c", 0] == (0, False)
+
+
+def saga_log(rows):
+    """(p, n, kind, action, next, result, at, deadline, resolution, pinned, input_id, sequence) from short rows."""
+    return [(p, n, kind, a, x, r, at, None, res, True, f"i{n}", seq) for p, n, kind, a, x, r, at, res, seq in rows]
+
+
+LOG = "p string, n long, kind string, action string, next string, result string, at long, deadline long, resolution string, pinned boolean, input_id string, sequence long"
+
+
+def test_ordered_replay_wants_sequences_from_zero(spark):
+    steps = (decide.Step(2), decide.Step(2))
+    good = [("g", 0, "Started", None, "a0", None, 0, None, 0), ("g", 1, "ActionResult", "a0", "a1", "S", 1, None, 1), ("g", 2, "ActionResult", "a1", None, "S", 2, None, 2)]
+    late = [("l", n + 5, k, a, x, r, t, res, q + 1) for _, n, k, a, x, r, t, res, q in good]
+    twice = [("t", n, k, a, x, r, t, res, 0) for _, n, k, a, x, r, t, res, _ in good]
+    log = spark.createDataFrame(saga_log(good + late + twice), LOG)
+    got = {r.p: (r.status, r.code, r.n_applied) for r in decide.replay_events(log, ["p"], ["n"], steps, sequence="sequence").collect()}
+    assert got == {"g": ("Completed", None, 3), "l": (None, "InvalidEventSequence", 0), "t": (None, "InvalidEventSequence", 0)}
+
+
+def test_retry_timers_and_manual_resolution(spark):
+    steps = (decide.Step(3, (1000, 60000), 1), decide.Step(1))
+    rows = [
+        ("p", 0, "Started", None, "a0", None, 0, None, 0), ("p", 1, "RetryTimerScheduled", "a0", "t1", "R", 500, None, 1), ("p", 2, "RetryTimerFired", "t1", "a2", None, 1500, None, 2),
+        ("p", 3, "ActionResult", "a2", "a3", "S", 1600, None, 3), ("p", 4, "ActionResult", "a3", None, "U", 1700, None, 4), ("p", 5, "ManualResolution", None, "a5", None, 1800, "Compensate", 5), ("p", 6, "ActionResult", "a5", None, "S", 1900, None, 6),
+    ]
+    states = {n: (r.status, r.step, r.attempt, r.due, r.code) for n in range(1, 8) for r in decide.replay_events(spark.createDataFrame(saga_log(rows[:n]), LOG), ["p"], ["n"], steps).collect()}
+    assert states[2] == ("Running", 0, 1, 1500, None) and states[3] == ("Running", 0, 1, None, None) and states[5] == ("Escalated", 1, 0, None, None)
+    assert states[6] == ("Compensating", 1, 0, None, None) and states[7] == ("Compensated", 1, 0, None, None)
+    early = [*rows[:2], ("p", 2, "RetryTimerFired", "t1", "a2", None, 1499, None, 2)]
+    assert decide.replay_events(spark.createDataFrame(saga_log(early), LOG), ["p"], ["n"], steps).first().code == "RetryTimerFiredEarly"
+
+
+def test_identities_hash_the_effect_key(spark):
+    import hashlib
+
+    def ident(x):
+        return len(x).to_bytes(2, "big") + x
+
+    scope = b"".join(map(ident, (b"tnt_1", b"prc_2", b"def", b"ver"))) + bytes(32)
+    key = scope + ident(b"stp_a") + (3).to_bytes(4, "big") + b"\1" + bytes(32)
+    one = spark.range(1).select(S.effect_key_bytes(S.scope_bytes(F.lit("tnt_1"), F.lit("prc_2"), F.lit("def"), F.lit("ver"), F.lit(bytes(32))), F.lit("stp_a"), F.lit(3), F.lit(1), F.lit(bytes(32))).alias("key"))
+    got = one.select("key", S.tagged_identity("inp_timer_", b"x\0", F.col("key"), F.lit(b"act_7")).alias("timer"), S.tagged_identity("inp_task_", b"y\0", F.col("key"), F.lit(bytes(range(32))), F.lit(b"act_7")).alias("relay")).first()
+    assert bytes(got.key) == key
+    assert got.timer == "inp_timer_" + hashlib.sha256(b"x\0" + key + b"act_7").hexdigest()
+    assert got.relay == "inp_task_" + hashlib.sha256(b"y\0" + key + bytes(range(32)) + b"act_7").hexdigest()
+
+
+def test_lineage_is_walked_to_its_root(spark):
+    tree = spark.createDataFrame([(f"b{i}", f"b{i - 1}" if i else None, 100, 100) for i in range(25)], "branch string, parent string, inherited_through int, admitted_through int")
+    entries = spark.createDataFrame([("b0", 5, "root")], "branch string, step int, value string")
+    wanted = spark.createDataFrame([("b10", 5), ("b24", 5), ("b24", 6)], "branch string, step int")
+    got = {(r.branch, r.step): r.found_in for r in timeline.resolve(tree, entries, wanted).collect()}
+    assert got == {("b10", 5): "b0", ("b24", 5): "b0"}
+    circle = spark.createDataFrame([("x", "y", 100, 100), ("y", "x", 100, 100)], tree.schema)
+    with pytest.raises(ValueError):
+        timeline.resolve(circle, entries, spark.createDataFrame([("x", 5)], "branch string, step int"))
+
+
+def test_graph_replay_is_bounded_and_refuses_repeats(spark):
+    edges = {("a", "S"): "a", ("a", "T"): None}
+    rows = [("p", n, "Started" if n == 0 else "ActionResult", f"a{n - 1}", f"a{n}", "S", f"i{n}", n) for n in range(6)]
+    kinds = "p string, n long, kind string, action string, next string, result string, input_id string, sequence long"
+
+    def last(rows, **more):
+        return graph.replay_ordered(spark.createDataFrame(rows, kinds), ["p"], ["n"], edges, "a", 100, **more).first()
+
+    assert (last(rows).visit, last(rows).code) == (6, None)
+    assert last(rows, limit=5).code == "ReplayLimitExceeded"
+    again = [*rows[:5], (*rows[5][:6], "i2", 5)]
+    assert (last(again).code, last(again).n_applied) == ("DuplicateInput", 5)
+    reused = [*rows[:5], (*rows[5][:4], "a1", *rows[5][5:])]
+    assert last(reused).code == "DuplicateActionId"
