@@ -4,7 +4,9 @@ The suffixes that matter are those that start a window of ``length`` bytes.
 Each window belongs to the anchor with the least hash of the k-grams in it; equal
 windows have equal anchors, so windows whose anchor hash occurs once are done,
 and the others meet under that hash. A task takes the pieces of text of many
-anchors and sorts their suffixes in two stages.
+anchors and sorts their suffixes in two stages. Windows under an anchor too
+frequent for one task are dealt out by further anchors of theirs, under other
+orders of the k-grams.
 """
 
 from __future__ import annotations
@@ -16,14 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import materialize
+from ledgerline.llm.common import materialize, private, slices, spread
 
 GRAM = 64
 CHUNK = 1 << 20
 #: Suffixes that one suffix array holds, about.
 BATCH = 150_000
-#: Anchors that occur more often are dealt out by window instead (``_hot``).
-HOT = 20_000
+#: An anchor of more pieces is dealt out by further anchors of its windows, in this many rounds at most; what is still together then has its windows counted.
+HOT, ROUNDS = 20_000, 12
+#: Texts that hold repeated anchors are found by a broadcast of up to this many 16-byte keys.
+BROADCAST_KEYS = 500_000
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
@@ -44,13 +48,16 @@ def _gram_hashes(data: bytes) -> np.ndarray:
     return h
 
 
-def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first window start, windows) of each run of windows that share their anchor."""
+def anchors(data: bytes, length: int, order: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first window start, windows) of each run of windows that share their anchor under one of many orders of the k-grams."""
     w = length - GRAM + 1
     out = []
     for at in range(0, max(0, len(data) - length + 1), CHUNK):
         part = data[at : at + CHUNK + length - 1]
         h = _gram_hashes(part)
+        for _ in range(order):
+            with np.errstate(over="ignore"):
+                h = (h ^ h >> np.uint64(32)) * np.uint64(_ODD[3])
         n = len(h)
         own = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(n, dtype=np.uint64)
         rows = -(-n // w)
@@ -229,30 +236,84 @@ def _pieces(length: int):
     return run
 
 
-def _hot(pieces: DataFrame, length: int) -> DataFrame:
-    """(tk, lo, hi) for anchors too frequent for one task: their windows are counted by content, dealt over all tasks.
+_PIECE = "h long, piece binary, windows int, tk binary, a long, copies long"
 
-    Equal pieces are merged first; a window is keyed by the MD5 of its bytes.
-    """
-    merged = pieces.groupBy("piece", "windows").agg(F.sum("copies").alias("copies"))
-    windows = merged.select("piece", "copies", F.posexplode(F.expr(f"transform(sequence(1, windows), i -> unhex(md5(substring(piece, i, {length}))))")).alias("s", "wh"))
+
+def _split(length: int, order: int):
+    """mapInArrow over pieces: the runs of each piece's windows that share a further anchor, keyed by both hashes."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                out = {k: [] for k in ("h", "piece", "windows", "tk", "a", "copies")}
+                for r in batch.slice(lo, 256).to_pylist():
+                    h, first, count = anchors(r["piece"], length, order)
+                    with np.errstate(over="ignore"):
+                        both = ((h ^ np.int64(r["h"]).view(np.uint64)) * np.uint64(_ODD[2])).view(np.int64)
+                    for x, f, c in zip(both.tolist(), first.tolist(), count.tolist(), strict=True):
+                        for k, v in zip(out, (x, r["piece"][f : f + c + length - 1], c, r["tk"], r["a"] + f, r["copies"]), strict=True):
+                            out[k].append(v)
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("h", pa.int64()), ("piece", pa.binary()), ("windows", pa.int32()), ("tk", pa.binary()), ("a", pa.int64()), ("copies", pa.int64())]))
+
+    return run
+
+
+def _sorted_spans(pieces: DataFrame, length: int) -> DataFrame:
+    """(tk, lo, hi) from the suffix arrays of pieces, grouped by h."""
+    return pieces.repartition("h").sortWithinPartitions("h", "piece").mapInArrow(_sort_groups(length), "tk binary, lo long, hi long")
+
+
+def _counted_spans(pieces: DataFrame, length: int) -> DataFrame:
+    """(tk, lo, hi) of pieces whose windows are counted by their content, the MD5 of their bytes."""
+    windows = pieces.select("tk", "a", "copies", F.posexplode(F.expr(f"transform(sequence(1, windows), i -> unhex(md5(substring(piece, i, {length}))))")).alias("s", "wh"))
     again = windows.groupBy("wh").agg(F.sum("copies").alias("n")).where("n > 1").select("wh")
-    spans = windows.join(again, "wh").groupBy("piece").agg(F.collect_list(F.struct(F.col("s").cast("long").alias("lo"), (F.col("s") + length).cast("long").alias("hi"))).alias("xs"))
-    return pieces.join(spans, "piece").select("tk", "a", F.explode("xs").alias("x")).select("tk", (F.col("x.lo") + F.col("a")).alias("lo"), (F.col("x.hi") + F.col("a")).alias("hi"))
+    lo = F.col("a") + F.col("s")
+    return windows.join(again, "wh").select("tk", lo.alias("lo"), (lo + length).alias("hi"))
+
+
+def _hot_spans(pieces: DataFrame, length: int, hot: int) -> DataFrame:
+    """(tk, lo, hi) for the pieces of anchors too frequent for one task.
+
+    Equal pieces are merged first. Then each round deals windows out by one more
+    anchor of theirs, which equal windows share whatever stands around them,
+    until a group is small enough for one suffix array. Groups that resist
+    ``ROUNDS`` rounds have their windows counted by content.
+    """
+    named = pieces.withColumn("pk", F.unhex(F.md5("piece")))
+    todo = materialize(named.groupBy("h", "pk").agg(F.first("piece").alias("piece"), F.first("windows").alias("windows"), F.sum("copies").alias("copies")).select("h", "piece", "windows", F.col("pk").alias("tk"), F.lit(0).cast("long").alias("a"), "copies"), "suffix-hot")
+    found = []
+    for order in range(1, ROUNDS + 1):
+        made = materialize(todo.mapInArrow(_split(length, order), _PIECE), "suffix-split")
+        sizes = made.groupBy("h").agg(F.count("*").alias("n"), F.sum("copies").alias("m"))
+        big = materialize(sizes.where(F.col("n") > hot).select("h"), "suffix-big")
+        small = made.join(sizes.where((F.col("n") <= hot) & (F.col("m") > 1)).select("h"), "h", "left_semi")
+        found.append(_sorted_spans(small, length))
+        if big.isEmpty():
+            break
+        todo = materialize(made.join(big, "h", "left_semi"), "suffix-hot")
+    else:
+        found.append(_counted_spans(todo, length))
+    spans = found[0]
+    for part in found[1:]:
+        spans = spans.unionByName(part)
+    spans = materialize(spans.select(F.col("tk").alias("pk"), "lo", "hi").distinct(), "suffix-hot-spans")
+    return named.select("pk", "tk", "a").join(spans, "pk").select("tk", (F.col("lo") + F.col("a")).alias("lo"), (F.col("hi") + F.col("a")).alias("hi"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, text: str = "text", hot: int = HOT) -> DataFrame:
     """(tk, spans) for each distinct text that has bytes covered by a ``length``-byte string that starts anywhere else too.
 
     tk is the MD5 of the text, spans an array of (lo, hi), which may overlap.
+    Anchors of equal texts are merged before they meet the others of their hash.
     """
-    rows = docs.select(F.col(text).cast("binary").alias("t")).where(F.col("t").isNotNull())
+    if length < GRAM:
+        raise ValueError(f"length must be {GRAM} or more")
+    rows = docs.select(F.col(f"`{text}`").cast("binary").alias("t")).where(F.col("t").isNotNull())
     keyed = rows.select(F.unhex(F.md5("t")).alias("tk"), "t").where(F.octet_length("t") >= length)
 
     def find(batches):
         for batch in batches:
-            for lo in range(0, len(batch), 64):
-                part = batch.slice(lo, 64)
+            for part in slices(batch, "t", 4 << 20):
                 got = [(tk, *anchors(t, length)) for tk, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([tk for tk, h, _, _ in got for _ in range(len(h))], pa.binary()),
@@ -261,19 +322,19 @@ def repeated_spans(docs: DataFrame, length: int = 400, text: str = "text", hot:
                     pa.array(np.concatenate([x[3] for x in got]).astype(np.int32)),
                 ], names=["tk", "h", "a", "c"])
 
-    marks = materialize(keyed.mapInArrow(find, "tk binary, h long, a long, c int"), "suffix-anchors")
-    often = marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("hot"))
-    kept = marks.join(often, "h").groupBy("tk", "h", "a", "c", "hot").agg(F.count("*").alias("copies"))
-    wanted = kept.groupBy("tk").agg(F.collect_list(F.struct("h", "a", "c", "copies", "hot")).alias("xs"))
-    texts = keyed.join(wanted, "tk").dropDuplicates(["tk"]).select("tk", "t", "xs")
-    pieces = texts.mapInArrow(_pieces(length), "h long, piece binary, windows int, tk binary, a long, copies long, hot boolean")
-    any_hot = not materialize(often.where("hot").select("h"), "suffix-hot").isEmpty()
+    every = keyed.mapInArrow(find, "tk binary, h long, a long, c int").groupBy("h", "tk", "a", "c").agg(F.count("*").alias("copies"))
+    marks = materialize(every, "suffix-anchors")
+    often = marks.groupBy("h").agg(F.count("*").alias("n"), F.sum("copies").alias("m")).where("m > 1").select("h", (F.col("n") > hot).alias("hot"))
+    wanted = materialize(marks.join(often, "h").groupBy("tk").agg(F.collect_list(F.struct("h", "a", "c", "copies", "hot")).alias("xs")), "suffix-wanted")
+    some = wanted.select("tk")
+    texts = keyed.join(F.broadcast(some) if some.count() <= BROADCAST_KEYS else some, "tk", "left_semi").groupBy("tk").agg(F.first("t").alias("t")).join(wanted, "tk")
+    pieces = texts.select("tk", "t", "xs").mapInArrow(_pieces(length), "h long, piece binary, windows int, tk binary, a long, copies long, hot boolean")
+    any_hot = not materialize(often.where("hot").select("h"), "suffix-hot-keys").isEmpty()
     if any_hot:
         pieces = materialize(pieces, "suffix-pieces")
-    sorted_ = pieces.where("not hot").drop("hot").repartition("h").sortWithinPartitions("h", "piece")
-    spans = sorted_.mapInArrow(_sort_groups(length), "tk binary, lo long, hi long")
+    spans = _sorted_spans(pieces.where("not hot").drop("hot"), length)
     if any_hot:
-        spans = spans.unionByName(_hot(pieces.where("hot"), length))
+        spans = spans.unionByName(_hot_spans(pieces.where("hot").drop("hot"), length, hot))
     return spans.groupBy("tk").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
@@ -304,9 +365,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_i
     kept whole; equal rows are copies of each other, so all their bytes go if
     they are long enough; null ids stay; an empty table gives no rows.
     ``kept`` (binary) holds the remaining bytes, which need not be valid UTF-8.
+    Texts may be of any length; other columns can't clash.
     """
-    spans = repeated_spans(docs, length, text, hot)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
+    docs = spread(private(docs, doc_id=doc_id, text=text))
+    spans = repeated_spans(docs, length, "text", hot)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t"))
     joined = rows.select("doc_id", "t", F.unhex(F.md5("t")).alias("tk")).join(spans, "tk", "left").select("doc_id", "t", "spans")
 
     def run(batches):

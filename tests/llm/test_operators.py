@@ -37,21 +37,42 @@ def empty(spark):
     return table(spark, [])
 
 
-def test_suffix_dedup(spark, docs, empty):
-    n = 100
-    texts = [(r[0], (r[1] or "").encode()) for r in ROWS]
-    seen = collections.Counter(t[i : i + n] for _, t in texts for i in range(len(t) - n + 1))
-    want = []
-    for d, t in texts:
+def plain_repeats(texts, n):
+    """(removed bytes, spans, digest of the rest) of each text, byte by byte."""
+    seen = collections.Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
+    out = []
+    for t in texts:
         gone = set()
         for i in range(len(t) - n + 1):
             if seen[t[i : i + n]] > 1:
                 gone.update(range(i, i + n))
-        want.append((d, len(t), len(gone), hashlib.sha256(bytes(c for i, c in enumerate(t) if i not in gone)).hexdigest()))
-    for hot in (20_000, 1):
-        got = [(r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, n, hot=hot).collect()]
-        assert sorted(got, key=str) == sorted(want, key=str)
+        out.append((len(gone), sum(i - 1 not in gone for i in gone), hashlib.sha256(bytes(c for i, c in enumerate(t) if i not in gone)).hexdigest()))
+    return out
+
+
+def test_suffix_dedup(spark, docs, empty):
+    rng = np.random.default_rng(9)
+    passage = "".join(rng.choice(list("abcdefgh"), 260))
+    more = [(100 + i, "".join(rng.choice(list("xyzuvw"), 150)) + passage[: 60 + 20 * i] + "".join(rng.choice(list("xyzuvw"), 150)), None, None) for i in range(12)]
+    rows = [*ROWS, *more, (200, "ab" * 300, None, None)]
+    texts = [(r[1] or "").encode() for r in rows]
+    want = sorted([(r[0], len(t), *x) for r, t, x in zip(rows, texts, plain_repeats(texts, 100), strict=True)], key=str)
+    for hot in (20_000, 2):
+        got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(table(spark, rows), 100, hot=hot).collect()]
+        assert sorted(got, key=str) == want
     assert suffix_dedup.remove_repeats(empty).count() == 0
+    with pytest.raises(ValueError):
+        suffix_dedup.repeated_spans(docs, 50)
+
+
+def test_suffix_dedup_over_a_very_long_text(spark):
+    rng = np.random.default_rng(10)
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    passage = "".join(rng.choice(letters, 500))
+    at = (1 << 20) - 230  # over the edge of the pieces that anchors are found in
+    long = "".join(rng.choice(letters, at)) + passage + "".join(rng.choice(letters, 90_000))
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(table(spark, [(1, long, None, None), (2, "start " + passage + " end", None, None)]), keep_text=False).collect()}
+    assert got == {1: (500, 1), 2: (500, 1)}
 
 
 def test_simhash(spark, docs, empty):
