@@ -5,63 +5,70 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import materialize, settled
+from ledgerline.llm.common import materialize, private, settled
 
-#: A chunk ends at a line whose rolling hash, over its own hash and that of the line before, is 0 modulo EVERY.
-EVERY = 3
-#: Base of the rolling hash and moduli of the two line hashes.
-BASE, OWN, BEFORE = 1_000_003, 2_147_483_647, 2_147_483
-_LAST = (1 << 63) - 1
-#: Keys of repeated chunks are broadcast up to this many (32 bytes each), beyond it the chunks are shuffled.
+#: Base and modulus of the rolling hash over two lines.
+BASE, MODULUS = 1_000_003, 2_147_483_647
+#: Keys of repeated chunks are broadcast up to this many (16 bytes each), beyond it the chunks are shuffled.
 BROADCAST_KEYS = 500_000
+_ROW = ("nul", "d", "tk")
 
 
-def chunks(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``carry`` columns and chunks: each document's lines cut into chunks, an array of struct(i, n, body).
+def chunks(docs: DataFrame) -> DataFrame:
+    """(nul, d, tk, chunks) from (nul, d, tk, text): a chunk is the two lines at a boundary, struct(i, body, before, after).
 
-    A line's hash is the first 32 bits of its MD5. A boundary depends on two
-    lines alone, so an insertion shifts no boundary after it. Null texts count
-    as empty, which is one empty line.
+    A line's hash is the first 32 bits of its MD5, and a rolling hash goes over
+    each two lines in a row. A boundary lies where that hash is not greater than
+    both its neighbours', so what stands elsewhere in the document doesn't move
+    it, and of any three lines in a row two are a chunk. before and after are
+    the MD5s of the lines around a chunk (null at the ends of the text). Two
+    empty lines make no chunk.
     """
-    lines = docs.select(F.struct(*carry).alias("__row"), F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("lines"))
-    hashed = lines.select("__row", "lines", F.expr("transform(lines, x -> cast(conv(substring(md5(x), 1, 8), 16, 10) as bigint))").alias("h"))
-    ends = hashed.select("__row", "lines", F.expr(f"""
-        filter(sequence(1, size(h)), i -> i = size(h) or
-            (h[i - 1] % {OWN}L + {BASE}L * if(i > 1, h[greatest(i - 2, 0)] % {BEFORE}L, 0L)) % {EVERY}L = 0)""").alias("e"))
-    body = r"""
-        transform(e, (x, j) -> named_struct('i', j, 'n', x - if(j > 0, e[greatest(j - 1, 0)], 0), 'body',
-            array_join(slice(lines, if(j > 0, e[greatest(j - 1, 0)], 0) + 1, x - if(j > 0, e[greatest(j - 1, 0)], 0)), '\n')))"""
-    return ends.select("__row.*", settled(F.expr(body)).alias("chunks"))
+    lines = docs.select(*_ROW, F.split("text", "\n", -1).alias("lines"))
+    hashed = lines.select(*_ROW, "lines", F.expr("transform(lines, x -> md5(x))").alias("m"))
+    rolled = hashed.select(*_ROW, "lines", "m", F.expr("transform(m, x -> cast(conv(substring(x, 1, 8), 16, 10) as bigint))").alias("h"))
+    rolled = rolled.select(*_ROW, "lines", "m", F.expr(f"if(size(h) > 1, transform(sequence(0, size(h) - 2), i -> (h[i] % {MODULUS}L * {BASE}L + h[i + 1]) % {MODULUS}L), cast(array() as array<bigint>))").alias("r"))
+    made = """
+        transform(filter(transform(r, (x, i) -> i), i -> (lines[i] <> '' or lines[i + 1] <> '') and
+                (i = 0 or i = size(r) - 1 or r[i] <= r[greatest(i - 1, 0)] or r[i] <= r[least(i + 1, size(r) - 1)])),
+            i -> named_struct('i', i, 'body', concat(lines[i], '\\n', lines[i + 1]), 'before', if(i > 0, m[greatest(i - 1, 0)], null), 'after', if(i + 2 < size(m), m[least(i + 2, size(m) - 1)], null)))"""
+    return rolled.select(*_ROW, settled(F.expr(made)).alias("chunks"))
 
 
 def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_lines, n_chunks, n_removed_chunks, n_removed_lines, kept) for every document.
+    """(doc_id, n_lines, n_repeated_chunks, n_removed_lines, kept) for every document.
 
-    A chunk of two lines or more that occurs again, byte for byte, anywhere in
-    the table is kept once: in the document with the smallest id (null ids
-    last), there at its first place. kept is the remaining chunks joined by
-    newlines. Single-line chunks always stay. Documents that share an id are
-    told apart by their text; equal rows (same id and text) are one
-    occurrence and keep alike. Null texts count as empty; an empty table gives
-    no rows.
+    A chunk that occurs again, byte for byte, anywhere in the table is kept
+    once: in the document with the smallest id (null ids last), there at its
+    first place. Elsewhere its lines go, and the line before and after it too
+    where they equal those around the first place, so that a run of three lines
+    or more that two documents share goes as a whole; of runs of two lines,
+    those that are a chunk in both. A removed line always has an equal one at
+    an earlier place, so some copy of every line stays. kept is the remaining
+    lines joined by newlines. Documents that share an id are told apart by
+    their text; equal rows (same id and text) are one occurrence and keep
+    alike. Null texts count as empty, which is one empty line; texts of any
+    length take time linear in it; other columns can't clash; an empty table
+    gives no rows.
     """
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    cut = chunks(rows.select("d", F.md5("text").alias("tk"), "text"), "text", ("d", "tk"))
-    every = cut.select("d", "tk", F.explode("chunks").alias("c")).where("c.n > 1").select("d", "tk", "c.i", "c.n", "c.body", F.md5("c.body").alias("h"))
+    got = private(docs, d=doc_id, text=text).select(F.col("d").isNull().alias("nul"), F.col("d").cast("long").alias("d"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = got.select("nul", "d", F.unhex(F.md5("text")).alias("tk"), "text")
+    cut = chunks(rows)
+    each = cut.select(*_ROW, F.explode("chunks").alias("c")).select(*_ROW, "c.*", F.unhex(F.md5("c.body")).alias("k"))
     # equal rows are one occurrence: least and greatest place differ where there are two
-    place = F.struct("d", "tk", "i")
-    often = materialize(every.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h"), "line-often")
-    often = F.broadcast(often) if often.count() <= BROADCAST_KEYS else often
-    again = materialize(every.join(often, "h", "left_semi"), "line-chunks")
-    first = again.groupBy("h", "body").agg(F.min(place).alias("first"))
-    # the join on the body is the comparison of bytes
-    removed = again.join(first, ["h", "body"]).where(place != F.col("first")).groupBy("d", "tk").agg(F.collect_set("i").alias("gone"))
-    joined = cut.join(removed, ["d", "tk"], "left").select(F.nullif("d", F.lit(_LAST)).alias("doc_id"), "chunks", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
-    return joined.select(
-        "doc_id",
-        F.expr("aggregate(chunks, 0L, (a, c) -> a + c.n)").alias("n_lines"),
-        F.size("chunks").cast("long").alias("n_chunks"),
-        F.size("gone").cast("long").alias("n_removed_chunks"),
-        F.expr("aggregate(chunks, 0L, (a, c) -> a + if(array_contains(gone, c.i), c.n, 0))").alias("n_removed_lines"),
-        F.expr(r"array_join(transform(filter(chunks, c -> not array_contains(gone, c.i)), c -> c.body), '\n')").alias("kept"),
+    place = F.struct(*_ROW, "i")
+    often = materialize(each.groupBy("k").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("k", "a"), "line-often")
+    keys = often.select("k")
+    again = materialize(each.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "k", "left_semi"), "line-chunks")
+    first = materialize(again.withColumn("a", place).join(often, ["k", "a"]).groupBy("k", "a").agg(F.first(F.struct("body", "before", "after")).alias("f")), "line-first")
+    # the comparison of the bodies is the comparison of bytes
+    later = again.join(first, "k").where((place != F.col("a")) & (F.col("body") == F.col("f.body")))
+    gone = F.array_compact(F.array("i", F.col("i") + 1, F.when(F.col("before") == F.col("f.before"), F.col("i") - 1), F.when(F.col("after") == F.col("f.after"), F.col("i") + 2)))
+    removed = later.select(*_ROW, "i", F.explode(gone).alias("line")).groupBy(*_ROW).agg(F.count_distinct("i").alias("n_repeated"), F.collect_set("line").alias("gone"))
+    joined = rows.join(removed.withColumnRenamed("d", "__d"), (rows.nul == removed.nul) & rows.d.eqNullSafe(F.col("__d")) & (rows.tk == removed.tk), "left").select(rows.nul, rows.d, rows.tk, "text", F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    lines = joined.select("d", F.split("text", "\n", -1).alias("lines"), "n_repeated", "gone")
+    stay = lines.select("d", "lines", "n_repeated", F.size("gone").alias("n_gone"), settled(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"))).alias("stay"))
+    return stay.select(
+        F.col("d").alias("doc_id"), F.size("lines").cast("long").alias("n_lines"), F.col("n_repeated").cast("long").alias("n_repeated_chunks"), F.col("n_gone").cast("long").alias("n_removed_lines"),
+        F.expr(r"array_join(transform(stay, i -> lines[i]), '\n')").alias("kept"),
     )

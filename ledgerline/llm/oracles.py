@@ -5,27 +5,27 @@ from __future__ import annotations
 from ledgerline.llm import line_dedup as _lines
 
 _OP1 = rf"""
-with recursive docs as (
-  select coalesce(doc_id, 9223372036854775807) d, coalesce(text, '') t from documents
-), lines as (
-  select d, md5(t) tk, string_split(t, chr(10)) ls, row_number() over () r from docs
+with docs as (
+  select doc_id d, coalesce(text, '') t, md5(coalesce(text, '')) tk, row_number() over () r from documents
 ), line as (
-  select r, d, tk, unnest(ls) x, generate_subscripts(ls, 1) p from lines
-), hashed as (
-  select *, ('0x' || substr(md5(x), 1, 8))::bigint h from line
-), ended as (
-  select *, (h % {_lines.OWN} + {_lines.BASE} * coalesce(lag(h) over (partition by r order by p) % {_lines.BEFORE}, 0)) % {_lines.EVERY} = 0 e from hashed
-), numbered as (
-  select *, coalesce(sum(e::int) over (partition by r order by p rows between unbounded preceding and 1 preceding), 0) i from ended
-), chunk as (
-  select r, d, tk, i, count(*) n, string_agg(x, chr(10) order by p) body from numbered group by r, d, tk, i
+  select r, d, tk, unnest(string_split(t, chr(10))) x, generate_subscripts(string_split(t, chr(10)), 1) - 1 p from docs
+), two as (
+  select *, lead(x) over w y, ('0x' || substr(md5(x), 1, 8))::bigint h, lag(x) over w pb, lead(x, 2) over w pn from line window w as (partition by r order by p)
+), rolled as (
+  select *, case when y is not null then (h % {_lines.MODULUS} * {_lines.BASE} + lead(h) over w) % {_lines.MODULUS} end roll from two window w as (partition by r order by p)
+), chosen as (
+  select *, coalesce(roll <= lag(roll) over w, true) or coalesce(roll <= lead(roll) over w, true) sel from rolled where y is not null window w as (partition by r order by p)
 ), ranked as (
-  select *, n > 1 and dense_rank() over (partition by n > 1, body order by d, tk, i) > 1 gone from chunk
+  select r, p, pb, pn, dense_rank() over w k, first_value(pb) over w fb, first_value(pn) over w fn from chosen where sel and (x <> '' or y <> '') window w as (partition by x, y order by d is null, d, tk, p)
+), again as (
+  select * from ranked where k > 1
+), gone as (
+  select r, p from again union select r, p + 1 from again union select r, p - 1 from again where pb = fb union select r, p + 2 from again where pn = fn
+), seen as (
+  select r, count(*) n from again group by r
 )
-select nullif(d, 9223372036854775807) doc_id, sum(n)::bigint n_lines, count(*) n_chunks,
-  sum(gone::int)::bigint n_removed_chunks, sum(case when gone then n else 0 end)::bigint n_removed_lines,
-  sha256(coalesce(string_agg(body, chr(10) order by i) filter (where not gone), '')) kept_sha256
-from ranked group by r, d
+select any_value(l.d) doc_id, count(*) n_lines, any_value(coalesce(n, 0))::bigint n_repeated_chunks, count(g.p) n_removed_lines, sha256(coalesce(string_agg(l.x, chr(10) order by l.p) filter (where g.p is null), '')) kept_sha256
+from line l left join gone g on g.r = l.r and g.p = l.p left join seen s on s.r = l.r group by l.r
 """
 
 _OP5 = r"""

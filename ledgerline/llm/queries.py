@@ -16,7 +16,7 @@ def _fold(modulus: int):
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_repeated_chunks", "n_removed_lines", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -264,8 +264,32 @@ def test_line_dedup(spark, docs, empty):
     got = line_dedup.line_dedup(docs).collect()
     assert len(got) == len(ROWS) and line_dedup.line_dedup(empty).count() == 0
     text = "\n".join(f"line {i}" for i in range(30))
-    two = {r.doc_id: r for r in line_dedup.line_dedup(table(spark, [(1, text, None, None), (2, "first\n" + text, None, None)])).collect()}
-    assert two[1].kept == text and two[2].n_removed_lines > 15
+    two = {r.doc_id: r for r in line_dedup.line_dedup(table(spark, [((1 << 63) - 1, text, None, None), (2, "first\n" + text, None, None), (None, text, None, None)])).collect()}
+    assert two[2].kept == "first\n" + text and two[(1 << 63) - 1].kept == "" and two[None].n_removed_lines == 30
+
+
+def test_line_dedup_takes_whole_shared_runs(spark):
+    rng = np.random.default_rng(12)
+    line = lambda: " ".join(f"w{x}" for x in rng.integers(0, 500, 9))
+    passages = [[line() for _ in range(n)] for n in (3, 3, 4, 5, 7, 12)]
+    rows, shared = [], collections.Counter()
+    for d in range(40):
+        lines = [line() for _ in range(int(rng.integers(1, 6)))]
+        for k in rng.choice(len(passages), 2, replace=False):
+            lines += passages[k] + [line() for _ in range(int(rng.integers(1, 4)))]
+            shared[d] += len(passages[k])
+        rows.append((d, "\n".join(lines), None, None))
+    got = line_dedup.line_dedup(table(spark, rows)).collect()
+    assert sum(r.n_removed_lines for r in got) == sum(shared.values()) - sum(map(len, passages))
+    every = {x for _, t, _, _ in rows for x in t.split("\n")}
+    assert {x for r in got for x in r.kept.split("\n")} >= every  # some copy of every line stays
+
+
+def test_line_dedup_is_linear_in_the_text(spark):
+    text = "\n".join(f"row {i}" for i in range(120_000))
+    got = {r.doc_id: r.n_removed_lines for r in line_dedup.line_dedup(table(spark, [(1, text, None, None), (2, text, None, None)])).collect()}
+    assert got == {1: 0, 2: 120_000}
+
 
 
 def test_viterbi_is_the_best_path():
