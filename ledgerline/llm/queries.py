@@ -61,12 +61,13 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    hits = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    hits, sets = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
+    told = sets.select("set", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     rows = docs.select("doc_id", decontaminate.text_key(F.col("text")).alias("key"), decontaminate.n_words(F.col("text")).alias("n_words"))
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    return rows.join(hits, "key", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+    zero = F.lit(0).cast("long")
+    return rows.join(hits.join(told, "set"), "key", "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", zero) > 0).alias("contaminated"),
     )
 
 

@@ -160,6 +160,37 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.decontaminate(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_matches_plain_windows(spark):
+    rng = np.random.default_rng(14)
+    words = [f"v{i}" for i in range(60)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    items = [(f"i{k}", text(int(n))) for k, n in enumerate(rng.choice([1, 4, 10, 12, 29], 25))] + [("same", None), (None, "v1 v2 v3 v4"), ("x1", "v9 " * 40), ("x2", "v9 " * 12)]
+    rows = []
+    for d in range(60):
+        t = text(int(rng.integers(0, 40)))
+        if d % 3 == 0:
+            own = items[int(rng.integers(0, 25))][1].split()
+            a = int(rng.integers(0, len(own)))
+            t += " " + " ".join(own[a : a + 14]) + " " + text(5)
+        rows.append((d, t, None, None))
+    rows += [(90, "v9 " * 3000, None, None), (91, "v9 " * 11, None, None)]
+    want = {}
+    for _, t, _, _ in rows:
+        w, gone, ids = t.split(), set(), set()
+        for name, x in items:
+            x = (x or "").split()
+            n = min(10, len(x))
+            wins = {tuple(x[i : i + n]) for i in range(len(x) - n + 1)} if n else set()
+            at = [i for i in range(len(w) - n + 1) if n and tuple(w[i : i + n]) in wins]
+            gone.update(j for i in at for j in range(i, i + n))
+            if at and name is not None:
+                ids.add(name)
+        if gone:
+            want[hashlib.md5(t.encode()).hexdigest()] = (len(gone), sorted(ids))
+    got = {r.key: (r.n_hit, r["items"]) for r in decontaminate.decontaminate(table(spark, rows), spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert got == want
+
+
 def test_base_spans_match_the_patterns():
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     rng = np.random.default_rng(5)
