@@ -288,7 +288,66 @@ def test_lm_score(spark, docs, empty):
     want = sorted((str(r[0]), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in lm_score.tokens_of((r[1] or "").encode())), 6)) for r in ROWS)
     got = lm_score.score(docs, held).collect()
     assert sorted((str(r.doc_id), round(r.base_score, 6)) for r in got) == want and all(r.score < 0 and r.train_tokens == n for r in got)
-    assert lm_score.score(empty, held).count() == 0
+    assert lm_score.score(empty, held, rounds=1).count() == 0
+
+
+def test_lm_score_is_the_models_probability(spark):
+    import math
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(21)
+    words = [f"u{i}" for i in range(300)]
+    p = 1 / np.arange(1, 301)
+    rows = [(i, " ".join(rng.choice(words, 60, p=p / p.sum())) + " tail" + " once%d" % i, None, None) for i in range(80)]
+    docs = table(spark, rows)
+    held = F.col("doc_id") % 5 == 0
+    base = docs.select(F.col("text").cast("binary").alias("t"), held.alias("held_out"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)).cast("int").alias("part"))
+    model, counts = lm_score.fit(base, frequent=400, clustered=300)  # so that all three kinds of words occur
+    assert {0, 1} < {0, *model.cls.tolist()} and model.weights[lm_score.NODES :].any()
+    known = {np.int64(r.h).astype(np.uint64).item() if r.h >= 0 else r.h + (1 << 64): r.c for r in counts.collect()}
+    spot = {int(k): i for i, k in enumerate(model.keys)}
+
+    def name(w):
+        return int(lm_score.coded_tokens(pa.array([w], pa.binary()))[0][0]) if w else int(lm_score._EMPTY)
+
+    def softmax(node, past):
+        z = model.weights[node].astype(float).copy()
+        for r in model.rows(past, np.array([node]))[1:]:
+            z += model.weights[r[0]]
+        return np.exp(z) / np.exp(z).sum()
+
+    def prob(h, past):
+        top = softmax(0, past)
+        if h not in spot:
+            return top[0] * (known.get(h, 0) + 1) / model.rare_total
+        i = spot[h]
+        c, s, leaf = model.cls[i], model.sub[i], model.leaf[i]
+        if c == 1:
+            return top[1] * model.counts[i] / model.counts[model.cls == 1].sum()
+        return top[c] * softmax(1 + c, past)[s] * softmax(1 + lm_score.WIDTH + c * lm_score.WIDTH + s, past)[leaf]
+
+    def pasts(hs):
+        return lm_score.history(np.array(hs, np.uint64), np.arange(len(hs)))
+
+    # the probabilities of all words, one of them unknown, add up to one
+    past = pasts([name(w) for w in lm_score.tokens_of(rows[3][1].encode())])[:, [7]]
+    assert abs(sum(prob(h, past) for h in known) + prob(1, past) - 1) < 1e-4
+    got = {r.doc_id: r.score for r in lm_score.score_with(docs, held, model, counts).collect()}
+    for d, t, _, _ in rows[:10]:
+        hs = [name(w) for w in lm_score.tokens_of(t.encode())]
+        every = pasts(hs)
+        want = sum(math.log10(prob(h, every[:, [i]])) for i, h in enumerate(hs))
+        assert abs(want - got[d]) < 1e-3 * abs(want)
+
+
+def test_word_hashes_are_of_the_bytes():
+    import pyarrow as pa
+
+    words = [b"a", b"b", b"ab", b"ba", b"aa", b"a" * 100_000, "é".encode()]
+    h = lm_score.word_hashes(pa.array([b"x", *words], pa.binary()).slice(1))
+    assert len(set(h.tolist())) == len(words)
+    assert h.tolist() == [int(lm_score.word_hashes(pa.array([w], pa.binary()))[0]) for w in words]
 
 
 def test_line_dedup(spark, docs, empty):
