@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,8 +13,8 @@ from ledgerline.llm.common import materialize, word_count
 #: Weights by rank of the source, repeating, and the slope of each one's schedule.
 WEIGHTS = (5, 2, 1)
 SLOPES = (-0.5, 0.0, 0.5)
-#: Documents of one source are cut into this many hash ranges for the running sums.
-RANGES = 4096
+#: Documents of one source are cut into 16**digits hash ranges for the running sums, so that a range has about this many documents at most.
+RANGE = 100_000
 
 
 def source_targets(stats: DataFrame, budget_share: float = 1.5, max_repeat: int = 2, weights=WEIGHTS, slopes=SLOPES) -> DataFrame:
@@ -63,20 +65,25 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     [0, 1] is where its source's integrated schedule reaches the copy's middle.
 
     Null sources are one source, sorted last; null or empty texts have size 0
-    and are never taken; equal rows are separate documents whose order among
-    themselves does not matter; an empty table gives an empty result.
+    and are never taken; rows without id lie on the tape by their text; equal
+    rows are separate documents whose order among themselves does not matter;
+    texts may be of any length; other columns than ``carry`` can't clash; an
+    empty table gives an empty result. Sources are ranked in one task, a row each.
     """
     carry = [doc_id] if carry is None else carry
-    ident = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    name, body, origin = (F.col(f"`{c}`") for c in (doc_id, text, source))
+    # rows without id lie by their text
+    ident = F.coalesce(name.cast("string"), F.md5(F.coalesce(body, F.lit(""))))
     order = F.md5(ident)
+    digits = min(8, max(3, math.ceil(math.log(max(1, docs.count() / RANGE), 16))))
     sized = docs.select(
-        F.struct(*carry).alias("__row"),
-        F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")).alias("skey"),
-        F.col(source).alias("source"),
+        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("__row"),
+        F.coalesce(F.concat(F.lit("s"), origin), F.lit("n")).alias("skey"),
+        origin.alias("source"),
         order.alias("ord"),
         ident.alias("ident"),
-        F.conv(F.substring(order, 1, 3), 16, 10).cast("int").alias("b"),
-        word_count(F.col(text)).alias("size"),
+        F.conv(F.substring(order, 1, digits), 16, 10).cast("long").alias("b"),
+        word_count(body).alias("size"),
     )
     ranges = materialize(sized.groupBy("skey", "source", "b").agg(F.sum("size").alias("words")), "mix-ranges")
     targets = source_targets(ranges.groupBy("skey", "source").agg(F.sum("words").alias("words")), budget_share, max_repeat)

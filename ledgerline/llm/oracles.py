@@ -30,7 +30,7 @@ from line l left join gone g on g.r = l.r and g.p = l.p left join seen s on s.r
 
 _OP5 = r"""
 with sized as (
-  select doc_id, coalesce('s' || source, 'n') k, source, coalesce(doc_id::varchar, '') ident,
+  select doc_id, coalesce('s' || source, 'n') k, source, coalesce(doc_id::varchar, md5(coalesce(text, ''))) ident,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size
   from documents
 ), placed as (

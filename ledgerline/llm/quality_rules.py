@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import SPACE_CHARS, WORD_PATTERN, settled
+from ledgerline.llm.common import SPACE_CHARS, WORD_PATTERN, materialize, private, settled, spread
 
 #: Labelled documents that the rules are learned from at most: those first in the order of md5(doc_id).
 SAMPLE = 10_000
@@ -49,9 +49,9 @@ def statistics(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("d
     Null and empty texts have zero everywhere.
     """
     w = window
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     base = docs.select(
-        F.struct(*carry).alias("__row"),
+        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("__row"),
         F.regexp_extract_all(t, F.lit(WORD_PATTERN), F.lit(0)).alias("words"),
         F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0).alias("lines"),
         F.length(F.translate(t, SPACE_CHARS, "")).cast("long").alias("word_chars"),
@@ -175,18 +175,23 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     """Learn the decision list from labelled documents (quality 0 or toxic 1: reject).
 
     At most ``sample`` labelled ids, first in the order of md5(doc_id), reach
-    the driver, each with its statistics. Rows without id or either label are
-    left out; an id with several labels counts as rejected if one says so. The
-    words that mark toxic documents are learned from the rows that rules grow on.
+    the driver, each with one row of statistics; of an id's texts the smallest
+    counts. Rows without id or either label are left out; an id with several
+    labels counts as rejected if one says so. Rules are learned on what the
+    base rules let pass, as they never judge anything else. The words that mark
+    toxic documents are learned from the rows that rules grow on. Extra columns
+    don't matter; without labels there are no rules.
     """
     order = F.md5(F.col("id").cast("string"))
-    low, harm = F.col(quality) == 0, F.col(toxic) == 1
-    known = labels.select(F.col(doc_id).alias("id"), F.coalesce(low | harm, low, harm).alias("bad"), F.coalesce(harm, F.lit(False)).alias("toxic")).dropna().groupBy("id").agg(F.max("bad").alias("bad"), F.max("toxic").alias("toxic"))
+    low, harm = F.col("low") == 0, F.col("harm") == 1
+    told = private(labels, id=doc_id, low=quality, harm=toxic)
+    known = told.select("id", F.coalesce(low | harm, low, harm).alias("bad"), F.coalesce(harm, F.lit(False)).alias("toxic")).dropna().groupBy("id").agg(F.max("bad").alias("bad"), F.max("toxic").alias("toxic"))
     chosen = known.orderBy(order, "id").limit(sample)
-    rows = docs.withColumnRenamed(doc_id, "id").join(F.broadcast(chosen), "id").select("id", "bad", "toxic", F.col(text).alias("text"))
+    rows = private(docs, id=doc_id, text=text).join(F.broadcast(chosen), "id").groupBy("id", "bad", "toxic").agg(F.min("text").alias("text"))
+    rows = materialize(rows, "quality-sample")
     flagged = learn_words(rows.where(F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 0))
-    told = statistics(rows, "text", ("id", "bad"), flagged=flagged).select("id", "bad", *[F.expr(f"double({x})").alias(k) for k, x in FEATURES.items()])
-    return Rules(learn_rules([({k: r[k] for k in FEATURES}, bool(r["bad"]), zlib.crc32(str(r["id"]).encode())) for r in sorted(told.collect(), key=lambda r: (str(r["id"]), tuple(r)))]), flagged)
+    measured = statistics(rows, "text", ("id", "bad"), flagged=flagged).where(~base_failed()).select("id", "bad", *[F.expr(f"double({x})").alias(k) for k, x in FEATURES.items()])
+    return Rules(learn_rules([({k: r[k] for k in FEATURES}, bool(r["bad"]), zlib.crc32(str(r["id"]).encode())) for r in sorted(measured.collect(), key=lambda r: (str(r["id"]), tuple(r)))]), flagged)
 
 
 def rejected(rules: list[Rule]) -> Column:
@@ -202,8 +207,9 @@ def apply_rules(docs: DataFrame, rules: list[Rule], text: str = "text", carry: t
 
     Null, empty and blank texts have no words and fail the base rules. Without
     labelled rows there are no rules, and the base rules alone decide. Repeated
-    rows are judged alike; an empty table gives no rows.
+    rows are judged alike; whole texts are judged, however long; other columns
+    than ``carry`` can't clash; an empty table gives no rows.
     """
-    stats = statistics(docs, text, carry, flagged=getattr(rules, "flagged", ()))
+    stats = statistics(spread(docs), text, carry, flagged=getattr(rules, "flagged", ()))
     told = stats.withColumn("base_failed", base_failed()).withColumn("rule", rejected(rules))
     return told.withColumn("kept", settled(~F.col("base_failed") & F.col("rule").isNull()))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import connected_components, materialize
+from ledgerline.llm.common import connected_components, materialize, private, spread
 
 #: Node pairs that one step of the traversal holds at most.
 FRONTIER = 1 << 20
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", doc_id:
             fps = np.fromiter((fingerprint_of(t.as_py() or b"", shingle) for t in texts), dtype="<u8", count=len(texts))
             yield pa.RecordBatch.from_arrays([ids, pa.array(fps.view("<i8"))], names=["doc_id", "fp"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
+    rows = spread(private(docs, doc_id=doc_id, t=text)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("t").cast("binary").alias("t"))
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
@@ -104,26 +104,12 @@ def _leaves(al, ah, bl, bh):
     yield al[~own], bl[~own]
 
 
-def _every_pair(al, ah, bl, bh):
-    """All pairs of the leaves' members, a bounded number at a time."""
-    one = (ah - al == 1) & (bh - bl == 1)
-    yield al[one], bl[one]
-    for k in np.flatnonzero(~one):
-        own = al[k] == bl[k]
-        for i in range(al[k], ah[k]):
-            j = np.arange(i + 1 if own else bl[k], bh[k])
-            yield np.full(len(j), i), j
-
-
-def _local_roots(n: int, pairs, alike=None) -> np.ndarray:
-    """The smallest position that each position reaches by pairs that ``alike`` (if given) confirms."""
+def _local_roots(n: int, pairs) -> np.ndarray:
+    """The smallest position that each position reaches by pairs."""
     label = np.arange(n)
     for i, j in pairs:
         apart = label[i] != label[j]
         i, j = i[apart], j[apart]
-        if alike is not None and len(i):
-            ok = alike(i, j)
-            i, j = i[ok], j[ok]
         while len(i):
             low = np.minimum(label[i], label[j])
             if (label[i] == low).all() and (label[j] == low).all():
@@ -138,42 +124,35 @@ def _local_roots(n: int, pairs, alike=None) -> np.ndarray:
     return label
 
 
-def _join_groups(budget: int, most: int | None = None):
-    """mapInArrow over (g, fp, node, sketch) sorted by g and fp: links (src, dst) from nodes to their group's root.
-
-    With ``most``, a pair also needs sketches that differ in ``most`` bits or fewer.
-    """
+def _join_groups(budget: int):
+    """mapInArrow over (g, fp, node) sorted by g and fp: links (src, dst) from nodes to their group's root."""
 
-    def links(g, fp, node, sketch):
+    def links(parts):
+        g, fp, node = (np.concatenate(x) for x in zip(*parts, strict=True))
         cut = np.flatnonzero(np.diff(g)) + 1
         starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(g)]])
         many = ends - starts > 1
         if not many.any():
             return None
-        alike = None
-        if most is not None:
-            sk = np.frombuffer(b"".join(sketch), dtype="<u8").reshape(len(g), -1)
-
-            def alike(i, j):
-                step = FRONTIER // 8
-                return np.concatenate([np.bitwise_count(sk[i[k : k + step]] ^ sk[j[k : k + step]]).sum(axis=1) <= most for k in range(0, len(i), step)])
-
-        root = _local_roots(len(g), trie_pairs(fp, starts[many], ends[many], budget, _leaves if most is None else _every_pair), alike)
+        root = _local_roots(len(g), trie_pairs(fp, starts[many], ends[many], budget, _leaves))
         moved = np.flatnonzero(root != np.arange(len(g)))
         return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], names=["src", "dst"])
 
     def run(batches):
-        held = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), []]
+        held: list[tuple] = []  # parts of the rows since the start of the last group
         for batch in batches:
-            got = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            now = [np.concatenate([held[0], got[0]]), np.concatenate([held[1], got[1].view(np.uint64)]), np.concatenate([held[2], got[2]]), held[3] + (batch.column(3).to_pylist() if most is not None else [])]
-            if not len(now[0]):
+            g, fp, node = (batch.column(i).to_numpy() for i in range(3))
+            if not len(g):
                 continue
-            last = int((now[0] == now[0][-1]).argmax())  # the last group may go on
-            if last and (out := links(*[x[:last] for x in now])) is not None:
-                yield out
-            held = [x[last:] for x in now]
-        if len(held[0]) and (out := links(*held)) is not None:
+            last = int((g == g[-1]).argmax())  # the last group may go on
+            if last or held and held[-1][0][0] != g[0]:
+                if last:
+                    held.append((g[:last], fp[:last].view(np.uint64), node[:last]))
+                if (out := links(held)) is not None:
+                    yield out
+                held = []
+            held.append((g[last:], fp[last:].view(np.uint64), node[last:]))
+        if held and (out := links(held)) is not None:
             yield out
 
     return run
@@ -190,17 +169,17 @@ def _value(shift: int, width: int):
     return F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def links(prints: DataFrame, budget: int = 3, group: int = GROUP, most: int | None = None) -> DataFrame:
+def links(prints: DataFrame, budget: int = 3, group: int = GROUP) -> DataFrame:
     """(src, dst) links between nodes; their components are those of all pairs within ``budget`` bits.
 
-    ``prints`` has t (a table's number), fp, node and, with ``most``, sketch.
+    ``prints`` has t (a table's number), fp and node.
     Two fingerprints that differ in at most ``budget`` bits agree in one of
     budget + 1 blocks, so each block's value is a key that brings every such
     pair together. A key with more than ``group`` rows is dealt out by a
     second block of the bits outside the first, again without loss. The trie
     self-join runs within a key and gives links to a root, not all pairs.
     """
-    carry = ["fp", "node"] + ["sketch"] * (most is not None)
+    carry = ["fp", "node"]
     blocks = _blocks(64, budget)
     first = prints.select("t", *carry, F.explode(F.array(*[
         F.struct(F.lit(i).alias("i"), _value(s, w).alias("v")) for i, (s, w) in enumerate(blocks)
@@ -224,7 +203,7 @@ def links(prints: DataFrame, budget: int = 3, group: int = GROUP, most: int | No
         deal = F.explode(F.when(F.col("hot"), F.array(*[F.coalesce(*p) for p in per])).otherwise(whole))
         keyed = first.join(hot, ["t", "i", "v"], "left").select("t", "i", "v", *carry, deal.alias("d")).select(F.xxhash64("t", "i", "v", "d.m", "d.x").alias("g"), *carry)
     ready = keyed.select("g", *carry).repartition("g").sortWithinPartitions("g", F.shiftrightunsigned("fp", 1), "fp")
-    return ready.mapInArrow(_join_groups(budget, most), "src long, dst long")
+    return ready.mapInArrow(_join_groups(budget), "src long, dst long")
 
 
 def near_dedup(docs: DataFrame, shingle: int = 3, budget: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -232,8 +211,8 @@ def near_dedup(docs: DataFrame, shingle: int = 3, budget: int = 3, text: str = "
 
     Documents link where their fingerprints differ in at most ``budget`` bits;
     component_id is the smallest doc_id reachable by links. Null, empty and
-    blank texts have fingerprint 0, which links like any other; equal rows
-    stay rows; null ids stay null and never name a component (a component
+    blank texts have fingerprint 0, which links like any other; whole texts
+    count, however long; other columns can't clash; equal rows stay rows; null ids stay null and never name a component (a component
     without any id has a null component_id); an empty table gives no rows.
     """
     rows = materialize(fingerprints(docs, shingle, text, doc_id), "simhash-fp")
@@ -308,9 +287,11 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, t
     texts shows to be common come last in it; the sample sets nothing but that
     order. In each shingle's group, all are compared with two members first;
     then every pair that these links leave in different components is.
-    Null and empty texts are one group.
+    Null and empty texts are one group. Whole texts count, however long; other
+    columns can't clash; an empty table gives no rows. Texts are known by a
+    64-bit hash: of two different ones that share it, one is taken for the other.
     """
-    rows = docs.select(text_node(F.col(text)).alias("node"), F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.col(text).cast("binary").alias("t"))
+    rows = spread(private(docs, id=doc_id, text=text)).select(text_node(F.col("text")).alias("node"), F.coalesce(F.col("id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.col("text").cast("binary").alias("t"))
     seen = _sets(rows.where(F.pmod("node", F.lit(SPARSE)) == 0), shingle).select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN)
     top = seen.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow().column("h").to_numpy()
     common = docs.sparkSession.sparkContext.broadcast(np.sort(top))
@@ -367,5 +348,5 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **h
     """
     groups = similar_groups(docs, text=text, doc_id=doc_id, **how)
     best = groups.groupBy("root").agg(F.min(F.struct("d", "node")).alias("w")).select(F.col("w.d").alias("__d"), F.col("w.node").alias("__node"))
-    rows = docs.withColumns({"__node": text_node(F.col(text)), "__d": F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))})
+    rows = docs.withColumns({"__node": text_node(F.col(f"`{text}`")), "__d": F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit((1 << 63) - 1))})
     return rows.join(best, ["__d", "__node"]).dropDuplicates(["__d", "__node"]).drop("__d", "__node").select(*[f"`{c}`" for c in docs.columns])

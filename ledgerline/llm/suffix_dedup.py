@@ -324,12 +324,13 @@ def repeated_spans(docs: DataFrame, length: int = 400, text: str = "text", hot:
 
     every = keyed.mapInArrow(find, "tk binary, h long, a long, c int").groupBy("h", "tk", "a", "c").agg(F.count("*").alias("copies"))
     marks = materialize(every, "suffix-anchors")
-    often = marks.groupBy("h").agg(F.count("*").alias("n"), F.sum("copies").alias("m")).where("m > 1").select("h", (F.col("n") > hot).alias("hot"))
+    # written, so that the join below has two plain sides and Spark can split a frequent anchor's rows
+    often = materialize(marks.groupBy("h").agg(F.count("*").alias("n"), F.sum("copies").alias("m")).where("m > 1").select("h", (F.col("n") > hot).alias("hot")), "suffix-often")
     wanted = materialize(marks.join(often, "h").groupBy("tk").agg(F.collect_list(F.struct("h", "a", "c", "copies", "hot")).alias("xs")), "suffix-wanted")
     some = wanted.select("tk")
     texts = keyed.join(F.broadcast(some) if some.count() <= BROADCAST_KEYS else some, "tk", "left_semi").groupBy("tk").agg(F.first("t").alias("t")).join(wanted, "tk")
     pieces = texts.select("tk", "t", "xs").mapInArrow(_pieces(length), "h long, piece binary, windows int, tk binary, a long, copies long, hot boolean")
-    any_hot = not materialize(often.where("hot").select("h"), "suffix-hot-keys").isEmpty()
+    any_hot = not often.where("hot").isEmpty()
     if any_hot:
         pieces = materialize(pieces, "suffix-pieces")
     spans = _sorted_spans(pieces.where("not hot").drop("hot"), length)

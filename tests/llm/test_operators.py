@@ -151,6 +151,49 @@ def test_rules_catch_toxic_documents(spark):
     assert {r.doc_id for r in out if not r.kept} == {i for i in range(300) if i % 5 == 0}
 
 
+def test_rules_take_clashing_columns(spark):
+    rng = np.random.default_rng(5)
+    rows = [(7, i, " ".join(f"w{j}" for j in rng.integers(0, 400, 60)) + (" you idiot, moron" if i % 4 == 0 else "")) for i in range(120)]
+    docs = spark.createDataFrame(rows, "id long, doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0), 3) for i in range(120)] * 2, "doc_id long, quality int, toxic int, id long")
+    rules = quality_rules.fit(docs.unionByName(docs), labels)
+    assert {r.doc_id for r in quality_rules.apply_rules(docs, rules).collect() if not r.kept} == set(range(0, 120, 4))
+
+
+def test_quality_counts_and_verdicts(spark, docs):
+    rules = quality_rules.Rules([quality_rules.Rule((("symbols_per_word", True, 0.5), ("n_words", False, 100.0))), quality_rules.Rule((("flagged_share", True, 0.01),))], ("bad",))
+    rows = [(1, "#a $b <c> d|e f&g h%i j*k l m n", None, None), (2, "all good words here and there but one bad apple in all", None, None), (3, "all good words here and there with no such apple in it", None, None)]
+    got = {r.doc_id: r for r in quality_rules.apply_rules(table(spark, rows), rules).collect()}
+    for d, t, _, _ in rows:
+        assert got[d].n_symbols == len(re.findall(r"[#*$%&|<>]", t))
+    assert [(got[d].rule, got[d].kept) for d in (1, 2, 3)] == [(0, False), (1, False), (None, True)]
+
+
+def test_simhash_components(spark):
+    rng = np.random.default_rng(31)
+    base = [int(x) for x in rng.integers(0, 1 << 62, 12)]
+    fps = [b ^ (1 << int(k)) ^ (1 << int(j)) for b in base for k, j in rng.integers(0, 62, (6, 2))]
+    every = sorted({f for f in fps})
+    root = list(range(len(every)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(every)):
+        for j in range(i):
+            if (every[i] ^ every[j]).bit_count() <= 3:
+                root[find(i)] = find(j)
+    want = {frozenset(every[j] for j in range(len(every)) if find(j) == find(i)) for i in range(len(every))}
+    df = spark.createDataFrame([(0, f, f) for f in every], "t int, fp long, node long")
+    got = collections.defaultdict(set)
+    seen = {r.node: r.root for r in simhash.connected_components(simhash.links(df, 3)).collect()}
+    for f in every:
+        got[seen.get(f, f)].add(f)
+    assert set(map(frozenset, got.values())) == want
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(1, " ".join(LONG.split()[50:62])), (2, "Short TEXT"), (3, None), (4, "..."), (5, "not there at all whatever")], "item_id long, text string")
     hits = {r.key: (r.n_hit, r["items"]) for r in decontaminate.decontaminate(docs, items).collect()}

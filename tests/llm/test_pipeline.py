@@ -28,6 +28,23 @@ def test_stages_keep_what_they_should(spark, tmp_path):
     assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
 
 
+def test_stages_take_odd_rows(spark, tmp_path):
+    kinds = "`a.b` string, id long, doc_id long, text string, lang string, source string, n_chars long, size long, node long, key string, t string"
+    words = " ".join(f"word{i}" for i in range(30))
+    long = " ".join(f"x{i * 7919 % 100_003}" for i in range(60_000))
+    odd = [("c", 1, 1, words, "en", "s", 0, 7, 9, "k", "t"), ("c", 1, 1, words, "en", "s", 0, 7, 9, "k", "t"), ("d", 2, None, words + " more", None, None, 0, 7, 9, "k", "t"), ("e", 3, 5, None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None, None), ("f", 4, 6, "", "en", "s", 0, 0, 0, "", ""), ("g", 5, 7, long, "en", "s", 0, 0, 0, "", "")]
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0, 3), (None, 0, 1, 3), (5, None, None, 3)], "doc_id long, quality int, toxic int, id long").write.parquet(f"{tmp_path}/labels.parquet")
+    for rows, kept in ((odd, [4, 2, 2]), ([], [0, 0, 0])):
+        docs = spark.createDataFrame(rows, kinds)
+        for (_, stage), n in zip(corpus_pipeline.STAGES[:3], kept, strict=False):
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns[:3] == ["a.b", "id", "doc_id"] and docs.count() == n
+        docs = corpus_pipeline.mix_sources(spark, docs, str(tmp_path))
+        assert docs.columns[0] == "a.b" and {r.text for r in docs.collect()} <= {words, long}
+        assert corpus_pipeline.token_records(spark, spark.createDataFrame(rows, kinds), str(tmp_path)).count() == len(rows)
+
+
 def grams(text):
     w = text.lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
