@@ -92,3 +92,35 @@ def bind_checkpoints(evidence: DataFrame, checkpoints: DataFrame, on: list[str])
 def authorized(requests: DataFrame, authorizations: DataFrame, on: list[str]) -> DataFrame:
     """The requests for which an authorization exists; no row denies."""
     return requests.join(authorizations.select(*on).distinct(), on, "left_semi")
+
+
+def bind_events(events: DataFrame, inputs: DataFrame, commits: DataFrame, key: str) -> DataFrame:
+    """(key, code) of each verified event against the input and the commit that it is bound to, or the first mismatch.
+
+    events: (key, input_id, commit_id, scope, digest); inputs: (input_id, kind,
+    scope, digest); commits: (commit_id, scope). A missing input or commit
+    mismatches in its first rule.
+    """
+    i = inputs.select("input_id", F.col("kind").alias("__kind"), F.col("scope").alias("__is"), F.col("digest").alias("__d"))
+    c = commits.select("commit_id", F.col("scope").alias("__cs"))
+    code = first_mismatch(("InputKindMismatch", F.col("__kind"), F.lit("CanonicalEvent")), ("InputScopeMismatch", F.col("__is"), F.col("scope")), ("InputPayloadDigestMismatch", F.col("__d"), F.col("digest")), ("CommitScopeMismatch", F.col("__cs"), F.col("scope")))
+    return events.join(i, "input_id", "left").join(c, "commit_id", "left").select(key, code.alias("code"))
+
+
+def check_reconciliations(found: DataFrame, actions: DataFrame, key: str) -> DataFrame:
+    """(key, code) of each reconciliation (key, scope, action, evidence, tenant) against the action that it is about."""
+    a = actions.select(key, *[F.col(c).alias(f"__{c}") for c in ("scope", "action", "evidence", "tenant")])
+    code = first_mismatch(*[(f"{c.capitalize()}Mismatch", F.col(c), F.col(f"__{c}")) for c in ("scope", "action", "evidence", "tenant")])
+    return found.join(a, key, "left").select(key, code.alias("code"))
+
+
+def check_audits(audits: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
+    """(key, code) of each audit record (key, scope, operation) against the review (key, scope, operation) that it belongs to."""
+    r = reviews.select(key, F.col("scope").alias("__scope"), F.col("operation").alias("__operation"))
+    code = first_mismatch(("ScopeMismatch", F.col("scope"), F.col("__scope")), ("OperationMismatch", F.col("operation"), F.col("__operation")))
+    return audits.join(r, key, "left").select(key, code.alias("code"))
+
+
+def relay(identity: Column, status: Column) -> tuple[Column, Column]:
+    """(input id, observation) of a finished task's result: Completed succeeded, Exhausted failed for good, anything else is unknown."""
+    return identity, F.when(status == "Completed", "succeeded").when(status == "Exhausted", "terminal_failure").otherwise("unknown")

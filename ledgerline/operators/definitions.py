@@ -69,6 +69,34 @@ def migration_code(no_op: Column, source_matches: Column, destination_matches: C
     return first_failing(("NoOp", no_op), ("SourceMismatch", ~source_matches), ("DestinationMismatch", ~destination_matches))
 
 
+def compare_pins(pins: DataFrame, definitions: DataFrame, key: str) -> DataFrame:
+    """(key, compatibility, exact) of each process's pinned definition against the one in force under its id.
+
+    pins: (key, definition, version, digest, steps); definitions: (definition,
+    version, digest, steps), one of each id. A pin whose id isn't there is
+    Incompatible; exact tells whether a process may go on without a migration.
+    """
+    there = definitions.select("definition", *[F.col(c).alias(f"__{c}") for c in ("version", "digest", "steps")])
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"__{c}"))
+    told = compatibility(F.col("__version").isNotNull(), same("version"), same("digest"), same("steps"))
+    return pins.join(there, "definition", "left").select(key, told.alias("compatibility"), (told == "Exact").alias("exact"))
+
+
+def validate_migrations(migrations: DataFrame, definitions: DataFrame, key: str) -> DataFrame:
+    """(key, code) of each migration (key, source, source_digest, destination, destination_digest) against the definitions (definition, digest)."""
+    source = definitions.select(F.col("definition").alias("source"), F.col("digest").alias("__s"))
+    destination = definitions.select(F.col("definition").alias("destination"), F.col("digest").alias("__d"))
+    both = migrations.join(source, "source", "left").join(destination, "destination", "left")
+    no_op = (F.col("source") == F.col("destination")) & (F.col("source_digest") == F.col("destination_digest"))
+    code = migration_code(no_op, F.col("__s").eqNullSafe(F.col("source_digest")), F.col("__d").eqNullSafe(F.col("destination_digest")))
+    return both.select(key, code.alias("code"))
+
+
+def require_digest(stored: Column, derived: Column) -> Column:
+    """DigestMismatch where a stored canonical digest isn't the one derived from the content, else null."""
+    return F.when(~stored.eqNullSafe(derived), "DigestMismatch")
+
+
 def task_definition_code(schema: Column, attempts: Column, timeout: Column, cpu: Column, deadline: Column, history: Column) -> Column:
     """InvalidDefinition if a bound that must not be zero is, or the history has fewer than 4 records; else null."""
     return F.when((F.least(schema, attempts, timeout, cpu, deadline) < 1) | (history < 4), "InvalidDefinition")

@@ -31,6 +31,17 @@ def claim_outbox(actions: DataFrame, scope: str, now: Column, lease: int, limit:
     return taken.select(scope, "action_id", F.col("attempt").alias("delivery_attempt"), (now + lease).alias("new_expires_at"), F.when(worst >= ATTEMPTS, "QuotaExceeded").alias("error"))
 
 
+def claim_ceiling(claimed: DataFrame, scope: str) -> DataFrame:
+    """(scope, n, worst, code): a claim that selected an action at 64 attempts or more fails as a whole, and gives nothing out."""
+    worst = F.max("delivery_attempt")
+    return claimed.groupBy(scope).agg(F.count("*").alias("selected"), worst.alias("worst")).select(scope, F.when(F.col("worst") < ATTEMPTS, F.col("selected")).otherwise(F.lit(0)).alias("n"), "worst", F.when(F.col("worst") >= ATTEMPTS, "QuotaExceeded").alias("code"))
+
+
+def timer_kind_code(kind: Column) -> Column:
+    """Why an action can't be scheduled as a timer, or null."""
+    return F.when(kind != "Timer", "Invariant")
+
+
 def claim_due(timers: DataFrame, scope: str, now: Column, limit: int = CLAIM) -> DataFrame:
     """Pending timers that are due and not leased, by due time and action id."""
     due = timers.where((F.col("state") == 0) & (F.col("due_at") <= now) & (F.col("expires_at").isNull() | expired(F.col("expires_at"), now)))

@@ -36,6 +36,20 @@ def pages(log: DataFrame, scope: str, sequence: str, size: int = PAGE, start: in
     return each.select(scope, "page", "first", "n", F.lead("first").over(W.partitionBy(scope).orderBy("page")).alias("continuation"))
 
 
+def read_outcomes(log: DataFrame, heads: DataFrame, scope: str, sequence: str, start: int, limit: int = PAGE) -> DataFrame:
+    """(scope, n, next, code) of one read of each scope's log from ``start``: min(head - start, limit) outcomes must be there, else the log is corrupt.
+
+    heads: (scope, next_sequence). next is where the read goes on, null at the
+    end of the log. A scope without a head has nothing to read.
+    """
+    there = log.where((F.col(sequence) >= start) & (F.col(sequence) < start + limit)).groupBy(scope).agg(F.count("*").alias("n"), F.max(sequence).alias("last"))
+    want = F.least(F.greatest(F.col("next_sequence") - start, F.lit(0)), F.lit(limit))
+    n = F.coalesce("n", F.lit(0))
+    ok = (n == want) & (F.coalesce(F.col("last"), F.lit(start - 1)) == start + want - 1)
+    more = ok & (start + want < F.col("next_sequence"))
+    return heads.join(there, scope, "left").select(scope, n.alias("n"), F.when(more, start + want).alias("next"), F.when(~ok, "CorruptLog").alias("code"))
+
+
 def heads_agree(heads: DataFrame, log: DataFrame, scope: str, sequence: str) -> DataFrame:
     """(scope, consistent): the stored head equals one past the log's last sequence, or both are absent."""
     tail = log.groupBy(scope).agg((F.max(sequence) + 1).alias("tail"))

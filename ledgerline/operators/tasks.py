@@ -11,28 +11,6 @@ from pyspark.sql import functions as F
 from ledgerline.operators.folds import fold_log
 
 
-def replay_tasks(records: DataFrame, key: str, order: list[str], attempts: int = 3) -> DataFrame:
-    """(key, n_records, status, generation, checkpoints): each task's state after its records, the first illegal one stops the fold.
-
-    Records carry kind: IntentCommitted, Started, CheckpointCommitted,
-    FaultObserved, RecoveryPlanned, Restarted, Completed, RecoveryExhausted.
-    """
-    log = records.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, "kind"))), lambda x: x["kind"]).alias("log"))
-    st = lambda status, gen="a.g", cp="a.c": f"named_struct('s', {status}, 'g', {gen}, 'c', {cp}, 'bad', a.bad)"
-    rule = f"""aggregate(log, named_struct('s', 'Empty', 'g', 0, 'c', 0, 'bad', false), (a, k) -> case
-        when a.bad then a
-        when a.s = 'Empty' and k = 'IntentCommitted' then {st("'Pending'")}
-        when a.s = 'Pending' and k = 'Started' and a.g < {attempts} then {st("'Running'", "a.g + 1")}
-        when a.s = 'Ready' and k = 'Restarted' and a.g < {attempts} then {st("'Running'", "a.g + 1")}
-        when a.s = 'Running' and k = 'CheckpointCommitted' then {st("'Running'", "a.g", "a.c + 1")}
-        when a.s = 'Running' and k = 'FaultObserved' then {st("'Faulted'")}
-        when a.s = 'Running' and k = 'Completed' then {st("'Completed'")}
-        when a.s = 'Faulted' and k = 'RecoveryPlanned' and a.g < {attempts} then {st("'Ready'")}
-        when a.s = 'Faulted' and k = 'RecoveryExhausted' and a.g >= {attempts} then {st("'Exhausted'")}
-        else named_struct('s', a.s, 'g', a.g, 'c', a.c, 'bad', true) end)"""
-    return log.select(key, F.size("log").cast("long").alias("n_records"), F.expr(rule).alias("x")).select(key, "n_records", F.col("x.s").alias("status"), F.col("x.g").alias("generation"), F.col("x.c").alias("checkpoints"), F.col("x.bad").alias("illegal"))
-
-
 def next_record(projected: DataFrame, attempts: int = 3) -> DataFrame:
     """The record that a supervisor would write next, or null."""
     g = F.col("generation")
@@ -52,13 +30,6 @@ def retirable(projected: DataFrame, generations: DataFrame, key: str) -> DataFra
     return projected.where(F.col("status").isin("Completed", "Exhausted")).join(live, key, "left_anti")
 
 
-def propose(records: DataFrame, proposed: DataFrame, key: str, order: list[str], attempts: int = 3) -> DataFrame:
-    """(key, legal, status): whether one more record would be legal after each task's history, which itself stays as it is."""
-    both = records.select(key, *order, "kind").unionByName(proposed.select(key, *order, "kind"))
-    after = replay_tasks(both, key, order, attempts)
-    return proposed.select(key).join(after, key).select(key, (~F.col("illegal")).alias("legal"), "status")
-
-
 def recovery(status: Column, generation: Column, tick: Column, restart_at: Column, deadline: Column, attempts: int, mode: Column, contract: Column) -> Column:
     """What a faulted task needs: reconcile first, recover, or give up; null for others."""
     can = (mode != "NeverRestart") & (generation < attempts) & (tick < deadline) & (restart_at < deadline)
@@ -66,11 +37,6 @@ def recovery(status: Column, generation: Column, tick: Column, restart_at: Colum
     return F.when(status != "Faulted", None).when(ask, "reconcile").when(can, "recover").otherwise("exhaust")
 
 
-def interrupted(projected: DataFrame, key: str) -> DataFrame:
-    """The fault that a restored supervisor records for each task whose history ends running."""
-    return projected.where("status = 'Running'").select(key, (F.col("n_records") + 1).alias("rn"), F.lit("FaultObserved").alias("kind"), F.lit("SupervisorInterrupted").alias("fault"))
-
-
 def observe(proposal: Column, generation: Column, current: Column, tick: Column, execution_deadline: Column, size: Column, most: Column) -> Column:
     """What becomes of a worker's proposal: rejected if stale, a Timeout if late and no fault, OutputLimit if too large, else itself."""
     late = (tick >= execution_deadline) & (proposal != "FaultObserved")
@@ -128,65 +94,126 @@ class Definition:
         return self.contract == "ReconcileRequired" or self.mode == "ReconcileBeforeRestart"
 
 
-def replay_records(records: DataFrame, key: str, definition: Definition) -> DataFrame:
-    """(key, n_applied, status, generation, tick, checkpoint, code, code_sequence): each task's whole state machine; the first refused record ends the fold.
+_STATE = ("status", "next_sequence", "tick", "generation", "until", "restart", "made", "checkpoint")
+
+
+def _apply(a: Column, r: Column, d: Definition) -> tuple[Column, Column]:
+    """(code, state after) of one record in a state: why it is refused, or null and where it leads."""
+    false, nothing = F.lit(False), F.lit(None).cast("string")
+    kind, tick, s = r["kind"], r["tick"], a["status"]
+    begins, is_checkpoint = kind.isin("Started", "Restarted"), kind.isin("CheckpointCommitted", "CheckpointMigrated")
+    live = kind.isin("CheckpointCommitted", "Completed")
+    can = _can_recover(a, tick, d)
+    needed = {
+        "IntentCommitted": ["Empty"], "CheckpointMigrated": ["Pending"], "Started": ["Pending"], "Restarted": ["Ready"], "CheckpointCommitted": ["Running"], "FaultObserved": ["Running"], "Completed": ["Running"],
+        "ReconciliationRequired": ["Faulted"], "Reconciled": ["Reconciling"], "RecoveryPlanned": ["Reconciled" if d.reconciles else "Faulted"], "RecoveryExhausted": ["Faulted", "Reconciled", "Reconciling", "Pending", "Ready"],
+    }
+    fits = false
+    for name, states in needed.items():
+        fits = fits | ((kind == name) & s.isin(*states))
+    waiting = s.isin("Pending", "Ready")
+    output = (kind == "Completed") | ((kind == "Reconciled") & r["detail"].eqNullSafe(F.lit("Completed")))
+    code = (
+        F.when((r["sequence"] != a["next_sequence"]) | (tick < a["tick"]), "InvalidOrder")
+        .when((r["sequence"] >= d.history) | ((begins | (kind == "CheckpointCommitted")) & (r["sequence"] + 1 >= d.history)), "QuotaExhausted")
+        .when(r["generation"] != F.when(begins, a["generation"] + 1).otherwise(a["generation"]), "StaleGeneration")
+        .when(~F.coalesce(fits, false), "InvalidTransition")
+        .when((kind == "CheckpointMigrated") & a["checkpoint"].isNotNull(), "ScopeMismatch")
+        .when(begins & (r["generation"] > d.attempts), "QuotaExhausted").when(begins & (tick >= d.deadline), "DeadlineExpired").when((kind == "Restarted") & (tick < a["restart"]), "InvalidTransition")
+        .when(live & (tick >= a["until"]), "DeadlineExpired")
+        .when(is_checkpoint & ((r["bytes"] > d.checkpoint_bytes) | (a["made"] >= d.checkpoints)), "QuotaExhausted").when(output & (r["bytes"] > d.output_bytes), "QuotaExhausted")
+        .when((kind == "FaultObserved") & ((r["detail"].eqNullSafe(F.lit("Timeout")) & (tick < a["until"])) | (r["detail"].eqNullSafe(F.lit("DeadlineViolation")) & (tick < d.deadline))), "InvalidTransition")
+        .when((kind == "ReconciliationRequired") & F.lit(not d.reconciles), "InvalidTransition")
+        .when((kind == "RecoveryPlanned") & ~can, "QuotaExhausted")
+        .when((kind == "RecoveryPlanned") & ~r["detail"].eqNullSafe(_resume(a, d)), "CorruptBlob")
+        .when((kind == "RecoveryExhausted") & ((waiting & (tick < d.deadline)) | (~waiting & can)), "InvalidTransition")
+    )
+    after = (
+        F.when(kind == "IntentCommitted", "Pending").when(begins, "Running").when(kind == "FaultObserved", "Faulted").when(kind == "ReconciliationRequired", "Reconciling").when(output, "Completed")
+        .when((kind == "Reconciled") & (r["detail"] == "RestartAuthorized"), "Reconciled").when(kind == "RecoveryPlanned", "Ready").when(kind == "RecoveryExhausted", "Exhausted").otherwise(s)
+    )
+    moved = F.struct(
+        after.alias("status"), (a["next_sequence"] + 1).alias("next_sequence"), tick.alias("tick"), F.when(begins, r["generation"]).otherwise(a["generation"]).alias("generation"),
+        F.when(begins, F.least(tick + d.timeout, F.lit(d.deadline))).otherwise(a["until"]).alias("until"), F.when(kind == "FaultObserved", tick + d.delay).otherwise(a["restart"]).alias("restart"),
+        F.when(is_checkpoint, a["made"] + 1).otherwise(a["made"]).alias("made"), F.when(is_checkpoint | (kind == "RecoveryPlanned"), r["detail"]).otherwise(a["checkpoint"]).alias("checkpoint"),
+    )
+    return code, moved
+
+
+def _can_recover(a: Column, tick: Column, d: Definition) -> Column:
+    return F.lit(d.mode != "NeverRestart") & (a["generation"] < d.attempts) & (tick < d.deadline) & (a["restart"] < d.deadline)
+
+
+def _resume(a: Column, d: Definition) -> Column:
+    """The checkpoint that a recovery resumes from."""
+    return F.lit(None).cast("string") if d.mode in ("RestartFromBeginning", "NeverRestart") else a["checkpoint"]
+
+
+def _long(x: int) -> Column:
+    return F.lit(x).cast("long")
+
+
+def project_records(records: DataFrame, key: str, definition: Definition) -> DataFrame:
+    """(key, status, next_sequence, tick, generation, until, restart, made, checkpoint, code, code_sequence): each task's whole state after its records; the first refused one ends the fold.
 
     Records have sequence, tick, generation, kind, detail and bytes. detail
     is the checkpoint's id, the checkpoint to resume from, the fault, or what a
     reconciliation found (Completed, RestartAuthorized, Unknown). They are
     taken by sequence, then by the other columns.
     """
-    d = definition
     logged = records.select(key, F.struct(F.col("sequence").cast("long").alias("sequence"), F.col("tick").cast("long").alias("tick"), F.col("generation").cast("long").alias("generation"), "kind", "detail", F.col("bytes").cast("long").alias("bytes")).alias("__r"))
     log = logged.groupBy(key).agg(F.array_sort(F.collect_list("__r")).alias("log"))
-    num = lambda x, name: F.lit(x).cast("long").alias(name)
     nothing = F.lit(None).cast("string")
-    start = F.struct(F.lit("Empty").alias("s"), num(0, "n"), num(0, "tick"), num(0, "g"), num(0, "until"), num(0, "restart"), num(0, "made"), nothing.alias("cp"), nothing.alias("code"), F.lit(None).cast("long").alias("at"))
-    false = F.lit(False)
-
-    def step(a, r):
-        kind, tick, s = r["kind"], r["tick"], a["s"]
-        begins, is_checkpoint = kind.isin("Started", "Restarted"), kind.isin("CheckpointCommitted", "CheckpointMigrated")
-        live = kind.isin("CheckpointCommitted", "Completed")
-        can = (F.lit(d.mode != "NeverRestart")) & (a["g"] < d.attempts) & (tick < d.deadline) & (a["restart"] < d.deadline)
-        needed = {
-            "IntentCommitted": ["Empty"], "CheckpointMigrated": ["Pending"], "Started": ["Pending"], "Restarted": ["Ready"], "CheckpointCommitted": ["Running"], "FaultObserved": ["Running"], "Completed": ["Running"],
-            "ReconciliationRequired": ["Faulted"], "Reconciled": ["Reconciling"], "RecoveryPlanned": ["Reconciled" if d.reconciles else "Faulted"], "RecoveryExhausted": ["Faulted", "Reconciled", "Reconciling", "Pending", "Ready"],
-        }
-        fits = false
-        for name, states in needed.items():
-            fits = fits | ((kind == name) & s.isin(*states))
-        waiting = s.isin("Pending", "Ready")
-        output = (kind == "Completed") | ((kind == "Reconciled") & r["detail"].eqNullSafe(F.lit("Completed")))
-        code = (
-            F.when((r["sequence"] != a["n"]) | (tick < a["tick"]), "InvalidOrder")
-            .when((r["sequence"] >= d.history) | ((begins | (kind == "CheckpointCommitted")) & (r["sequence"] + 1 >= d.history)), "QuotaExhausted")
-            .when(r["generation"] != F.when(begins, a["g"] + 1).otherwise(a["g"]), "StaleGeneration")
-            .when(~F.coalesce(fits, false), "InvalidTransition")
-            .when((kind == "CheckpointMigrated") & a["cp"].isNotNull(), "ScopeMismatch")
-            .when(begins & (r["generation"] > d.attempts), "QuotaExhausted").when(begins & (tick >= d.deadline), "DeadlineExpired").when((kind == "Restarted") & (tick < a["restart"]), "InvalidTransition")
-            .when(live & (tick >= a["until"]), "DeadlineExpired")
-            .when(is_checkpoint & ((r["bytes"] > d.checkpoint_bytes) | (a["made"] >= d.checkpoints)), "QuotaExhausted").when(output & (r["bytes"] > d.output_bytes), "QuotaExhausted")
-            .when((kind == "FaultObserved") & ((r["detail"].eqNullSafe(F.lit("Timeout")) & (tick < a["until"])) | (r["detail"].eqNullSafe(F.lit("DeadlineViolation")) & (tick < d.deadline))), "InvalidTransition")
-            .when((kind == "ReconciliationRequired") & F.lit(not d.reconciles), "InvalidTransition")
-            .when((kind == "RecoveryPlanned") & ~can, "QuotaExhausted")
-            .when((kind == "RecoveryPlanned") & ~r["detail"].eqNullSafe(nothing if d.mode == "RestartFromBeginning" else a["cp"]), "CorruptBlob")
-            .when((kind == "RecoveryExhausted") & ((waiting & (tick < d.deadline)) | (~waiting & can)), "InvalidTransition")
-        )
-        after = (
-            F.when(kind == "IntentCommitted", "Pending").when(begins, "Running").when(kind == "FaultObserved", "Faulted").when(kind == "ReconciliationRequired", "Reconciling").when(output, "Completed")
-            .when((kind == "Reconciled") & (r["detail"] == "RestartAuthorized"), "Reconciled").when(kind == "RecoveryPlanned", "Ready").when(kind == "RecoveryExhausted", "Exhausted").otherwise(s)
-        )
-        moved = F.struct(
-            after.alias("s"), (a["n"] + 1).alias("n"), tick.alias("tick"), F.when(begins, r["generation"]).otherwise(a["g"]).alias("g"),
-            F.when(begins, F.least(tick + d.timeout, F.lit(d.deadline))).otherwise(a["until"]).alias("until"), F.when(kind == "FaultObserved", tick + d.delay).otherwise(a["restart"]).alias("restart"),
-            F.when(is_checkpoint, a["made"] + 1).otherwise(a["made"]).alias("made"), F.when(is_checkpoint | (kind == "RecoveryPlanned"), r["detail"]).otherwise(a["cp"]).alias("cp"), nothing.alias("code"), a["at"].alias("at"),
-        )
-        refused = F.struct(*[a[f] for f in ("s", "n", "tick", "g", "until", "restart", "made", "cp")], code.alias("code"), r["sequence"].alias("at"))
-        return F.when(a["code"].isNotNull(), a).when(code.isNotNull(), refused).otherwise(moved)
+    empty = F.struct(F.lit("Empty").alias("status"), *[_long(0).alias(x) for x in _STATE[1:7]], nothing.alias("checkpoint"))
+    start = F.struct(empty.alias("s"), nothing.alias("code"), F.lit(None).cast("long").alias("at"))
+
+    def step(x, r):
+        code, moved = _apply(x["s"], r, definition)
+        refused = F.struct(x["s"].alias("s"), code.alias("code"), r["sequence"].alias("at"))
+        return F.when(x["code"].isNotNull(), x).when(code.isNotNull(), refused).otherwise(F.struct(moved.alias("s"), nothing.alias("code"), x["at"].alias("at")))
 
     done = log.select(key, F.aggregate("log", start, step).alias("x"))
-    return done.select(key, F.col("x.n").alias("n_applied"), F.col("x.s").alias("status"), F.col("x.g").alias("generation"), F.col("x.tick").alias("tick"), F.col("x.cp").alias("checkpoint"), F.col("x.code").alias("code"), F.col("x.at").alias("code_sequence"))
+    return done.select(key, *[F.col(f"x.s.{c}").alias(c) for c in _STATE], F.col("x.code").alias("code"), F.col("x.at").alias("code_sequence"))
+
+
+def replay_records(records: DataFrame, key: str, definition: Definition) -> DataFrame:
+    """(key, n_applied, status, generation, tick, checkpoint, code, code_sequence) of each task after its records (see ``project_records``)."""
+    return project_records(records, key, definition).select(key, F.col("next_sequence").alias("n_applied"), "status", "generation", "tick", "checkpoint", "code", "code_sequence")
+
+
+def propose(projected: DataFrame, definition: Definition, kind: Column, generation: Column, tick: Column, detail: Column, size: Column) -> DataFrame:
+    """``projected`` (from ``project_records``) with proposed_code and proposed_status: what one more record would come to, in a copy of the state."""
+    state = F.struct(*_STATE)
+    record = F.struct(F.col("next_sequence").alias("sequence"), tick.cast("long").alias("tick"), generation.cast("long").alias("generation"), kind.alias("kind"), detail.alias("detail"), size.cast("long").alias("bytes"))
+    rows = projected.withColumns({"__s": state, "__r": record})
+    code, moved = _apply(F.col("__s"), F.col("__r"), definition)
+    return rows.withColumns({"proposed_code": code, "proposed_status": F.when(code.isNull(), moved["status"])}).drop("__s", "__r")
+
+
+def next_transition(projected: DataFrame, definition: Definition, tick: Column) -> DataFrame:
+    """``projected`` with next_kind, next_generation, next_detail and next_code: the one record that a supervisor would write at ``tick``, all null while it waits.
+
+    A tick before the last one, or a record that its own rules refuse, gives a code instead.
+    """
+    s, a, d = F.col("status"), F.struct(*_STATE), definition
+    over = F.when(_can_recover(a, tick, d), "RecoveryPlanned").otherwise("RecoveryExhausted")
+    kind = (
+        F.when(tick < F.col("tick"), None).when((s == "Running") & (tick >= F.col("until")), "FaultObserved").when(s.isin("Pending", "Ready") & (tick >= d.deadline), "RecoveryExhausted")
+        .when(s == "Pending", "Started").when((s == "Ready") & (tick >= F.col("restart")), "Restarted").when((s == "Faulted") & F.lit(d.reconciles), "ReconciliationRequired").when(s.isin("Faulted", "Reconciled"), over)
+    )
+    generation = F.when(kind.isin("Started", "Restarted"), F.col("generation") + 1).when(kind.isNotNull(), F.col("generation"))
+    detail = F.when(kind == "FaultObserved", "Timeout").when(kind == "RecoveryPlanned", _resume(a, d))
+    rows = projected.withColumns({"next_kind": kind, "next_generation": generation, "next_detail": detail})
+    told = propose(rows, d, F.col("next_kind"), F.col("next_generation"), tick, F.col("next_detail"), _long(0))
+    code = F.when(tick < F.col("tick"), "InvalidOrder").when(F.col("next_kind").isNotNull(), F.col("proposed_code"))
+    out = told.withColumn("next_code", code).drop("proposed_code", "proposed_status")
+    return out.withColumns({c: F.when(F.col("next_code").isNull(), F.col(c)) for c in ("next_kind", "next_generation", "next_detail")})
+
+
+def interrupted(projected: DataFrame, key: str, definition: Definition, tick: Column) -> DataFrame:
+    """(key, sequence, generation, tick, kind, detail, code): the fault that a restored supervisor records, after fencing, for each task whose history ends running."""
+    rows = propose(projected.where("status = 'Running'"), definition, F.lit("FaultObserved"), F.col("generation"), tick, F.lit("SupervisorInterrupted"), _long(0))
+    return rows.select(key, F.col("next_sequence").alias("sequence"), "generation", tick.alias("tick"), F.lit("FaultObserved").alias("kind"), F.lit("SupervisorInterrupted").alias("detail"), F.col("proposed_code").alias("code"))
 
 
 def control_record(projected: DataFrame, command, late, attempts: int = 3) -> DataFrame:

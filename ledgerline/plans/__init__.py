@@ -1,3 +1,3 @@
 """Queries over the driver's tables and their SQL; importing the package registers all of them."""
 
-from ledgerline.plans import histories, lifecycle, oracles, queries, sagas, stores  # noqa: F401
+from ledgerline.plans import histories, lifecycle, oracles, queries, records, sagas, stores  # noqa: F401

@@ -10,21 +10,11 @@ from ledgerline.operators import logs
 from ledgerline.operators import tasks as K
 from ledgerline.operators import timeline as M
 from ledgerline.plans.lifecycle import query
-from ledgerline.plans.oracles import _IN, _OUT, _TASK, NOW, ORACLES, _linear
-from ledgerline.plans.queries import _CONTENT, K3_task_replay, L12_replay_full, M8_correction_replay, _inputs, _lineage, _outcomes, _overrides, _records, lit
+from ledgerline.plans.oracles import _IN, _OUT, NOW, ORACLES, _linear
+from ledgerline.plans.queries import _CONTENT, L12_replay_full, M8_correction_replay, _inputs, _lineage, _outcomes, _overrides, lit
 from ledgerline.sources.tables import checkpointed, millis, read, scratch
 from ledgerline.streaming import inbox
 
-@query(_TASK + """, nx as (select user_id, case when user_id % 3 = 0 then 'Restarted' when user_id % 3 = 1 then 'RecoveryPlanned' else 'CheckpointCommitted' end k, status s, generation g, illegal from fin)
-  select user_id, not illegal and (s = 'Ready' and k = 'Restarted' and g < 3 or s = 'Faulted' and k = 'RecoveryPlanned' and g < 3 or s = 'Running' and k = 'CheckpointCommitted') legal,
-    case when illegal then s when s = 'Ready' and k = 'Restarted' and g < 3 then 'Running' when s = 'Faulted' and k = 'RecoveryPlanned' and g < 3 then 'Ready' else s end status from nx""")
-def K5_propose(s: SparkSession, d: str) -> DataFrame:
-    r = _records(s, d)
-    u = F.col("user_id")
-    last = r.groupBy("user_id").agg((F.max("rn") + 1).alias("rn")).withColumn("kind", F.when(u % 3 == 0, "Restarted").when(u % 3 == 1, "RecoveryPlanned").otherwise("CheckpointCommitted"))
-    return K.propose(r, last, "user_id", ["rn"])
-
-
 @query(f"""select o_orderkey, case when o_orderstatus <> 'F' then null when o_orderkey % 5 = 0 or o_custkey % 4 = 2 then 'reconcile' when o_custkey % 4 <> 3 and o_orderkey % 4 < 3 and {NOW} < epoch_ms(o_orderdate) and epoch_ms(o_orderdate) - 86400000 * (o_custkey % 3 - 1) < epoch_ms(o_orderdate) then 'recover' else 'exhaust' end todo from orders""")
 def K6_recovery(s: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
@@ -35,11 +25,6 @@ def K6_recovery(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "orders").select("o_orderkey", K.recovery(status, k % 4, lit(NOW), due - 86400000 * (c % 3 - 1), due, 3, mode, contract).alias("todo"))
 
 
-@query(_TASK + " select user_id, n_records + 1 rn, 'FaultObserved' kind, 'SupervisorInterrupted' fault from fin where status = 'Running'")
-def K7_restore(s: SparkSession, d: str) -> DataFrame:
-    return K.interrupted(K3_task_replay(s, d), "user_id")
-
-
 @query(f"""select o_orderkey, case when o_orderkey % 3 <> o_custkey % 3 then 'StaleGeneration' when {NOW} >= epoch_ms(o_orderdate) and o_orderstatus <> 'P' then 'Timeout' when o_orderstatus <> 'P' and o_custkey * 100 > 7000 then 'OutputLimit' else case o_orderstatus when 'F' then 'Completed' when 'O' then 'CheckpointCommitted' else 'FaultObserved' end end told from orders""")
 def K8_observe(s: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
@@ -202,28 +187,59 @@ def _task_log(s: SparkSession, d: str) -> DataFrame:
 
 
 # the state machine under the default definition
-_K2 = """with recursive e as (select user_id || '/' || ts::date::varchar task, event_id i, row_number() over (partition by user_id, ts::date order by ts, event_id) rn from events),
+_K2_CODE = """case when sq <> n or tick < tk then 'InvalidOrder' when sq >= 64 or (begins or k = 'CheckpointCommitted') and sq >= 63 then 'QuotaExhausted' when gn <> g + begins::int then 'StaleGeneration'
+        when not (k = 'IntentCommitted' and s = 'Empty' or k = 'Started' and s = 'Pending' or k = 'Restarted' and s = 'Ready' or k in ('CheckpointCommitted', 'FaultObserved', 'Completed') and s = 'Running' or k in ('ReconciliationRequired', 'RecoveryPlanned') and s = 'Faulted' or k = 'RecoveryExhausted' and s in ('Faulted', 'Pending', 'Ready')) then 'InvalidTransition'
+        when begins and gn > 3 then 'QuotaExhausted' when begins and tick >= 1000 then 'DeadlineExpired' when k in ('CheckpointCommitted', 'Completed') and tick >= until then 'DeadlineExpired' when k = 'CheckpointCommitted' and (b > 40 or made >= 8) or k = 'Completed' and b > 40 then 'QuotaExhausted'
+        when k = 'ReconciliationRequired' then 'InvalidTransition' when k = 'RecoveryPlanned' and not (g < 3 and tick < 1000 and rs < 1000) then 'QuotaExhausted' when k = 'RecoveryPlanned' and dt is distinct from cp then 'CorruptBlob'
+        when k = 'RecoveryExhausted' and (s in ('Pending', 'Ready') and tick < 1000 or s = 'Faulted' and g < 3 and tick < 1000 and rs < 1000) then 'InvalidTransition' end"""
+_K2 = f"""with recursive e as (select user_id || '/' || ts::date::varchar task, event_id i, row_number() over (partition by user_id, ts::date order by ts, event_id) rn from events),
   z as (select task, rn, rn - 1 sq, rn tick, case when rn >= 6 then 2 when rn >= 2 then 1 else 0 end gn, case when i % 5 = 0 and rn > 2 then ['FaultObserved', 'RecoveryExhausted', 'ReconciliationRequired', 'Started'][i % 4 + 1]
     else ['IntentCommitted', 'Started', 'CheckpointCommitted', 'FaultObserved', 'RecoveryPlanned', 'Restarted', 'CheckpointCommitted', 'Completed'][least(rn, 8)] end k, i % 50 b from e),
   y as (select *, case k when 'CheckpointCommitted' then 'c' || rn when 'RecoveryPlanned' then 'c3' when 'FaultObserved' then 'Panic' end dt, k in ('Started', 'Restarted') begins from z),
-  st as (select task, 0::bigint rn, 'Empty' s, 0::bigint n, 0::bigint tk, 0 g, 0::bigint until, 0::bigint made, null::varchar cp, null::varchar code, null::bigint pos from y where rn = 1
+  st as (select task, 0::bigint rn, 'Empty' s, 0::bigint n, 0::bigint tk, 0 g, 0::bigint until, 0::bigint rs, 0::bigint made, null::varchar cp, null::varchar code, null::bigint pos from y where rn = 1
     union all select task, rn, case when code is not null then s when k = 'IntentCommitted' then 'Pending' when begins then 'Running' when k = 'FaultObserved' then 'Faulted' when k = 'Completed' then 'Completed' when k = 'RecoveryPlanned' then 'Ready' when k = 'RecoveryExhausted' then 'Exhausted' else s end,
-      case when code is null then n + 1 else n end, case when code is null then tick else tk end, case when code is null and begins then gn else g end, case when code is null and begins then least(tick + 20, 1000) else until end, case when code is null and k = 'CheckpointCommitted' then made + 1 else made end,
+      case when code is null then n + 1 else n end, case when code is null then tick else tk end, case when code is null and begins then gn else g end, case when code is null and begins then least(tick + 20, 1000) else until end, case when code is null and k = 'FaultObserved' then tick else rs end, case when code is null and k = 'CheckpointCommitted' then made + 1 else made end,
       case when code is null and k in ('CheckpointCommitted', 'RecoveryPlanned') then dt else cp end, code, case when code is not null then coalesce(pos, sq) end
-    from (select *, coalesce(old, case when sq <> n or tick < tk then 'InvalidOrder' when sq >= 64 or (begins or k = 'CheckpointCommitted') and sq >= 63 then 'QuotaExhausted' when gn <> g + begins::int then 'StaleGeneration'
-        when not (k = 'IntentCommitted' and s = 'Empty' or k = 'Started' and s = 'Pending' or k = 'Restarted' and s = 'Ready' or k in ('CheckpointCommitted', 'FaultObserved', 'Completed') and s = 'Running' or k in ('ReconciliationRequired', 'RecoveryPlanned') and s = 'Faulted' or k = 'RecoveryExhausted' and s in ('Faulted', 'Pending', 'Ready')) then 'InvalidTransition'
-        when begins and gn > 3 then 'QuotaExhausted' when begins and tick >= 1000 then 'DeadlineExpired' when k in ('CheckpointCommitted', 'Completed') and tick >= until then 'DeadlineExpired' when k = 'CheckpointCommitted' and (b > 40 or made >= 8) or k = 'Completed' and b > 40 then 'QuotaExhausted'
-        when k = 'ReconciliationRequired' then 'InvalidTransition' when k = 'RecoveryPlanned' and not (g < 3 and tick < 1000) then 'QuotaExhausted' when k = 'RecoveryPlanned' and dt is distinct from cp then 'CorruptBlob'
-        when k = 'RecoveryExhausted' and (s in ('Pending', 'Ready') and tick < 1000 or s = 'Faulted' and g < 3 and tick < 1000) then 'InvalidTransition' end) code
-      from (select st.* exclude (rn, code), st.code old, y.* exclude (task) from st join y on y.task = st.task and y.rn = st.rn + 1)))
-  select task, n n_applied, s status, g::bigint generation, tk tick, cp checkpoint, code, pos code_sequence from st qualify row_number() over (partition by task order by rn desc) = 1"""
+    from (select *, coalesce(old, {_K2_CODE}) code
+      from (select st.* exclude (rn, code), st.code old, y.* exclude (task) from st join y on y.task = st.task and y.rn = st.rn + 1))), fin as (select * from st qualify row_number() over (partition by task order by rn desc) = 1)"""
 
 
-@query(_K2)
+@query(_K2 + " select task, n n_applied, s status, g::bigint generation, tk tick, cp checkpoint, code, pos code_sequence from fin")
 def K2_task_records(s: SparkSession, d: str) -> DataFrame:
     return K.replay_records(_task_log(s, d), "task", K.Definition())
 
 
+@query(_K2 + " select s status, code, count(*) n_tasks, sum(n)::bigint n_records, sum(made)::bigint n_checkpoints, max(g)::bigint generation from fin group by 1, 2")
+def K3_task_replay(s: SparkSession, d: str) -> DataFrame:
+    x = K.project_records(_task_log(s, d), "task", K.Definition())
+    return x.groupBy("status", "code").agg(F.count("*").alias("n_tasks"), F.sum("next_sequence").alias("n_records"), F.sum("made").alias("n_checkpoints"), F.max("generation").alias("generation"))
+
+
+@query(_K2 + """, w as (select *, tk + n % 4 * 9 - (n % 5 = 3)::int now from fin), v as (select *, case when now < tk then null when s = 'Running' and now >= until then 'FaultObserved' when s in ('Pending', 'Ready') and now >= 1000 then 'RecoveryExhausted' when s = 'Pending' then 'Started'
+    when s = 'Ready' and now >= rs then 'Restarted' when s = 'Faulted' then case when g < 3 and now < 1000 and rs < 1000 then 'RecoveryPlanned' else 'RecoveryExhausted' end end nk from w)
+  select task, s status, nk next_kind, case when nk in ('Started', 'Restarted') then g + 1 when nk is not null then g end::bigint next_generation, case nk when 'FaultObserved' then 'Timeout' when 'RecoveryPlanned' then cp end next_detail, case when now < tk then 'InvalidOrder' end next_code from v""")
+def K4_next(s: SparkSession, d: str) -> DataFrame:
+    x = K.project_records(_task_log(s, d), "task", K.Definition())
+    n = F.col("next_sequence")
+    now = F.col("tick") + n % 4 * 9 - F.when(n % 5 == 3, 1).otherwise(0)
+    return K.next_transition(x, K.Definition(), now).select("task", "status", "next_kind", "next_generation", "next_detail", "next_code")
+
+
+@query(_K2 + f""", w as (select fin.* exclude (code), ['Restarted', 'RecoveryPlanned', 'CheckpointCommitted'][n % 3 + 1] k, n sq, tk + 1 tick, n * 17 % 60 b from fin), v as (select *, k = 'Restarted' begins, g + (k = 'Restarted')::int gn, case k when 'RecoveryPlanned' then 'c3' else 'cx' end dt from w),
+  u as (select *, {_K2_CODE} code from v) select task, code proposed_code, case when code is null then case k when 'Restarted' then 'Running' when 'RecoveryPlanned' then 'Ready' else s end end proposed_status from u""")
+def K5_propose(s: SparkSession, d: str) -> DataFrame:
+    x = K.project_records(_task_log(s, d), "task", K.Definition())
+    n = F.col("next_sequence")
+    kind = F.get(F.array(*map(F.lit, ("Restarted", "RecoveryPlanned", "CheckpointCommitted"))), (n % 3).cast("int"))
+    asked = K.propose(x, K.Definition(), kind, F.col("generation") + F.when(kind == "Restarted", 1).otherwise(0), F.col("tick") + 1, F.when(kind == "RecoveryPlanned", "c3").otherwise("cx"), n * 17 % 60)
+    return asked.select("task", "proposed_code", "proposed_status")
+
+
+@query(_K2 + " select task, n sequence, g::bigint generation, tk + 2 tick, 'FaultObserved' kind, 'SupervisorInterrupted' detail, case when n >= 64 then 'QuotaExhausted' end code from fin where s = 'Running'")
+def K7_restore(s: SparkSession, d: str) -> DataFrame:
+    return K.interrupted(K.project_records(_task_log(s, d), "task", K.Definition()), "task", K.Definition(), F.col("tick") + 2)
+
+
 @query("select o_orderkey, o_orderstatus = 'O' and 820454400000 >= epoch_ms(o_orderdate) safe from orders")
 def R5_retry_safe(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "orders").select("o_orderkey", ((F.col("o_orderstatus") == "O") & (lit(NOW) >= millis("o_orderdate"))).alias("safe"))

@@ -44,20 +44,6 @@ def G1_definition(s: SparkSession, d: str) -> DataFrame:
     return D.validate_graph(g, x.select("g", F.col("src").alias("step")).distinct(), x, "g")
 
 
-@query("select o_orderkey, case when o_custkey % 7 = 0 or o_orderkey % 3 = 0 then 'Incompatible' when o_orderstatus <> 'F' or o_orderpriority[1] = '5' then 'RequiresMigration' else 'Exact' end compatibility from orders")
-def S10_compatibility(s: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    steps = F.array(F.substring("o_orderpriority", 1, 1), F.lit("x"))
-    last = F.array(F.when(F.substring("o_orderpriority", 1, 1) == "5", "4").otherwise(F.substring("o_orderpriority", 1, 1)), F.lit("x"))
-    return read(s, d, "orders").select("o_orderkey", D.compatibility(F.col("o_custkey") % 7 != 0, k % 3 != 0, F.sha2("o_orderstatus", 256) == F.sha2(F.lit("F"), 256), steps == last).alias("compatibility"))
-
-
-@query("select o_orderkey, case when o_orderkey % 4 = 0 then 'NoOp' when o_orderstatus <> 'F' then 'SourceMismatch' when o_custkey % 2 = 1 then 'DestinationMismatch' end code from orders")
-def S11_migration(s: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    return read(s, d, "orders").select("o_orderkey", D.migration_code(k % 4 == 0, F.col("o_orderstatus") == "F", F.col("o_custkey") % 2 == 0).alias("code"))
-
-
 @query("select o_orderkey, case when least(o_orderkey % 5, o_custkey % 7, o_orderkey % 11) < 1 or o_custkey % 9 < 4 then 'InvalidDefinition' end code from orders")
 def K1_task_definition(s: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")

@@ -25,21 +25,6 @@ def _linear(full: bool, comp: bool) -> str:
 _BE2 = "unhex(lpad(to_hex(strlen({0})), 4, '0')) || encode({0})"
 _SCOPE = " || ".join(_BE2.format(x) for x in ("('tnt_' || o_custkey)", "('prc_' || o_orderkey)", "'def_order'", "'ver_1'")) + " || unhex(sha256('order'))"
 _EFFECT = f"{_SCOPE} || {_BE2.format('(' + chr(39) + 'stp_' + chr(39) + ' || o_orderpriority)')} || unhex(lpad(to_hex(o_orderkey % 64), 8, '0')) || unhex('01') || unhex(sha256(o_orderstatus))"
-_REC = """rec as (select user_id, rn, case when rn = 1 then 'IntentCommitted' when rn = 2 then 'Started' when event_type = 'error' then 'FaultObserved' when event_type = 'signup' then 'RecoveryPlanned'
-  when event_type = 'view' then 'Restarted' when value < 1 then 'Completed' else 'CheckpointCommitted' end k from (select *, row_number() over (partition by user_id order by ts, event_id) rn from events))"""
-_TASK = f"""with recursive {_REC}, st as (
-  select user_id, 0 rn, 'Empty' s, 0 g, 0 c, false bad from rec where rn = 1
-  union all
-  select e.user_id, e.rn::int,
-    case when bad then s when s = 'Empty' and k = 'IntentCommitted' then 'Pending' when (s = 'Pending' and k = 'Started' or s = 'Ready' and k = 'Restarted') and g < 3 then 'Running'
-      when s = 'Running' and k = 'FaultObserved' then 'Faulted' when s = 'Running' and k = 'Completed' then 'Completed' when s = 'Faulted' and k = 'RecoveryPlanned' and g < 3 then 'Ready'
-      when s = 'Faulted' and k = 'RecoveryExhausted' and g >= 3 then 'Exhausted' else s end,
-    case when not bad and (s = 'Pending' and k = 'Started' or s = 'Ready' and k = 'Restarted') and g < 3 then g + 1 else g end,
-    case when not bad and s = 'Running' and k = 'CheckpointCommitted' then c + 1 else c end,
-    bad or not (s = 'Empty' and k = 'IntentCommitted' or s = 'Pending' and k = 'Started' and g < 3 or s = 'Ready' and k = 'Restarted' and g < 3 or s = 'Running' and k in ('CheckpointCommitted', 'FaultObserved', 'Completed')
-      or s = 'Faulted' and k = 'RecoveryPlanned' and g < 3 or s = 'Faulted' and k = 'RecoveryExhausted' and g >= 3)
-  from st join rec e on e.user_id = st.user_id and e.rn = st.rn + 1
-), fin as (select user_id, rn::bigint n_records, s status, g generation, c checkpoints, bad illegal from st qualify row_number() over (partition by user_id order by rn desc) = 1)"""
 _IN = "x as (select user_id, (row_number() over (partition by user_id order by ts, event_id))::int step, round(value * 100)::bigint payload, event_type from events)"
 _PLAN = f"""with {_IN}, h as (select user_id, max(step)::bigint head, case when user_id % 4 <> 0 then 3 end fin from x group by 1), inp as (select user_id, step::bigint step, case when step % 53 = 50 then 2 else 1 end br, payload digest from x where step % 41 <> 40),
   c as (select user_id, step::bigint "at", head, fin, step % 11 = 0 stale, step % 13 = 7 foreign_scope, step % 17 = 9 other_branch, step % 2 = 1 swaps, (case when step % 2 = 1 then step - 1 else step + user_id % 3 * 2 end)::bigint anchor, (case when step % 7 = 3 then step + 1 else step end)::bigint target, step % 5 = 0 renamed, step % 9 = 4 old from x join h using (user_id) where event_type = 'error'),
@@ -108,8 +93,6 @@ ORACLES = {
     "R9_review": f"select o_orderkey, case when o_orderkey % 5 <> 0 and {NOW} > epoch_ms(o_orderdate) then 'Expired' when o_orderkey % 2 = 0 and o_orderkey % 3 = o_orderkey % 2 then 'SamePrincipal' else 'Accepted' end verdict from orders",
     "R11_authorization": "select case event_type when 'error' then 'TerminalOverride' when 'signup' then 'DecideReview' else event_type end operation, count(*) n, case when event_type in ('error', 'signup') then 'DistinctPrincipals' else 'AuthenticatedPrincipal' end control from events group by event_type",
     "R14_task_evidence": "select o_orderkey, case when o_orderstatus = 'F' then 'Succeeded' when o_orderstatus = 'O' and o_orderkey % 2 = 0 then 'KnownFailure' else 'Unknown' end evidence from orders",
-    "K3_task_replay": _TASK + " select * from fin",
-    "K4_next": _TASK + " select user_id, status, case status when 'Empty' then 'IntentCommitted' when 'Pending' then 'Started' when 'Ready' then 'Restarted' when 'Faulted' then case when generation < 3 then 'RecoveryPlanned' else 'RecoveryExhausted' end end next_kind from fin",
     "K13_fencing": f"with {_GEN} select *, not exists (select 1 from g p where p.task = g.task and p.generation < g.generation and p.state <> 2) may_start from g",
     "K14_retire": f"with {_GEN} select o_orderkey task, 'Completed' status from orders where o_orderstatus = 'F' and not exists (select 1 from g where task = o_orderkey and state <> 2)",
     "M2_append_gate": f"""with recursive {_IN}, y as (select user_id, step, row_number() over (partition by user_id order by step) rn, case when (user_id + step) % 23 = 7 then 'other' else 'own' end sc, case when step % 19 = 6 then 2 else 1 end br, case when step % 29 = 11 then 0 when step > 5 then 4 else step - 1 end rev from x where step % 9 <> 5),

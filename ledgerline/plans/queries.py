@@ -264,22 +264,6 @@ def R11_authorization(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "events").groupBy(op.alias("operation")).agg(F.count("*").alias("n")).select("operation", "n", R.required_control(F.col("operation")).alias("control"))
 
 
-def _records(s, d):
-    e = read(s, d, "events")
-    kind = F.when(F.col("rn") == 1, "IntentCommitted").when(F.col("rn") == 2, "Started").when(F.col("event_type") == "error", "FaultObserved").when(F.col("event_type") == "signup", "RecoveryPlanned").when(F.col("event_type") == "view", "Restarted").when(F.col("value") < 1, "Completed").otherwise("CheckpointCommitted")
-    return e.withColumn("rn", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))).select("user_id", "rn", kind.alias("kind"))
-
-
-@query
-def K3_task_replay(s: SparkSession, d: str) -> DataFrame:
-    return K.replay_tasks(_records(s, d), "user_id", ["rn"])
-
-
-@query
-def K4_next(s: SparkSession, d: str) -> DataFrame:
-    return K.next_record(K3_task_replay(s, d)).select("user_id", "status", "next_kind")
-
-
 def _generations(s, d):
     return read(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("generation")).agg(F.max(F.when(F.col("l_returnflag") == "N", 0).otherwise(2)).alias("state"))
 

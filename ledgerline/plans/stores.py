@@ -147,24 +147,6 @@ def R2_expectation(s: SparkSession, d: str) -> DataFrame:
     return R.expectations(read(s, d, "orders").select("o_orderkey", "o_custkey", (k % 2).alias("tenant")), scopes, "o_custkey").select("o_orderkey", "code")
 
 
-@query("select o_orderkey, case when o_orderkey % 5 = 0 then 'InputKindMismatch' when o_custkey % 3 = 1 then 'InputScopeMismatch' when o_orderstatus <> 'F' then 'InputPayloadDigestMismatch' when o_custkey % 4 = 2 then 'CommitScopeMismatch' end code from orders")
-def R3_bind_event(s: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    c = F.col("o_custkey")
-    code = R.first_mismatch(
-        ("InputKindMismatch", F.when(k % 5 == 0, "Command").otherwise("CanonicalEvent"), F.lit("CanonicalEvent")), ("InputScopeMismatch", c % 3 == 1, F.lit(False)),
-        ("InputPayloadDigestMismatch", F.sha2("o_orderstatus", 256), F.sha2(F.lit("F"), 256)), ("CommitScopeMismatch", c % 4 == 2, F.lit(False)))
-    return read(s, d, "orders").select("o_orderkey", code.alias("code"))
-
-
-@query("select o_orderkey, case when o_custkey % 5 = 0 then 'ScopeMismatch' when o_orderkey % 4 = 0 then 'ActionMismatch' when o_orderstatus = 'P' then 'EvidenceMismatch' when o_custkey % 7 = 0 then 'TenantMismatch' end code from orders")
-def R6_reconciliation(s: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    c = F.col("o_custkey")
-    code = R.first_mismatch(("ScopeMismatch", c % 5 == 0, F.lit(False)), ("ActionMismatch", k % 4 == 0, F.lit(False)), ("EvidenceMismatch", F.col("o_orderstatus") == "P", F.lit(False)), ("TenantMismatch", c % 7 == 0, F.lit(False)))
-    return read(s, d, "orders").select("o_orderkey", code.alias("code"))
-
-
 @query(f"select o_orderkey, case when o_orderkey % 8 = 0 then 'EffectKeyMismatch' when o_custkey % 5 = 0 then 'ActionMismatch' when o_orderkey % 3 <> 0 and {NOW} > epoch_ms(o_orderdate) then 'DeadlineExceeded' end code from orders")
 def R8_effect_evidence(s: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
@@ -173,11 +155,6 @@ def R8_effect_evidence(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "orders").select("o_orderkey", R.effect_code(got, want, F.col("o_custkey") % 5 == 0, F.lit(False), lit(NOW), F.when(k % 3 != 0, millis("o_orderdate"))).alias("code"))
 
 
-@query("select o_orderkey, case when o_custkey % 4 = 0 then 'ScopeMismatch' when o_orderstatus = 'P' then 'OperationMismatch' end code from orders")
-def R10_review_audit(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "orders").select("o_orderkey", R.first_mismatch(("ScopeMismatch", F.col("o_custkey") % 4 == 0, F.lit(False)), ("OperationMismatch", F.when(F.col("o_orderstatus") == "P", "ClaimReview").otherwise("DecideReview"), F.lit("DecideReview"))).alias("code"))
-
-
 @query("""select o_orderkey, case when o_orderkey % 11 = 0 then 'BindingMismatch' when o_orderstatus = 'P' then 'NotCompleted' when o_orderkey % 7 = 0 then 'CorruptOutput' when o_custkey % 5 = 0 then 'Unresolved'
   when o_orderkey % 2 = 1 and o_custkey % 3 = 0 then 'MissingEvidence' when o_orderkey % 2 = 1 and o_custkey % 3 = 1 and o_custkey % 5 = 1 then 'EvidenceMismatch' else case when o_custkey % 5 = 1 then 'KnownFailure' else 'Succeeded' end end outcome from orders""")
 def R15_task_outcome(s: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import commits, leases, tasks, timeline
+from ledgerline.operators import commits, folds, leases, logs, tasks, timeline
 from ledgerline.streaming import inbox
 
 KINDS = ["IntentCommitted", "CheckpointMigrated", "Started", "Restarted", "CheckpointCommitted", "FaultObserved", "Completed", "ReconciliationRequired", "Reconciled", "RecoveryPlanned", "RecoveryExhausted"]
@@ -139,3 +139,24 @@ def test_tokens_are_unique_and_rise_in_each_scope(spark):
     for s in range(7):
         mine = [r.token for r in sorted((r for r in got if r.s == s), key=lambda r: r.o)]
         assert mine == sorted(mine)
+
+
+def test_folds_take_streams(spark, tmp_path):
+    rows = [(f"k{i % 3}", i, i * 37 % 90) for i in range(30)]
+    kinds = "scope string, n long, size long"
+    for part in range(3):
+        spark.createDataFrame(rows[part * 10 : part * 10 + 10], kinds).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+    want = sorted(map(tuple, logs.running_quota(spark.createDataFrame(rows, kinds), "scope", ["n"], "size", 200).collect()))
+    got = []
+    for part in range(3):  # a stream that is stopped and started again between the files goes on from its states
+        stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/{{{','.join(map(str, range(part + 1)))}}}")
+        inbox.run_to_end(logs.running_quota(stream, "scope", ["n"], "size", 200), inbox.idempotent_sink(f"{tmp_path}/out"), f"{tmp_path}/checkpoint")
+    got = sorted(tuple(r)[:5] for r in spark.read.parquet(f"{tmp_path}/out").select("scope", "n", "size", "used", "accepted").collect())
+    assert got == want and {r[4] for r in got} == {True, False}
+
+
+def test_computations_of_the_callers_own(spark):
+    x = spark.createDataFrame([("a", 1, 5), ("a", 2, 7), ("b", 1, 100)], "k string, n long, v long")
+    out = folds.replay_states(x, ["k"], ["n"], ["v"], lambda: 0, lambda s, v: s * 2 + v, lambda s: (s,), "total long", lambda s: "TooLarge" if s > 50 else None)
+    assert sorted(map(tuple, out.collect())) == [("a", 17, None), ("b", None, "TooLarge")]
+    assert folds.replay_states(x.limit(0), ["k"], ["n"], ["v"], lambda: 0, lambda s, v: s, lambda s: (s,), "total long").count() == 0
