@@ -190,8 +190,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     rows = private(docs, id=doc_id, text=text).join(F.broadcast(chosen), "id").groupBy("id", "bad", "toxic").agg(F.min("text").alias("text"))
     rows = materialize(rows, "quality-sample")
     flagged = learn_words(rows.where(F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 0))
-    measured = statistics(rows, "text", ("id", "bad"), flagged=flagged).where(~base_failed()).select("id", "bad", *[F.expr(f"double({x})").alias(k) for k, x in FEATURES.items()])
-    return Rules(learn_rules([({k: r[k] for k in FEATURES}, bool(r["bad"]), zlib.crc32(str(r["id"]).encode())) for r in sorted(measured.collect(), key=lambda r: (str(r["id"]), tuple(r)))]), flagged)
+    measured = statistics(rows, "text", ("id", "bad"), flagged=flagged).select("id", "bad", base_failed().alias("failed"), *[F.expr(f"double({x})").alias(k) for k, x in FEATURES.items()])
+    return Rules(learn_rules([({k: r[k] for k in FEATURES}, bool(r["bad"]), zlib.crc32(str(r["id"]).encode())) for r in sorted(measured.collect(), key=lambda r: (str(r["id"]), tuple(r))) if not r["failed"]]), flagged)
 
 
 def rejected(rules: list[Rule]) -> Column:
