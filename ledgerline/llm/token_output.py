@@ -43,14 +43,20 @@ def masked(data: bytes) -> int:
     return (((c >> 15) | (c << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
+_KEPT: dict[str, Encoder] = {}
+
+
 class Encoder:
     """Encodes whole texts to packed ids; words met lately come from a bounded cache of two generations.
 
-    The tokenizer's normalizer and splitter never join what ASCII white space
-    parts, so a text's ids are its words' ids in order. A word of plain letters
-    with closing marks is two pieces, the letters and the marks, for any
-    tokenizer that splits at the end of letters (``_bare`` tries it); its letters then need the model alone. Other words are encoded as they
-    stand, and texts that hold a marker of a special token in one call.
+    Of a tokenizer whose normalizer and splitter never join what ASCII white
+    space parts, a text's ids are its words' ids in order; ``_wordwise`` tries
+    that on a probe, and texts of any other tokenizer are encoded whole. A word
+    of plain letters with closing marks is two pieces, the letters and the
+    marks, for a tokenizer that folds case and splits at the end of letters
+    (``_bare`` tries it); its letters then need the model alone. Other words
+    are encoded as they stand, and texts that hold a marker of a special token
+    in one call.
     """
 
     MARKS = b".,!?;:"
@@ -65,17 +71,26 @@ class Encoder:
         self.special = [x.content for x in self.tok.get_added_tokens_decoder().values()]
         self.seen: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.bare = self._bare()
+        self.folds = all(self._whole(x) == self._whole(x.lower()) for x in ("WORD Étude", "Some Words, MORE"))
+        self.wordwise = self._wordwise()
+        self.bare = self._bare() if self.folds and self.wordwise else None
 
     @classmethod
     def of(cls, path: str) -> Encoder:
         """This process's encoder: a reused worker keeps its cache from task to task."""
-        import tokenizers
+        if path not in _KEPT:
+            _KEPT[path] = cls(path)
+        return _KEPT[path]
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
+
+    def _split(self, text: bytes) -> list[bytes]:
+        return (text.lower() if self.folds else text).split()
 
-        kept = tokenizers.__dict__.setdefault("_ledgerline_encoders", {})
-        if path not in kept:
-            kept[path] = cls(path)
-        return kept[path]
+    def _wordwise(self) -> bool:
+        probe = "Some words,  two spaces\nand a line\t(A tab) it's 12.5 é\u00fc \u4e2d\u6587 end. "
+        return self._whole(probe) == [i for w in self._split(probe.encode()) for i in self._whole(w.decode())]
 
     def _bare(self):
         """The model behind a byte-level step alone, if that gives plain words the same ids; else None."""
@@ -130,8 +145,11 @@ class Encoder:
         if len(self.seen) > CACHE:
             self.older, self.seen = self.seen, {}
         seen = self.seen
-        whole = {i for i, t in enumerate(texts) if b"<|" in t and any(s in t.decode() for s in self.special)}
-        split = [[] if i in whole else t.lower().split() for i, t in enumerate(texts)]
+        if not self.wordwise:
+            return [self.pack(e.ids) for e in self.tok.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        marks = [s.encode() for s in self.special]
+        whole = {i for i, t in enumerate(texts) if any(s in t for s in marks)}
+        split = [[] if i in whole else self._split(t) for i, t in enumerate(texts)]
         new = set().union(*split).difference(seen)
         if new:
             self._learn(new)

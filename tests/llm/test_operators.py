@@ -310,6 +310,25 @@ def test_tokens_round_trip(spark, docs, empty):
     assert token_output.token_output(empty, tokenizer_path())[1].count() == 0
 
 
+def test_encoders_of_other_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["Some Words,  twice\n\nNEW lines\t1.5%", "", "  é Über  \u4e2d\u6587", "it's <|endoftext|> done", "x" * 3000 + " Yes"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = str(public_tokenizers.path(name))
+        tok, enc = Tokenizer.from_file(path), token_output.Encoder(path)
+        assert enc([t.encode() for t in texts]) == [enc.pack(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_tokens_start_where_the_ids_before_end(spark, docs):
+    from ledgerline.llm.queries import tokenizer_path
+
+    rows = sorted(token_output.token_output(docs, tokenizer_path())[1].collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == sorted((r[0] for r in ROWS), key=lambda d: (d is not None, d or 0))
+    assert [r.start for r in rows] == np.cumsum([0, *[r.n_tokens for r in rows[:-1]]]).tolist()
+
+
 def test_language(spark, docs, empty):
     words = {"en": "the cat sat with that thing", "fr": "le été dans une forêt où", "el": "το σπίτι είναι μεγάλο"}
     train = table(spark, [(i, words[la] * 3, la, "s") for i in range(40) for la in words])
