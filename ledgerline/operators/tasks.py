@@ -11,13 +11,6 @@ from pyspark.sql import functions as F
 from ledgerline.operators.folds import fold_log
 
 
-def next_record(projected: DataFrame, attempts: int = 3) -> DataFrame:
-    """The record that a supervisor would write next, or null."""
-    g = F.col("generation")
-    nxt = F.when(F.col("status") == "Empty", "IntentCommitted").when(F.col("status") == "Pending", "Started").when(F.col("status") == "Ready", "Restarted").when((F.col("status") == "Faulted") & (g < attempts), "RecoveryPlanned").when(F.col("status") == "Faulted", "RecoveryExhausted")
-    return projected.withColumn("next_kind", nxt)
-
-
 def may_start(generations: DataFrame, key: str) -> DataFrame:
     """Each generation with whether all earlier ones of its task are stopped (state 2)."""
     earlier = W.partitionBy(key).orderBy("generation").rowsBetween(W.unboundedPreceding, -1)
@@ -216,21 +209,28 @@ def interrupted(projected: DataFrame, key: str, definition: Definition, tick: Co
     return rows.select(key, F.col("next_sequence").alias("sequence"), "generation", tick.alias("tick"), F.lit("FaultObserved").alias("kind"), F.lit("SupervisorInterrupted").alias("detail"), F.col("proposed_code").alias("code"))
 
 
-def control_record(projected: DataFrame, command, late, attempts: int = 3) -> DataFrame:
-    """The record that a control call leads to, or null: submit, advance, poll (``late``: the execution deadline has passed), reconcile, import_checkpoint.
+def control_record(projected: DataFrame, definition: Definition, command: Column, tick: Column) -> DataFrame:
+    """``projected`` (from ``project_records``) with record: what a control call leads to at ``tick``, or null.
 
-    Only the transitions; running a task's code is not this engine's.
+    submit begins an empty task; advance makes the transition that is next;
+    poll finds a running task over its deadline; reconcile asks for evidence of
+    a faulted task whose effects need it; import_checkpoint takes a migrated
+    checkpoint before the start. Only the transitions; running a task's code is
+    not this engine's.
     """
-    s = F.col("status")
-    told = next_record(projected, attempts)
+    s, d = F.col("status"), definition
+    told = next_transition(projected.withColumn("__command", command), d, tick)
     kind = (
-        F.when((command == "submit") & (s == "Empty"), "IntentCommitted").when((command == "poll") & (s == "Running") & late, "FaultObserved")
-        .when((command == "reconcile") & (s == "Faulted"), "ReconciliationRequired").when((command == "import_checkpoint") & (s == "Pending"), "CheckpointMigrated")
-        .when((command == "advance") & (s != "Empty"), F.col("next_kind"))
+        F.when((F.col("__command") == "submit") & (s == "Empty"), "IntentCommitted").when((F.col("__command") == "poll") & (s == "Running") & (tick >= F.col("until")), "FaultObserved")
+        .when((F.col("__command") == "reconcile") & (s == "Faulted") & F.lit(d.reconciles), "ReconciliationRequired").when((F.col("__command") == "import_checkpoint") & (s == "Pending") & F.col("checkpoint").isNull(), "CheckpointMigrated")
+        .when((F.col("__command") == "advance") & (s != "Empty"), F.col("next_kind"))
     )
-    return told.withColumn("record", kind).drop("next_kind")
+    return told.withColumn("record", kind).drop("__command", "next_kind", "next_generation", "next_detail", "next_code")
 
 
-def drive_once(projected: DataFrame, authorizations: DataFrame, key: str, attempts: int = 3) -> DataFrame:
-    """(key, record): one transition of each task that is authorized and has one to make."""
-    return next_record(projected, attempts).where(F.col("next_kind").isNotNull()).join(authorizations.select(key).distinct(), key, "left_semi").select(key, F.col("next_kind").alias("record"))
+def drive_once(projected: DataFrame, definition: Definition, authorizations: DataFrame, key: str, tick: Column) -> DataFrame:
+    """(key, record, generation): one transition of each task that is authorized and has one to make at ``tick``."""
+    told = next_transition(projected, definition, tick).join(authorizations.select(key).distinct(), key, "left_semi")
+    # an expression that isn't deterministic keeps the filter from being copied into the fold below
+    made = told.select(key, F.when(F.monotonically_increasing_id() >= 0, F.struct(F.col("next_kind").alias("record"), F.col("next_generation").alias("generation"))).alias("x"))
+    return made.where("x.record is not null").select(key, "x.record", "x.generation")

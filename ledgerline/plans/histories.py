@@ -264,27 +264,22 @@ def G7_graph_action(s: SparkSession, d: str) -> DataFrame:
     return x.select("user_id", "week", F.col("step").alias("action"), (F.col("visit") - 1).alias("action_attempt"))
 
 
-_DAYS = """f as (select user_id, ts::date as dy, count(*) n, count(*) filter (where event_type = 'error') e from events group by 1, 2), p as (select user_id || '/' || dy task, n, case e when 0 then 'Pending' when 1 then 'Running' when 2 then 'Faulted' else 'Ready' end s, n % 5 g from f)"""
+_NEXT = """, w as (select *, tk + n % 7 * 9 now from fin), v as (select *, case when s = 'Running' and now >= until then 'FaultObserved' when s in ('Pending', 'Ready') and now >= 1000 then 'RecoveryExhausted' when s = 'Pending' then 'Started'
+    when s = 'Ready' and now >= rs then 'Restarted' when s = 'Faulted' then case when g < 3 and now < 1000 and rs < 1000 then 'RecoveryPlanned' else 'RecoveryExhausted' end end nk from w)"""
 
 
-def _day_tasks(s: SparkSession, d: str) -> DataFrame:
-    x = read(s, d, "events").groupBy("user_id", F.col("ts").cast("date").cast("string").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("e"))
-    status = F.when(F.col("e") == 0, "Pending").when(F.col("e") == 1, "Running").when(F.col("e") == 2, "Faulted").otherwise("Ready")
-    return x.select(F.concat_ws("/", "user_id", "day").alias("task"), "n", status.alias("status"), (F.col("n") % 5).alias("generation"))
-
-
-@query(f"""with {_DAYS}, c as (select *, ['advance', 'poll', 'reconcile', 'import_checkpoint'][n % 4 + 1] c from p)
-  select task, case when c = 'poll' and s = 'Running' and n % 8 > 3 then 'FaultObserved' when c = 'reconcile' and s = 'Faulted' then 'ReconciliationRequired' when c = 'import_checkpoint' and s = 'Pending' then 'CheckpointMigrated'
-    when c = 'advance' then case s when 'Pending' then 'Started' when 'Ready' then 'Restarted' when 'Faulted' then case when g < 3 then 'RecoveryPlanned' else 'RecoveryExhausted' end end end record from c""")
+@query(_K2 + _NEXT + """, c as (select *, ['advance', 'poll', 'reconcile', 'import_checkpoint'][(length(task) + n) % 4 + 1] c from v) select task, case when c = 'poll' and s = 'Running' and now >= until then 'FaultObserved' when c = 'import_checkpoint' and s = 'Pending' and cp is null then 'CheckpointMigrated' when c = 'advance' then nk end record from c""")
 def K9_control(s: SparkSession, d: str) -> DataFrame:
-    command = F.element_at(F.array(*map(F.lit, ("advance", "poll", "reconcile", "import_checkpoint"))), (F.col("n") % 4 + 1).cast("int"))
-    return K.control_record(_day_tasks(s, d), command, F.col("n") % 8 > 3).select("task", "record")
+    x = K.project_records(_task_log(s, d), "task", K.Definition())
+    n = F.col("next_sequence")
+    command = F.get(F.array(*map(F.lit, ("advance", "poll", "reconcile", "import_checkpoint"))), ((F.length("task") + n) % 4).cast("int"))
+    return K.control_record(x, K.Definition(), command, F.col("tick") + n % 7 * 9).select("task", "record")
 
 
-@query(f"with {_DAYS} select task, case s when 'Pending' then 'Started' when 'Ready' then 'Restarted' else case when g < 3 then 'RecoveryPlanned' else 'RecoveryExhausted' end end record from p where s <> 'Running' and n % 3 <> 1")
+@query(_K2 + _NEXT + " select task, nk record, (g + (nk in ('Started', 'Restarted'))::int)::bigint generation from v where nk is not null and length(task) % 3 <> 1")
 def K15_drive(s: SparkSession, d: str) -> DataFrame:
-    x = _day_tasks(s, d)
-    return K.drive_once(x, x.where("n % 3 <> 1"), "task")
+    x = K.project_records(_task_log(s, d), "task", K.Definition())
+    return K.drive_once(x, K.Definition(), _task_log(s, d).where(F.length("task") % 3 != 1), "task", F.col("tick") + F.col("next_sequence") % 7 * 9)
 
 
 @query(ORACLES["M8_correction_replay"].replace("payload + (event_type = 'error')::int p from x", "payload + (event_type = 'error' and step > 2)::int p from x"))
