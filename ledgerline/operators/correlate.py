@@ -124,3 +124,8 @@ def check_audits(audits: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
 def relay(identity: Column, status: Column) -> tuple[Column, Column]:
     """(input id, observation) of a finished task's result: Completed succeeded, Exhausted failed for good, anything else is unknown."""
     return identity, F.when(status == "Completed", "succeeded").when(status == "Exhausted", "terminal_failure").otherwise("unknown")
+
+
+def retry_safe(status: Column, now: Column, until: Column) -> Column:
+    """Whether an effect may be tried again: it is known not to have been committed, and the time in which it could be is over."""
+    return (status == "NotCommitted") & (now >= until)

@@ -96,3 +96,8 @@ def observed_kinds(kind: Column, result: Column) -> Column:
 def planned_kinds(status: Column, next_action: Column) -> Column:
     """Outcome kinds that a graph decision adds, in order."""
     return F.when(next_action.isNotNull(), F.array(F.lit("ActionPlanned"))).when(status.isin("Running", "Compensating"), F.array().cast("array<string>")).otherwise(F.array(status))
+
+
+def action_for(step: Column, visit: Column) -> tuple[Column, Column]:
+    """(step, attempt) of the action that a running walk waits for; a visit is an attempt."""
+    return step, visit - 1

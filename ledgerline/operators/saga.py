@@ -83,3 +83,14 @@ def planned_kinds(status: Column, next_action: Column, timer_pending: Column) ->
 def manual_resolution(status: Column, resolution: Column, n_compensable: Column) -> Column:
     """The status after a manual resolution; only escalated processes take one (null otherwise)."""
     return F.when(status == "Escalated", F.when(resolution == "RetryAction", "Running").when((resolution == "Compensate") & (n_compensable > 0), "Compensating").when(resolution.isin("Compensate", "Cancel"), "Cancelled").otherwise("Escalated"))
+
+
+def action_for(status: Column, step: Column, attempt: Column, n_compensable: Column) -> tuple[Column, Column]:
+    """(action, attempt) that a process waits for: its step's, or while compensating the undoing of the last recorded step; null where it has ended."""
+    name = F.when(status == "Running", F.concat(F.lit("step-"), step.cast("string"))).when(status == "Compensating", F.concat(F.lit("undo-"), (n_compensable - 1).cast("string")))
+    return name, F.when(status.isin("Running", "Compensating"), attempt)
+
+
+def repeated_actions(issued: DataFrame, process: str, action: str) -> DataFrame:
+    """(process, action, n, issued_again): action ids that a process issued, each must be fresh."""
+    return issued.groupBy(process, action).agg(F.count("*").alias("n")).withColumn("issued_again", F.col("n") > 1)

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerline.operators import logs
+from ledgerline.operators import correlate as R
+from ledgerline.operators import graph, logs
+from ledgerline.operators import saga as L
 from ledgerline.operators import tasks as K
 from ledgerline.operators import timeline as M
 from ledgerline.plans.lifecycle import query
 from ledgerline.plans.oracles import _IN, _OUT, NOW, ORACLES, _linear
-from ledgerline.plans.queries import _CONTENT, L12_replay_full, M8_correction_replay, _inputs, _lineage, _outcomes, _overrides, lit
+from ledgerline.plans.queries import _CONTENT, G5_graph_replay, L12_replay_full, M8_correction_replay, _inputs, _lineage, _outcomes, _overrides, lit
 from ledgerline.sources.tables import checkpointed, millis, read, scratch
 from ledgerline.streaming import inbox
 
@@ -242,26 +244,26 @@ def K7_restore(s: SparkSession, d: str) -> DataFrame:
 
 @query("select o_orderkey, o_orderstatus = 'O' and 820454400000 >= epoch_ms(o_orderdate) safe from orders")
 def R5_retry_safe(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "orders").select("o_orderkey", ((F.col("o_orderstatus") == "O") & (lit(NOW) >= millis("o_orderdate"))).alias("safe"))
+    status = F.when(F.col("o_orderstatus") == "O", "NotCommitted").otherwise("Unknown")
+    return read(s, d, "orders").select("o_orderkey", R.retry_safe(status, lit(NOW), millis("o_orderdate")).alias("safe"))
 
 
 @query(_linear(True, True) + """ select user_id, week, case when status = 'Running' then 'step-' || step when status = 'Compensating' then 'undo-0' end as action, case when status in ('Running', 'Compensating') then attempt end action_attempt from fin""")
 def L14_action(s: SparkSession, d: str) -> DataFrame:
-    live = F.col("status").isin("Running", "Compensating")
-    name = F.when(F.col("status") == "Running", F.concat(F.lit("step-"), F.col("step").cast("string"))).when(F.col("status") == "Compensating", F.concat(F.lit("undo-"), (F.col("n_compensable") - 1).cast("string")))
-    return L12_replay_full(s, d).select("user_id", "week", name.alias("action"), F.when(live, F.col("attempt")).alias("action_attempt"))
+    name, attempt = L.action_for(F.col("status"), F.col("step"), F.col("attempt"), F.col("n_compensable"))
+    return L12_replay_full(s, d).select("user_id", "week", name.alias("action"), attempt.alias("action_attempt"))
 
 
 @query("select l_orderkey, l_partkey % 60 action_id, count(*) n, count(*) > 1 issued_again from lineitem group by 1, 2")
 def L15_fresh_actions(s: SparkSession, d: str) -> DataFrame:
-    x = read(s, d, "lineitem").groupBy("l_orderkey", (F.col("l_partkey") % 60).alias("action_id")).agg(F.count("*").alias("n"))
-    return x.withColumn("issued_again", F.col("n") > 1)
+    return L.repeated_actions(read(s, d, "lineitem").withColumn("action_id", F.col("l_partkey") % 60), "l_orderkey", "action_id")
 
 
 @query(ORACLES["G5_graph_replay"].replace("select user_id, week, status, step, visit, err error_code from st", "select user_id, week, step as action, visit - 1 action_attempt from st").replace("order by rn desc) = 1", "order by rn desc) = 1 and status = 'Running' and err is null"))
 def G7_graph_action(s: SparkSession, d: str) -> DataFrame:
-    x = QUERIES["G5_graph_replay"](s, d).where("status = 'Running' and error_code is null")
-    return x.select("user_id", "week", F.col("step").alias("action"), (F.col("visit") - 1).alias("action_attempt"))
+    x = G5_graph_replay(s, d).where("status = 'Running' and error_code is null")
+    step, attempt = graph.action_for(F.col("step"), F.col("visit"))
+    return x.select("user_id", "week", step.alias("action"), attempt.alias("action_attempt"))
 
 
 _NEXT = """, w as (select *, tk + n % 7 * 9 now from fin), v as (select *, case when s = 'Running' and now >= until then 'FaultObserved' when s in ('Pending', 'Ready') and now >= 1000 then 'RecoveryExhausted' when s = 'Pending' then 'Started'
