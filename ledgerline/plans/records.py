@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as S
+from ledgerline.functions import wire
 from ledgerline.operators import commits, definitions, folds, leases, logs
 from ledgerline.operators import correlate as R
 from ledgerline.plans.lifecycle import _PRINT, _fingerprint, query
@@ -147,3 +148,43 @@ def C11_quota_stream(s: SparkSession, d: str) -> DataFrame:
     out = scratch(s, "quota")
     inbox.run_to_end(logs.running_quota(stream, "conv_id", ["turn"], "n_bytes", 400), inbox.idempotent_sink(f"{out}/rows"), f"{out}/checkpoint")
     return s.read.parquet(f"{out}/rows").select("conv_id", "turn", "used", "accepted")
+
+
+_TAG = b"timeline-records-v-1"
+_LE = "lpad(to_hex(({0}) % 200), 2, '0') || '00000000000000'"
+_ID = "sha256({0})"
+
+
+def _le(*names: str) -> str:
+    return " || ".join(_LE.format(x) for x in names)
+
+
+_SC = "repeat(sha256(o_orderstatus), 4)"
+_HD = f"{_SC} || {_le('o_orderkey', 'o_custkey', 'o_orderkey + 1')} || case when o_orderkey % 2 = 0 then '01' || {_le('o_custkey')} else '00' end || case when o_custkey % 3 = 0 then '01' || {_SC} || sha256('a') || {_le('3', '4', 'o_custkey')} || sha256('b') else '00' end"
+_IN_P = f"{_SC} || {_le('o_orderkey', 'o_custkey')} || sha256('i') || {_le('7')} || sha256('d')"
+_AN_P = f"{_SC} || {_le('o_orderkey', 'o_custkey')} || sha256('s') || sha256('d')"
+
+
+@query(f"""with x as (select o_orderkey, hex('{_TAG.decode()}') || case o_orderkey % 5 when 0 then '01' || {_HD} || {_le('o_orderkey + 2')} when 1 then '02' || {_IN_P} when 2 then '03' || {_AN_P} when 3 then '04' || {_HD} || {_le('o_orderkey + 2')} || {_AN_P} || case when o_custkey % 2 = 0 then '01' || {_IN_P} else '00' end
+  else '05' || {_SC} || {_le('o_orderkey', 'o_custkey', '9')} || sha256('e') || sha256('d') || {_le('11')} end || case when o_custkey % 13 = 0 then '00' else '' end h from orders)
+  select o_orderkey, length(h) // 2 n_bytes, sha256(unhex(h)) digest, case when (select o_custkey from orders q where q.o_orderkey = x.o_orderkey) % 13 = 0 then 'InvalidLength' end code, case when (select o_custkey from orders q where q.o_orderkey = x.o_orderkey) % 13 <> 0 then o_orderkey % 200 end branch from x""")
+def S21_layouts(s: SparkSession, d: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    sha = lambda x: F.unhex(F.sha2(F.lit(x), 256))
+    scope = F.unhex(F.repeat(F.sha2("o_orderstatus", 256), 4))
+    small = lambda x: x % 200
+    head = {"scope": scope, "branch": small(k), "step": small(c), "revision": small(k + 1), "finalized": k % 2 == 0, "finalized_step": small(c), "observed": c % 3 == 0, "observation_scope": scope, "authority": sha("a"), "epoch": lit(3), "sequence": lit(4), "observed_step": small(c), "observation_digest": sha("b")}
+    values = {
+        "checkpoint": head | {"last_branch": small(k + 2)},
+        "input": {"scope": scope, "branch": small(k), "step": small(c), "input_id": sha("i"), "revision": lit(7), "digest": sha("d")},
+        "anchor": {"scope": scope, "branch": small(k), "step": small(c), "snapshot_id": sha("s"), "digest": sha("d")},
+        "fork": head | {"new_branch": small(k + 2), "anchor_scope": scope, "anchor_branch": small(k), "anchor_step": small(c), "snapshot_id": sha("s"), "state_digest": sha("d"), "replaced": c % 2 == 0, "input_scope": scope, "input_branch": small(k), "input_step": small(c), "input_id": sha("i"), "input_revision": lit(7), "input_digest": sha("d")},
+        "intent": {"scope": scope, "branch": small(k), "step": small(c), "revision": lit(9), "effect_id": sha("e"), "digest": sha("d"), "charge": lit(11)},
+    }
+    out = None
+    for i, (name, own) in enumerate(values.items()):
+        made = read(s, d, "orders").where(k % 5 == i).select("o_orderkey", F.concat(wire.encode(_TAG, name, own), F.when(c % 13 == 0, F.lit(b"\x00")).otherwise(F.lit(b""))).alias("x"))
+        code, fields = wire.decode(F.col("x"), _TAG, name)
+        part = made.select("o_orderkey", F.octet_length("x").cast("long").alias("n_bytes"), F.sha2("x", 256).alias("digest"), code.alias("code"), fields["branch"].cast("long").alias("branch"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as S
+from ledgerline.functions import wire
 from ledgerline.operators import decide, graph, logs, saga, timeline
 from ledgerline.plans.oracles import ORACLES
 from ledgerline.plans.queries import QUERIES
@@ -146,3 +147,21 @@ def test_graph_replay_is_bounded_and_refuses_repeats(spark):
     assert (last(again).code, last(again).n_applied) == ("DuplicateInput", 5)
     reused = [*rows[:5], (*rows[5][:4], "a1", *rows[5][5:])]
     assert last(reused).code == "DuplicateActionId"
+
+
+def test_timeline_records_are_strict(spark):
+    tag = b"t" * wire.TAG_BYTES
+    sizes = {name: [wire.TAG_BYTES + 1 + sum(1 + full * wire._size(k) if isinstance(k, tuple) else k for _, k in fields) for full in (0, 1)] for name, (_, fields) in wire.LAYOUTS.items()}
+    assert sizes == {"checkpoint": [183, 407], "input": [237, 237], "anchor": [229, 229], "fork": [392, 832], "intent": [245, 245]}
+    plain = tag + b"\2" + bytes(128) + (7).to_bytes(8, "little") + (1 << 40).to_bytes(8, "little") + b"i" * 32 + (9).to_bytes(8, "little") + b"d" * 32
+    values = {"scope": F.lit(bytes(128)), "branch": F.lit(7), "step": F.lit(1 << 40), "input_id": F.lit(b"i" * 32), "revision": F.lit(9), "digest": F.lit(b"d" * 32)}
+    assert bytes(spark.range(1).select(wire.encode(tag, "input", values).alias("x")).first().x) == plain
+    head = tag + b"\1" + bytes(128 + 24)
+    rows = [("input", plain, None), ("input", plain + b"\0", "InvalidLength"), ("input", plain[:-1], "InvalidLength"), ("input", b"u" + plain[1:], "UnknownTag"), ("input", tag + b"\3" + plain[21:], "UnknownVariant"), ("input", b"", "UnknownTag"),
+            ("checkpoint", head + b"\0\0" + bytes(8), None), ("checkpoint", head + b"\1" + bytes(8) + b"\0" + bytes(8), None), ("checkpoint", head + b"\2\0" + bytes(8), "InvalidFlag"), ("checkpoint", head + b"\1\0" + bytes(8), "InvalidLength")]
+    for layout in ("input", "checkpoint"):
+        code, fields = wire.decode(F.col("x"), tag, layout)
+        mine = [(i, bytearray(x)) for i, (name, x, _) in enumerate(rows) if name == layout]
+        got = spark.createDataFrame(mine, "i long, x binary").select("i", code.alias("code"), fields["step"].alias("step")).collect()
+        assert {r.i: r.code for r in got} == {i: rows[i][2] for i, _ in mine}
+        assert all(r.code is None or r.step is None for r in got) and (layout != "input" or got[0].step == 1 << 40)
