@@ -244,11 +244,23 @@ def anchor_codes(anchors: DataFrame, key: list[str], intact: Column) -> DataFram
 
 
 def fork(lineage: DataFrame, requests: DataFrame) -> DataFrame:
-    """Requests (branch, parent, step) with their code: a branch id already used, an unknown parent or a step beyond what the parent admits; null makes a lineage row."""
+    """Requests (branch, parent, step, replaces) with their code and the lineage row that a null code makes.
+
+    A branch id already used is a Conflict, an unknown parent
+    HistoryUnavailable, a corrected step beyond what the parent admits a
+    FutureCorrection. The new branch inherits and admits all that its parent
+    admits, its states differ from the corrected step on, and it has one
+    override there: of the input where the request ``replaces`` one, else of
+    the state.
+    """
     used = lineage.select("branch", F.lit(True).alias("__used"))
     parents = lineage.select(F.col("branch").alias("parent"), F.col("admitted_through").alias("__to"))
     code = F.when(F.col("__used"), "Conflict").when(F.col("__to").isNull(), "HistoryUnavailable").when(F.col("step") > F.col("__to"), "FutureCorrection")
-    return requests.join(used, "branch", "left").join(parents, "parent", "left").select("branch", "parent", "step", code.alias("code"))
+    made = lambda c: F.when(F.col("code").isNull(), c)
+    told = requests.join(used, "branch", "left").join(parents, "parent", "left").withColumn("code", code)
+    return told.select(
+        "branch", "parent", "step", "code", made(F.col("__to")).alias("inherited_through"), made(F.col("__to")).alias("admitted_through"), made(F.col("step")).alias("state_changed_from"),
+        made(F.when(F.col("replaces"), F.col("step"))).alias("input_override"), made(F.when(~F.col("replaces"), F.col("step"))).alias("state_override"))
 
 
 def materialize_branch(lineage: DataFrame, entries: DataFrame, heads: DataFrame, floor: int) -> DataFrame:

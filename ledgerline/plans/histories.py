@@ -114,12 +114,13 @@ def M12_anchor_check(s: SparkSession, d: str) -> DataFrame:
     return M.anchor_codes(read(s, d, "lineitem"), ["l_orderkey", "l_linenumber"], F.col("l_partkey") % 10 != 0)
 
 
-@query("""select case when o_orderkey % 4 = 0 then 'r1' else 'f' || o_orderkey end branch, case when o_orderkey % 5 = 0 then 'zz' else 'n' || (o_custkey % 25) end parent, o_orderkey % 20 step,
-  case when o_orderkey % 4 = 0 then 'Conflict' when o_orderkey % 5 = 0 then 'HistoryUnavailable' when o_orderkey % 20 > 15 then 'FutureCorrection' end code from orders""")
+@query("""with r as (select case when o_orderkey % 4 = 0 then 'r1' else 'f' || o_orderkey end branch, case when o_orderkey % 5 = 0 then 'zz' else 'n' || (o_custkey % 25) end parent, o_orderkey % 20 step, o_custkey % 2 = 0 replaces,
+  case when o_orderkey % 4 = 0 then 'Conflict' when o_orderkey % 5 = 0 then 'HistoryUnavailable' when o_orderkey % 20 > 15 then 'FutureCorrection' end code from orders)
+  select branch, parent, step, code, case when code is null then 15 end inherited_through, case when code is null then 15 end admitted_through, case when code is null then step end state_changed_from, case when code is null and replaces then step end input_override, case when code is null and not replaces then step end state_override from r""")
 def M13_fork(s: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     tree, _, _ = _anchors(s, d)
-    ask = read(s, d, "orders").select(F.when(k % 4 == 0, "r1").otherwise(F.concat(F.lit("f"), k.cast("string"))).alias("branch"), F.when(k % 5 == 0, "zz").otherwise(F.concat(F.lit("n"), (F.col("o_custkey") % 25).cast("string"))).alias("parent"), (k % 20).alias("step"))
+    ask = read(s, d, "orders").select(F.when(k % 4 == 0, "r1").otherwise(F.concat(F.lit("f"), k.cast("string"))).alias("branch"), F.when(k % 5 == 0, "zz").otherwise(F.concat(F.lit("n"), (F.col("o_custkey") % 25).cast("string"))).alias("parent"), (k % 20).alias("step"), (F.col("o_custkey") % 2 == 0).alias("replaces"))
     return M.fork(tree, ask)
 
 
