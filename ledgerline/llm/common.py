@@ -63,8 +63,12 @@ def private(docs: DataFrame, **columns: str) -> DataFrame:
 def spread(table: DataFrame) -> DataFrame:
     """``table``, dealt out to all cores where its scan has fewer partitions than there are cores.
 
-    Meant for scans before a map that takes far longer than moving the rows.
+    Meant for scans before a map that takes far longer than moving the rows; a
+    table that is made by shuffles is as it is, as counting its partitions
+    would run them.
     """
+    if "AdaptiveSparkPlan" in table._jdf.queryExecution().executedPlan().toString():
+        return table
     cores = table.sparkSession.sparkContext.defaultParallelism
     return table if table.rdd.getNumPartitions() >= cores else table.repartition(2 * cores)
 
