@@ -34,10 +34,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies (five-word shingles, similarity 0.8 or more).
+    """Keep one document of each group of near copies by SimHash (two-word shingles; 3 bits or fewer apart in one of 16 fingerprints).
 
     That is the one with the smallest id (rows without id last; of several with
-    it, one); equal rows are copies. Null and empty texts are one group.
+    it, one); equal rows are copies. Null, empty and blank texts are one group.
     """
     return simhash.one_of_each(docs)
 

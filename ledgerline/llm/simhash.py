@@ -1,4 +1,4 @@
-"""SimHash near-dedup by a self-join of binary tries, and near-dedup by exact similarity of shingle sets."""
+"""SimHash near-dedup by a self-join of binary tries, and groups by exact similarity of shingle sets."""
 
 from __future__ import annotations
 
@@ -16,13 +16,14 @@ from ledgerline.llm.common import connected_components, materialize, private, sp
 FRONTIER = 1 << 20
 #: A block's group above this many fingerprints is dealt out anew by a second block.
 GROUP = 50_000
+_MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
 
-def fingerprint_of(text: bytes, shingle: int) -> int:
-    """The SimHash of one UTF-8 text."""
+def fingerprints_of(text: bytes, shingle: int, tables: int = 1) -> np.ndarray:
+    """The SimHashes of one UTF-8 text under ``tables`` hash functions, the first of them XXH64; without words all are 0."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(tables, "<u8")
     if len(words) <= shingle:
         parts: Iterator[bytes] = iter([b" ".join(words)])
         n = 1
@@ -31,11 +32,23 @@ def fingerprint_of(text: bytes, shingle: int) -> int:
         n = len(words) - shingle + 1
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(p, 42) for p in parts), dtype="<u8", count=n)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 65_536):
-        part = h[at : at + 65_536]
-        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    ones = np.zeros(64 * tables, np.int64)
+    step = 65_536 // tables
+    for at in range(0, n, step):
+        part = h[at : at + step]
+        each = np.empty((len(part), tables), "<u8")
+        each[:, 0] = part
+        with np.errstate(over="ignore"):
+            for j in range(1, tables):
+                x = (each[:, j - 1] ^ (each[:, j - 1] >> np.uint64(29))) * _MIX[0]
+                each[:, j] = x ^ (x >> np.uint64(32))
+        ones += np.unpackbits(each.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8")
+
+
+def fingerprint_of(text: bytes, shingle: int) -> int:
+    """The SimHash of one UTF-8 text."""
+    return int(fingerprints_of(text, shingle)[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -228,7 +241,6 @@ def fp_hex(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-_MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 #: One text in SPARSE is looked at for common shingles: those that SEEN of them hold, the COMMON most frequent at most.
 SPARSE, SEEN, COMMON = 16, 8, 1_000_000
 #: Shared shingles, and the nodes whose sets are compared, are broadcast up to this many, beyond it the other side is shuffled.
@@ -340,13 +352,30 @@ def text_node(text):
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` that stay when each group of ``similar_groups`` keeps one: its smallest id (a null id last).
+def one_of_each(docs: DataFrame, shingle: int = 2, budget: int = 3, tables: int = 16, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that stay when each group of near copies by SimHash keeps one: its smallest id (a null id last).
 
-    All columns stay. Equal rows are copies, so one of them stays; of rows with
-    the smallest id and different texts, one stays. An empty table gives no rows.
+    Documents link where their fingerprints under one of ``tables`` hash
+    functions differ in at most ``budget`` bits; groups are the components of
+    all such links. Null, empty and blank texts have fingerprint 0, which links
+    like any other. All columns stay. Equal rows are copies, so one of them
+    stays; of rows with the smallest id and different texts, one stays. Whole
+    texts count, however long; an empty table gives no rows. A document's
+    fingerprints together go by a 64-bit hash: of two that share it, the
+    documents are one group.
     """
-    groups = similar_groups(docs, text=text, doc_id=doc_id, **how)
-    best = groups.groupBy("root").agg(F.min(F.struct("d", "node")).alias("w")).select(F.col("w.d").alias("__d"), F.col("w.node").alias("__node"))
-    rows = docs.withColumns({"__node": text_node(F.col(f"`{text}`")), "__d": F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit((1 << 63) - 1))})
-    return rows.join(best, ["__d", "__node"]).dropDuplicates(["__d", "__node"]).drop("__d", "__node").select(*[f"`{c}`" for c in docs.columns])
+    own = {"__none": F.col(f"`{doc_id}`").isNull(), "__d": F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(0)), "__key": F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")))}
+    kinds = pa.list_(pa.int64())
+
+    def run(batches):
+        for batch in batches:
+            got = [fingerprints_of(t.as_py() or b"", shingle, tables).view("<i8") for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(got, kinds)], names=["none", "d", "key", "fps"])
+
+    rows = spread(docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))).select(*own.values(), F.col(f"`{text}`").cast("binary").alias("t"))
+    made = rows.mapInArrow(run, "none boolean, d long, key binary, fps array<long>")
+    nodes = materialize(made.groupBy(F.xxhash64("fps").alias("node")).agg(F.min(F.struct("none", "d", "key")).alias("w"), F.first("fps").alias("fps")), "simhash-nodes")
+    roots = connected_components(links(nodes.select(F.posexplode("fps").alias("t", "fp"), "node"), budget))
+    best = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("w").alias("w"))
+    best = best.select(F.col("w.none").alias("__none"), F.col("w.d").alias("__d"), F.col("w.key").alias("__key"))
+    return docs.withColumns(own).join(best, [*own]).dropDuplicates([*own]).select(*[f"`{c}`" for c in docs.columns])

@@ -1,6 +1,7 @@
 """The pipeline over a small corpus whose kept documents are known."""
 
 import numpy as np
+import xxhash
 
 import corpus_pipeline
 from ledgerline.llm import simhash
@@ -92,3 +93,43 @@ def test_near_dedup_counts_the_similarity(spark):
         x, y = sets[k], sets[k + 1]
         want |= {frozenset((k, k + 1))} if len(x & y) >= 0.8 * len(x | y) else {frozenset((k,)), frozenset((k + 1,))}
     assert any(len(x) == 1 for x in want) and groups_of(spark, texts) == want
+
+
+def simhashes(text, tables=16):
+    """The plain form: per table, the majority of the bits of all two-word shingles' hashes."""
+    w = text.encode().lower().split()
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 2]), 42) for i in range(max(1, len(w) - 1))] if w else []
+    out = []
+    for _ in range(tables):
+        out.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+        h = [(x ^ x >> 29) * 0x9E3779B97F4A7C15 % (1 << 64) for x in h]
+        h = [x ^ x >> 32 for x in h]
+    return out
+
+
+def test_near_dedup_stage_goes_by_simhash(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    texts = []
+    for i in range(40):
+        words = [f"a{i}x{j}" for j in range(150)]
+        other = list(words)
+        for at in rng.choice(150, 2 + i % 8, replace=False):
+            other[at] = "changed"
+        texts += [" ".join(words), " ".join(other)]
+    prints = [simhashes(t) for t in texts]
+    root = list(range(len(texts)))
+    linked = set()
+    for i in range(len(texts)):
+        for j in range(i):
+            if any((a ^ b).bit_count() <= 3 for a, b in zip(prints[i], prints[j], strict=True)):
+                linked.add((j, i))
+                root = [root[j] if r == root[i] else r for r in root]
+    alike = {(i, j): len(grams(texts[i]) & grams(texts[j])) / len(grams(texts[i]) | grams(texts[j])) for i, j in [(k, k + 1) for k in range(0, len(texts), 2)]}
+    assert linked <= set(alike) and any(alike[p] < 0.8 for p in linked)
+    near = {p for p in alike if alike[p] >= 0.8}
+    assert len(near & linked) >= 0.9 * len(near)
+    want = {root.index(r) for r in root}
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (None, texts[0] + " twice"), (90, None), (91, " "), (92, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in got.collect()) == sorted([*want, 90])
