@@ -11,26 +11,30 @@ record, then their masked checksum, so a reader can fetch records in any order.
 
 from __future__ import annotations
 
-import array
 import json
 import os
 import re
 import struct
-import sys
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import materialize, scratch_path
+from ledgerline.llm.common import materialize, scratch_path, slices
 
-#: Encoded words in each of the two generations of a process's cache; words not met again drop out.
+#: Encoded words that stay of a process's table when it has twice as many; those not met lately drop out.
 CACHE = 400_000
+#: Plain words that are encoded as one string.
+JOINT = 512
+#: Bytes of text that are split at once, about.
+SLICE = 8 << 20
 HEAD, FOOT, PAYLOAD = "<QI", "<I", "<Bq"
 HEAD_SIZE, FOOT_SIZE, PAYLOAD_SIZE = map(struct.calcsize, (HEAD, FOOT, PAYLOAD))
 INDEX = np.dtype([("offset", "<u8"), ("n_tokens", "<u8")])
@@ -46,21 +50,27 @@ def masked(data: bytes) -> int:
 _KEPT: dict[str, Encoder] = {}
 
 
+def _strings(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
-    """Encodes whole texts to packed ids; words met lately come from a bounded cache of two generations.
+    """Encodes whole texts to ids; words met lately come from a bounded table.
 
     Of a tokenizer whose normalizer and splitter never join what ASCII white
     space parts, a text's ids are its words' ids in order; ``_wordwise`` tries
-    that on a probe, and texts of any other tokenizer are encoded whole. A word
-    of plain letters with closing marks is two pieces, the letters and the
-    marks, for a tokenizer that folds case and splits at the end of letters
-    (``_bare`` tries it); its letters then need the model alone. Other words
-    are encoded as they stand, and texts that hold a marker of a special token
-    in one call.
+    that on a probe, and texts of any other tokenizer are encoded whole. Arrow
+    splits the texts and finds the distinct words; those not in the table are
+    encoded. A word of Latin-1 letters with closing marks is two pieces, the
+    letters and the marks, for a tokenizer that folds case and splits at the
+    end of letters. If its pieces end in ids that end nothing else (``_joint``
+    tries it), many such words are encoded as one string, by the model alone,
+    and parted at these ids. Other words are encoded one by one as they stand,
+    and texts that hold a marker of a special token in one call.
     """
 
-    MARKS = b".,!?;:"
-    PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    LETTERS, CLOSING = "[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+", f"[{re.escape(MARKS)}]"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -69,15 +79,17 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tok.get_vocab_size() <= 65_536 else "<u4"
         self.special = [x.content for x in self.tok.get_added_tokens_decoder().values()]
-        self.seen: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        #: Word to row; row i has the ids ``ids[ends[i]:ends[i + 1]]`` and was last met in call ``met[i]``.
+        self.rows: dict[str, int] = {}
+        self.ids, self.ends, self.met, self.calls = np.zeros(0, self.kind), np.zeros(1, np.int64), np.zeros(0, np.int64), 0
         self.folds = all(self._whole(x) == self._whole(x.lower()) for x in ("WORD Étude", "Some Words, MORE"))
         self.wordwise = self._wordwise()
-        self.bare = self._bare() if self.folds and self.wordwise else None
+        self.last = np.zeros(0, bool)
+        self.joint = self._joint() if self.folds and self.wordwise else None
 
     @classmethod
     def of(cls, path: str) -> Encoder:
-        """This process's encoder: a reused worker keeps its cache from task to task."""
+        """This process's encoder: a reused worker keeps its table from task to task."""
         if path not in _KEPT:
             _KEPT[path] = cls(path)
         return _KEPT[path]
@@ -85,78 +97,116 @@ class Encoder:
     def _whole(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def _split(self, text: bytes) -> list[bytes]:
-        return (text.lower() if self.folds else text).split()
-
     def _wordwise(self) -> bool:
         probe = "Some words,  two spaces\nand a line\t(A tab) it's 12.5 é\u00fc \u4e2d\u6587 end. "
-        return self._whole(probe) == [i for w in self._split(probe.encode()) for i in self._whole(w.decode())]
+        words = (probe.encode().lower() if self.folds else probe.encode()).split()
+        return self._whole(probe) == [i for w in words for i in self._whole(w.decode())]
 
-    def _bare(self):
-        """The model behind a byte-level step alone, if that gives plain words the same ids; else None."""
+    def _joint(self):
+        """The model behind a split at spaces and a byte-level step alone, if that gives plain words the same ids, the last of each marked as such; else None."""
         from tokenizers import Tokenizer
 
         form = json.loads(self.tok.to_str())
-        if "ByteLevel" not in json.dumps(form.get("pre_tokenizer")):
+        suffix = form["model"].get("end_of_word_suffix")
+        if not suffix or "ByteLevel" not in json.dumps(form.get("pre_tokenizer")):
             return None
-        form |= {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}, "post_processor": None, "added_tokens": []}
-        bare = Tokenizer.from_str(json.dumps(form))
+        bytewise = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        form |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytewise]}, "post_processor": None, "added_tokens": []}
+        joint = Tokenizer.from_str(json.dumps(form))
+        vocab = self.tok.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for x, i in vocab.items() if x.endswith(suffix)]] = True
         tries = ("word", "étude", "straße", "zx" * 20)
-        whole = lambda x: self.tok.encode(x, add_special_tokens=False).ids
-        same = all(bare.encode(x).ids == whole(x) and whole(f"{x}., A{x.upper().replace('SS', 'ß')}!") == whole(x) + whole(".,") + whole(f"a{x}") + whole("!") for x in tries)
-        return bare if same else None
+        marks = [*self.MARKS, *(x * 3 for x in self.MARKS), *(f"{x}{y}" for x in self.MARKS for y in self.MARKS)]
+        both = [(f"{x}., A{x.upper().replace('SS', 'ß')}!", f"{x} ., a{x} !") for x in tries] + [(f"{x}{m} {x}", f"{x} {m} {x}") for x in tries[:2] for m in marks]
+        same = all((ids := joint.encode(b).ids) == self._whole(a) and self.last[ids].sum() == len(b.split()) for a, b in both)
+        return joint if same else None
 
     def pack(self, ids: list[int]) -> bytes:
         """Little-endian ids in the width of the vocabulary."""
-        out = array.array("H" if self.kind == "<u2" else "I", ids)
-        if sys.byteorder == "big":
-            out.byteswap()
-        return out.tobytes()
-
-    def _learn(self, words: set[bytes]) -> None:
-        seen, older, plain, rest, both = self.seen, self.older, {}, set(), []
-        for w in words:
-            if w in older:
-                seen[w] = older[w]
+        return np.array(ids, self.kind).tobytes()
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of texts encoded one by one."""
+        got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for ids in got for i in ids], self.kind), np.array([len(ids) for ids in got], np.int64)
+
+    def _together(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of plain words, encoded many in a string."""
+        parted = pc.replace_substring_regex(words, f"({self.CLOSING}+)$", " \\1")
+        pieces = 1 + pc.subtract(pc.binary_length(parted), pc.binary_length(words)).to_numpy(zero_copy_only=False)
+        runs = pa.ListArray.from_arrays(pa.array([*range(0, len(words), JOINT), len(words)], pa.int32()), pc.utf8_lower(parted))
+        got = self.joint.encode_batch_fast(pc.binary_join(runs, " ").to_pylist(), add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, self.kind) for e in got])
+        cuts = np.flatnonzero(self.last[ids]) + 1
+        if len(cuts) != pieces.sum():  # an id is missing or not marked
+            return self._each(_strings(words))
+        return ids, np.diff(cuts[np.cumsum(pieces) - 1], prepend=0)
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Adds words to the table; returns their rows."""
+        plain = np.zeros(len(words), bool)
+        if self.joint:
+            plain = pc.match_substring_regex(words, f"^{self.LETTERS}{self.CLOSING}*$").to_numpy(zero_copy_only=False)
+        rows = np.zeros(len(words), np.int64)
+        for chosen, encode in ((plain, self._together), (~plain, lambda x: self._each(_strings(x)))):
+            at = np.flatnonzero(chosen)
+            if not len(at):
                 continue
-            core = w.rstrip(self.MARKS) if self.bare else b""
-            low = core.decode().lower() if core else ""
-            if core and self.PLAIN.fullmatch(low):
-                tail = w[len(core) :]
-                if core not in seen:
-                    if core in older:
-                        seen[core] = older[core]
-                    else:
-                        plain[core] = low
-                if tail:
-                    both.append((w, core, tail))
-                    if tail not in seen:
-                        rest.add(tail)
-            else:
-                rest.add(w)
-        for tok, part in ((self.bare, plain), (self.tok, {w: w.decode() for w in rest})):
-            if part:
-                for w, e in zip(part, tok.encode_batch_fast(list(part.values()), add_special_tokens=False), strict=True):
-                    seen[w] = self.pack(e.ids)
-        for w, core, tail in both:
-            seen[w] = seen[core] + seen[tail]
+            part = words.take(pa.array(at))
+            ids, n = encode(part)
+            rows[at] = np.arange(len(self.rows), len(self.rows) + len(at))
+            self.rows.update(zip(_strings(part), rows[at].tolist(), strict=True))
+            self.ids = np.concatenate([self.ids, ids])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
+        return rows
+
+    def _fetch(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of rows one after the other, where each row's begin and the last's end)."""
+        first = self.ends[rows]
+        at = np.concatenate([[0], np.cumsum(self.ends[rows + 1] - first)])
+        return self.ids[np.repeat(first - at[:-1], np.diff(at)) + np.arange(at[-1])], at
+
+    def _forget(self) -> None:
+        """Leaves the CACHE words met last."""
+        words = list(self.rows)
+        keep = np.sort(np.argsort(-self.met, kind="stable")[:CACHE])
+        self.rows = {words[i]: k for k, i in enumerate(keep.tolist())}
+        self.ids, self.ends = self._fetch(keep)
+        self.met = self.met[keep]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of texts one after the other, where each text's begin and the last's end); texts are strings or UTF-8 bytes without nulls."""
+        texts = texts.cast(pa.string())
+        if not self.wordwise:
+            ids, n = self._each(texts.to_pylist())
+            return ids, np.concatenate([[0], np.cumsum(n)])
+        if len(self.rows) > 2 * CACHE:
+            self._forget()
+        self.calls += 1
+        marked = np.zeros(len(texts), bool)
+        for x in self.special:  # in any case, as folding may make a marker of what is none
+            marked |= pc.match_substring(texts, x, ignore_case=self.folds).to_numpy(zero_copy_only=False)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.folds else texts)
+        found = split.flatten().dictionary_encode()
+        rows = np.array([self.rows.get(w, -1) for w in _strings(found.dictionary)], np.int64)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            rows[new] = self._learn(found.dictionary.take(pa.array(new)))
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        self.met[rows] = self.calls
+        ids, at = self._fetch(rows[found.indices.to_numpy()])
+        at = at[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])]
+        if marked.any():
+            parts = [self._whole(texts[i].as_py()) if m else ids[at[i] : at[i + 1]] for i, m in enumerate(marked.tolist())]
+            ids = np.concatenate([np.array(x, self.kind) for x in parts])
+            at = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return ids, at
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.seen) > CACHE:
-            self.older, self.seen = self.seen, {}
-        seen = self.seen
-        if not self.wordwise:
-            return [self.pack(e.ids) for e in self.tok.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-        marks = [s.encode() for s in self.special]
-        whole = {i for i, t in enumerate(texts) if any(s in t for s in marks)}
-        split = [[] if i in whole else self._split(t) for i, t in enumerate(texts)]
-        new = set().union(*split).difference(seen)
-        if new:
-            self._learn(new)
-        out = [b"".join(map(seen.__getitem__, words)) for words in split]
-        for i in whole:
-            out[i] = self.pack(self.tok.encode(texts[i].decode(), add_special_tokens=False).ids)
-        return out
+        """The packed ids of each text."""
+        ids, at = self.encode(pa.array(texts, pa.binary()))
+        return [ids[a:b].tobytes() for a, b in pairwise(at.tolist())]
 
 
 def write_records(docs: DataFrame, tokenizer: str, end_id: int, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -185,20 +235,19 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, path: str, text:
         with fs.open_output_stream(f"{tmp}.rec") as data, fs.open_output_stream(f"{tmp}.idx") as idx:
             crc = 0
             for batch in batches:
-                for lo in range(0, len(batch), 256):
-                    part = batch.slice(lo, 256)
-                    ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                    frames = []
-                    for d, tokens in zip(ids, enc(texts), strict=True):
-                        body = struct.pack(PAYLOAD, d is None, d or 0) + tokens + end
+                for part in slices(batch, "t", SLICE):
+                    docs_ids, frames = part.column("doc_id").to_pylist(), []
+                    ids, starts = enc.encode(part.column("t"))
+                    for d, (a, b) in zip(docs_ids, pairwise(starts.tolist()), strict=True):
+                        body = struct.pack(PAYLOAD, d is None, d or 0) + ids[a:b].tobytes() + end
                         size = struct.pack("<Q", len(body))
                         frames += [size, struct.pack(FOOT, masked(size)), body, struct.pack(FOOT, masked(body))]
-                        n = len(tokens) // wide + 1
+                        n = b - a + 1
                         index.append((at, n))
                         at += len(body) + HEAD_SIZE + FOOT_SIZE
                         n_ids += n
                     data.write(b"".join(frames))
-                    n_docs += len(ids)
+                    n_docs += len(docs_ids)
                     raw = np.array(index, dtype=INDEX).tobytes()
                     crc = zlib.crc32(raw, crc)
                     idx.write(raw)

@@ -321,6 +321,50 @@ def test_encoders_of_other_tokenizers():
         assert enc([t.encode() for t in texts]) == [enc.pack(tok.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+class Counted:
+    """A tokenizer that counts the strings it is given."""
+
+    def __init__(self, tok):
+        self.tok, self.n = tok, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.n += len(texts)
+        return self.tok.encode_batch_fast(texts, **how)
+
+    def encode(self, text, **how):
+        self.n += 1
+        return self.tok.encode(text, **how)
+
+
+def test_new_words_are_encoded_many_at_once():
+    from tokenizers import Tokenizer
+
+    from ledgerline.llm.queries import tokenizer_path
+
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdeéüßÀX"), 7)) + rng.choice(["", ",", ".)", "***", "!?"]) for _ in range(5000)]
+    texts = [" ".join(words[i : i + 50]) for i in range(0, 5000, 50)]
+    tok, enc = Tokenizer.from_file(tokenizer_path()), token_output.Encoder(tokenizer_path())
+    counted = {k: Counted(x) for k, x in vars(enc).items() if isinstance(x, Tokenizer)}
+    vars(enc).update(counted)
+    assert enc([t.encode() for t in texts]) == [enc.pack(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert sum(x.n for x in counted.values()) < 50
+
+
+def test_odd_texts_are_encoded_as_the_tokenizer_does(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from ledgerline.llm.queries import tokenizer_path
+
+    monkeypatch.setattr(token_output, "CACHE", 100)
+    tok, enc = Tokenizer.from_file(tokenizer_path()), token_output.Encoder(tokenizer_path())
+    rng = np.random.default_rng(3)
+    parts = [*"abzABZéÉüßẞİıſÅÿŸ×÷Σςªº中0129.,!?;:'\"-_#*&(", "\u212a", "\u0301", "\u00a0", "\u2003", "\x1c", "\x85", "\0", "\u200b", "'s", "'T", "<|endoftext|>", "<|EndOfText|>", *" \n\t\r\x0b\x0c" * 3]
+    texts = ["", " ", "<|ENDOFTEXT|>", *("".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(2000))]
+    got = [x for i in range(0, len(texts), 100) for x in enc([t.encode() for t in texts[i : i + 100]])]
+    assert got == [enc.pack(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_tokens_start_where_the_ids_before_end(spark, docs):
     from ledgerline.llm.queries import tokenizer_path
 
