@@ -456,6 +456,68 @@ def test_word_hashes_are_of_the_bytes():
     assert h.tolist() == [int(lm_score.word_hashes(pa.array([w], pa.binary()))[0]) for w in words]
 
 
+def test_token_hashes_are_of_the_words():
+    import pyarrow as pa
+
+    texts = [None, b"", b" ", b"a", b" a  B\tc\n", b"x" * 100_000 + b" y", b"\n\r\x0b\x0c", "é Ünï z".encode(), b"", b"t \x00 \x1f \x85 u", b"  ", None]
+    for lo, hi in ((0, 12), (3, 9), (5, 6), (10, 12), (4, 4)):
+        h, n = lm_score.coded_tokens(pa.array([b"q r", *texts], pa.binary()).slice(1 + lo, hi - lo))
+        words = [lm_score.tokens_of(t) for t in texts[lo:hi]]
+        assert n.tolist() == [len(w) for w in words]
+        assert h.tolist() == [int(lm_score.word_hashes(pa.array([x], pa.binary()))[0]) if x else int(lm_score._EMPTY) for w in words for x in w]
+    keys = np.array([0, 1, 5, 1 << 63, (1 << 64) - 1], np.uint64)
+    assert lm_score.Places(keys).of(np.array([5, 2, (1 << 64) - 1, 0, (1 << 63) + 1, 1 << 63], np.uint64)).tolist() == [2, -1, 4, 0, -1, 3]
+    assert lm_score.Places(keys[:0]).of(keys).tolist() == [-1] * 5
+
+
+def test_lm_gradient_is_the_plain_one_and_takes_less():
+    """The sums by outcome over the whole table, as they once were made, are the plain version."""
+    import time
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    words = np.array([f"u{i}" for i in range(600)])
+    p = 1 / np.arange(1, 601)
+    texts = pa.array([" ".join(rng.choice(words, 300, p=p / p.sum())).encode() for _ in range(60)], pa.binary())
+    keys, counts = np.unique(lm_score.coded_tokens(texts)[0], return_counts=True)
+    keys, counts = keys[counts > 2], counts[counts > 2]
+    paths = [rng.integers(1, lm_score.WIDTH, len(keys)), rng.integers(0, lm_score.WIDTH, len(keys)), rng.integers(0, lm_score.WIDTH, len(keys))]
+    m = lm_score.Model(keys, counts.astype(float), paths, 18_060, 600, 17)
+    m.weights += rng.normal(size=m.weights.shape).astype(np.float32) / 10
+    m.here()
+    size = len(m.weights)
+
+    def plain():
+        out = np.zeros((lm_score.WIDTH, size), np.float32)
+        h, n = lm_score.coded_tokens(texts)
+        for sl, past in lm_score._windows(h, n, 1 << 17):
+            for _, outcome, on in m.steps(m.spots(h)[sl], past):
+                z = np.clip(sum(m.weights[r].astype(float) for r in on), -80, 80)
+                off = -np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+                off[np.arange(len(off)), outcome] += 1
+                off = np.ascontiguousarray(off.T)
+                for r in on:
+                    for j in range(lm_score.WIDTH):
+                        out[j] += np.bincount(r, off[j], size)
+        return out.T
+
+    def new():
+        out = np.zeros((size, lm_score.WIDTH))
+        lm_score.add_gradient(m, texts, out)
+        return out
+
+    def least(f):
+        took = []
+        for _ in range(3):
+            at = time.process_time()
+            f()
+            took.append(time.process_time() - at)
+        return min(took)
+
+    assert np.allclose(new(), plain(), rtol=1e-3, atol=1e-3) and least(new) < 0.8 * least(plain)
+
+
 def test_line_dedup(spark, docs, empty):
     got = line_dedup.line_dedup(docs).collect()
     assert len(got) == len(ROWS) and line_dedup.line_dedup(empty).count() == 0
