@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import materialize, private, slices, spread
+from ledgerline.llm.shared_windows import shared_windows
 
 GRAM = 64
 CHUNK = 1 << 20
@@ -356,8 +357,8 @@ def cut(text: bytes, spans) -> tuple[bytes, int, int]:
     return b"".join(parts), removed, runs
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_id: str = "doc_id", keep_text: bool = True, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every document.
+def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_id: str = "doc_id", keep_text: bool = True, hot: int = HOT, words: int = 0) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept][, n_shared_windows]) for every document.
 
     A byte goes if it is covered by a ``length``-byte string that starts
     anywhere else as well: in another document, a copy, or the same document,
@@ -367,22 +368,29 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_i
     they are long enough; null ids stay; an empty table gives no rows.
     ``kept`` (binary) holds the remaining bytes, which need not be valid UTF-8.
     Texts may be of any length; other columns can't clash.
+    With ``words``, ``n_shared_windows`` is the number of places in a text where
+    that many words start which another document holds too: passages told by
+    words, however few bytes they have. It takes no part in the removal.
     """
     docs = spread(private(docs, doc_id=doc_id, text=text))
     spans = repeated_spans(docs, length, "text", hot)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t"))
-    joined = rows.select("doc_id", "t", F.unhex(F.md5("t")).alias("tk")).join(spans, "tk", "left").select("doc_id", "t", "spans")
+    joined = rows.select("doc_id", "t", F.unhex(F.md5("t")).alias("tk")).join(spans, "tk", "left").select("doc_id", "t", "spans", F.xxhash64("t").alias("key"))
 
     def run(batches):
         for batch in batches:
             for lo in range(0, len(batch), 128):
-                out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")} | ({"kept": []} if keep_text else {})
+                out = {k: [] for k in ("key", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")} | ({"kept": []} if keep_text else {})
                 for r in batch.slice(lo, 128).to_pylist():
                     rest, removed, runs = cut(r["t"], r["spans"])
-                    for k, v in zip(out, (r["doc_id"], len(r["t"]), removed, runs, hashlib.sha256(rest).hexdigest(), rest), strict=False):
+                    for k, v in zip(out, (r["key"], r["doc_id"], len(r["t"]), removed, runs, hashlib.sha256(rest).hexdigest(), rest), strict=False):
                         out[k].append(v)
-                kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
+                kinds = {"key": pa.int64(), "doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, kinds[k]) for k in out]))
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return joined.mapInArrow(run, schema)
+    schema = "key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+    out = joined.mapInArrow(run, schema)
+    if words:
+        shared = shared_windows(docs, words).withColumnRenamed("n", "n_shared_windows")
+        out = out.join(shared, "key", "left").fillna(0, "n_shared_windows")
+    return out.drop("key")

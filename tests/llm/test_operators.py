@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, language_id, line_dedup, lm_score, mixing, pii, quality_rules, simhash, suffix_dedup, token_output
+from ledgerline.llm import decontaminate, language_id, line_dedup, lm_score, mixing, pii, quality_rules, shared_windows, simhash, suffix_dedup, token_output
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, node long"
 
@@ -75,6 +75,52 @@ def test_suffix_dedup_over_a_very_long_text(spark):
     assert got == {1: (500, 1), 2: (500, 1)}
 
 
+def plain_shared(texts, n):
+    """The places in each text where n words start that another of the texts holds too."""
+    rows = [[tuple(w[i : i + n]) for i in range(len(w) - n + 1)] for w in ((t or "").encode().split() for t in texts)]
+    holders = collections.Counter(x for r in rows for x in set(r))
+    return [sum(holders[x] > 1 for x in r) for r in rows]
+
+
+def test_passages_of_over_50_words_are_told_whatever_their_bytes(spark, empty, monkeypatch):
+    rng = np.random.default_rng(11)
+
+    def prose(n, size=4):
+        return ["".join(rng.choice(list("abcdefghij"), rng.integers(1, size + 1))) for _ in range(n)]
+
+    passages = [prose(n) for n in (50, 51, 52, 60, 75, 200)]
+    texts = [LONG, LONG, LONG.replace("w7 ", "x "), None, "", " ", "a b c", "de " * 300, "de " * 60, "é\u00a0ü " * 55]
+    for p in passages:
+        assert len(" ".join(p)) < 400 or len(p) == 200
+        texts += [" ".join([*prose(30), *p, *prose(40)]), "\n".join([*prose(7), *p]), " ".join(p + prose(80))]
+    twice = " ".join(prose(60))
+    texts += [" ".join([twice, *prose(9), twice]), " ".join(prose(400)), " ".join(passages[3]).upper()]  # none of these is shared
+    rows = [(i, t, None, None) for i, t in enumerate(texts)]
+    for words in (51, 5):
+        got = sorted(suffix_dedup.remove_repeats(table(spark, rows), keep_text=False, words=words).collect())
+        assert [r.n_shared_windows for r in got] == plain_shared(texts, words)
+        if words == 51:
+            assert all(r.n_removed == 0 and r.n_shared_windows > 0 for r in got[13:25])
+    raw = [(t or "").encode() for t in texts]
+    whole = [tuple(x.tolist() for x in part) for part in shared_windows.windows(raw, 51)]
+    monkeypatch.setattr(shared_windows, "CHUNK", 70)
+    parts = list(shared_windows.windows(raw, 51))
+    assert len(parts) > 10 and [tuple(np.concatenate(x).tolist() for x in zip(*parts, strict=True))] == whole
+    assert suffix_dedup.remove_repeats(empty, words=51).count() == 0
+    with pytest.raises(ValueError):
+        shared_windows.shared_windows(empty, 0)
+
+
+def test_suffix_dedup_query_tells_short_passages(spark, tmp_path):
+    from ledgerline.llm.queries import QUERIES
+
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "one start " + passage, None, None), (2, passage + " another end", None, None), (3, "alone " * 70, None, None)]  # the third repeats within itself
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(QUERIES["op3_suffix_dedup"](spark, str(tmp_path)).collect())
+    assert [(r.doc_id, r.n_removed, r.n_shared_windows) for r in got] == [(1, 0, 10), (2, 0, 10), (3, 420, 0)]
+
+
 def test_simhash(spark, docs, empty):
     def plain(t):
         w = (t or "").encode().lower().split()
