@@ -2,7 +2,9 @@
 
 Each window of ``words`` words belongs to the run of word grams with the least
 hash in it, its anchor. Equal windows have equal anchors, so only windows under
-an anchor that different texts have can be shared; those are counted.
+an anchor that different texts have can be shared; those are counted. Words are
+what stands between white space; words, windows and, where windows are counted,
+texts are known by 64-bit hashes. Texts may be of any length.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import SPACE_CHARS, materialize, private, slices
+from ledgerline.llm.common import SPACE_CHARS, materialize, slices
 
 WORDS, GRAM = 51, 16
 #: Bytes of text hashed, and words whose windows are made, at a time.
@@ -93,72 +95,54 @@ def windows(texts: list[bytes], words: int = WORDS):
 
 
 def _marks(words: int):
-    """mapInArrow over (key, t): each anchor of a text (key, h), the text's number of windows in one row of its and 0 in others."""
+    """mapInArrow over (tk, key, t): each anchor of a text (tk, key, h), the text's number of windows in one row of its and 0 in others."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "t", 4 << 20):
-                keys = part.column(0).to_numpy()
-                seen = np.full(len(keys), 0)
+                seen = np.zeros(len(part), np.int64)
                 owners, anchors = [], []
-                for own, _, anchor in windows(part.column(1).to_pylist(), words):
-                    seen += np.bincount(own, minlength=len(keys))
+                for own, _, anchor in windows(part.column(2).to_pylist(), words):
+                    seen += np.bincount(own, minlength=len(part))
                     first = np.flatnonzero((np.diff(own, prepend=-1) != 0) | (np.diff(anchor, prepend=np.uint64(0)) != 0))
                     owners.append(own[first])
                     anchors.append(anchor[first])
                 if owners and len(own := np.concatenate(owners)):
                     count = np.where(np.diff(own, prepend=-1) != 0, seen[own], 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(np.concatenate(anchors).view(np.int64)), pa.array(count)], names=["key", "h", "n"])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), pa.array(np.concatenate(anchors).view(np.int64)), pa.array(count)], names=["tk", "key", "h", "n"])
 
     return run
 
 
-def _candidates(words: int):
-    """mapInArrow over (key, t, hs): the windows of each text under the anchors hs, (w, key, places)."""
+def shared_anchors(keyed: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """(tk, hs): the anchors of each text that other texts have too; (key, n): the number of windows of each text that occurs more than once.
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "t", 4 << 20):
-                keys, lists = part.column(0).to_numpy(), part.column(2)
-                sizes = np.diff(lists.offsets.to_numpy())
-                with np.errstate(over="ignore"):
-                    salt = np.arange(len(keys), dtype=np.uint64) * _ODD[0]
-                    wanted = np.unique(lists.flatten().to_numpy().view(np.uint64) ^ np.repeat(salt, sizes))
-                for own, w, anchor in windows(part.column(1).to_pylist(), words):
-                    some = np.isin(anchor ^ salt[own], wanted)
-                    own, w = own[some], w[some]
-                    order = np.lexsort((w, own))
-                    own, w = own[order], w[order]
-                    new = np.flatnonzero((np.diff(own, prepend=-1) != 0) | (np.diff(w, prepend=np.uint64(0)) != 0))
-                    if len(new):
-                        yield pa.RecordBatch.from_arrays([pa.array(w[new].view(np.int64)), pa.array(keys[own[new]]), pa.array(np.diff(new, append=len(own)))], names=["w", "key", "n"])
-
-    return run
-
-
-def shared_windows(docs: DataFrame, words: int = WORDS, text: str = "text") -> DataFrame:
-    """(key, n) for each distinct text with windows of ``words`` words that another document holds too.
-
-    key is the XXH64 of the text, n the number of places in it where such a
-    window starts. Words are what stands between white space, and are compared
-    by 64-bit hashes; copies of a text are other documents. Null texts have no
-    words. Texts may be of any length.
+    ``keyed`` is (tk, key, t): the MD5 of a text, its XXH64 and its bytes.
     """
     if words < 1:
         raise ValueError("words must be 1 or more")
-    rows = private(docs, t=text).select(F.col("t").cast("binary").alias("t")).where(F.octet_length("t") >= 2 * words - 1)
-    keyed = rows.select(F.xxhash64("t").alias("key"), "t")
-    marks = materialize(keyed.mapInArrow(_marks(words), "key long, h long, n long"), "shared-anchors")
+    long_enough = keyed.select("tk", "key", "t").where(F.octet_length("t") >= 2 * words - 1)
+    marks = materialize(long_enough.mapInArrow(_marks(words), "tk binary, key long, h long, n long"), "shared-anchors")
     often = marks.groupBy("h").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("h")
     often = materialize(often, "shared-often")
-    wanted = marks.join(F.broadcast(often) if often.count() <= BROADCAST_KEYS else often, "h").groupBy("key").agg(F.collect_set("h").alias("hs"))
-    wanted = materialize(wanted, "shared-wanted")
-    some = wanted.select("key")
-    texts = keyed.join(F.broadcast(some) if some.count() <= BROADCAST_KEYS else some, "key", "left_semi").groupBy("key").agg(F.first("t").alias("t"))
-    held = texts.join(wanted, "key").select("key", "t", "hs").mapInArrow(_candidates(words), "w long, key long, n long")
-    both = held.repartition("w").sortWithinPartitions("w").mapInArrow(_shared, "key long, n long")
+    wanted = marks.join(F.broadcast(often) if often.count() <= BROADCAST_KEYS else often, "h").groupBy("tk").agg(F.collect_set("h").alias("hs"))
     copied = marks.where("n > 0").groupBy("key").agg(F.count("*").alias("copies"), F.max("n").alias("n")).where("copies > 1").select("key", "n")
-    return both.groupBy("key").agg(F.sum("n").alias("n")).unionByName(copied).groupBy("key").agg(F.max("n").alias("n"))
+    return wanted, copied
+
+
+def candidates(text: bytes, hs: list[int], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, places) of each distinct window of ``text`` under the anchors ``hs``."""
+    wanted = np.array(hs, np.int64).view(np.uint64)
+    found = [w[np.isin(anchor, wanted)] for _, w, anchor in windows([text], words)]
+    w, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return w.view(np.int64), n
+
+
+def _rows(batches):
+    """Over (key, ws, ns): one row for each window, (w, key, n)."""
+    for batch in batches:
+        keys, ws, ns = batch.columns
+        yield pa.RecordBatch.from_arrays([ws.flatten(), pa.array(np.repeat(keys.to_numpy(), np.diff(ws.offsets.to_numpy()))), ns.flatten()], names=["w", "key", "n"])
 
 
 def _shared(batches):
@@ -186,3 +170,16 @@ def _shared(batches):
             yield close(*(np.concatenate(x) for x in zip(*ready, strict=True)))
     if last:
         yield close(*(np.concatenate(x) for x in zip(*last, strict=True)))
+
+
+def count_shared(held: DataFrame, copied: DataFrame) -> DataFrame:
+    """(key, n): the places in each text where a window starts that another text or copy holds too.
+
+    ``held`` is (key, ws, ns), the candidates of each text; ``copied`` is as
+    ``shared_anchors`` gives it, and tells all the windows of a text that occurs
+    more than once, whatever ``held`` repeats of it.
+    """
+    rows = held.where("ws is not null").select("key", "ws", "ns").mapInArrow(_rows, "w long, key long, n long")
+    both = rows.repartition("w").sortWithinPartitions("w").mapInArrow(_shared, "key long, n long")
+    summed = both.groupBy("key").agg(F.sum("n").alias("n")).select("key", F.struct(F.lit(0).alias("all"), "n").alias("x"))
+    return summed.unionByName(copied.select("key", F.struct(F.lit(1).alias("all"), "n").alias("x"))).groupBy("key").agg(F.max("x").alias("x")).select("key", "x.n")

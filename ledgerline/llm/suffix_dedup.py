@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import materialize, private, slices, spread
-from ledgerline.llm.shared_windows import shared_windows
+from ledgerline.llm.shared_windows import candidates, count_shared, shared_anchors
 
 GRAM = 64
 CHUNK = 1 << 20
@@ -375,22 +375,36 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_i
     docs = spread(private(docs, doc_id=doc_id, text=text))
     spans = repeated_spans(docs, length, "text", hot)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t"))
-    joined = rows.select("doc_id", "t", F.unhex(F.md5("t")).alias("tk")).join(spans, "tk", "left").select("doc_id", "t", "spans", F.xxhash64("t").alias("key"))
+    rows = rows.select("doc_id", "t", F.unhex(F.md5("t")).alias("tk"), F.xxhash64("t").alias("key"))
+    if words:
+        wanted, copied = shared_anchors(rows, words)
+        spans = spans.join(wanted, "tk", "full")
+    joined = rows.join(spans, "tk", "left").select("doc_id", "t", "spans", *["key", "hs"] * bool(words))
+    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept": pa.binary()} if keep_text else {})
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+    if words:
+        kinds |= {"key": pa.int64(), "ws": pa.list_(pa.int64()), "ns": pa.list_(pa.int64())}
+        schema += ", key long, ws array<long>, ns array<long>"
 
     def run(batches):
+        before = None
         for batch in batches:
             for lo in range(0, len(batch), 128):
-                out = {k: [] for k in ("key", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")} | ({"kept": []} if keep_text else {})
+                out = {k: [] for k in kinds}
                 for r in batch.slice(lo, 128).to_pylist():
                     rest, removed, runs = cut(r["t"], r["spans"])
-                    for k, v in zip(out, (r["key"], r["doc_id"], len(r["t"]), removed, runs, hashlib.sha256(rest).hexdigest(), rest), strict=False):
+                    values = [r["doc_id"], len(r["t"]), removed, runs, hashlib.sha256(rest).hexdigest(), *[rest] * keep_text]
+                    if words:
+                        # copies mostly stand together; one of them tells their windows
+                        values += [r["key"], *(candidates(r["t"], r["hs"], words) if r["hs"] and r["key"] != before else (None, None))]
+                        before = r["key"]
+                    for k, v in zip(out, values, strict=True):
                         out[k].append(v)
-                kinds = {"key": pa.int64(), "doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, kinds[k]) for k in out]))
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema(list(kinds.items())))
 
-    schema = "key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
     out = joined.mapInArrow(run, schema)
     if words:
-        shared = shared_windows(docs, words).withColumnRenamed("n", "n_shared_windows")
-        out = out.join(shared, "key", "left").fillna(0, "n_shared_windows")
-    return out.drop("key")
+        out = materialize(out, "suffix-shared")
+        shared = count_shared(out, copied).withColumnRenamed("n", "n_shared_windows")
+        out = out.drop("ws", "ns").join(shared, "key", "left").drop("key").fillna(0, "n_shared_windows")
+    return out

@@ -108,7 +108,7 @@ def test_passages_of_over_50_words_are_told_whatever_their_bytes(spark, empty, m
     assert len(parts) > 10 and [tuple(np.concatenate(x).tolist() for x in zip(*parts, strict=True))] == whole
     assert suffix_dedup.remove_repeats(empty, words=51).count() == 0
     with pytest.raises(ValueError):
-        shared_windows.shared_windows(empty, 0)
+        suffix_dedup.remove_repeats(empty, words=-1)
 
 
 def test_suffix_dedup_query_tells_short_passages(spark, tmp_path):
