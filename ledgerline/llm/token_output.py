@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from itertools import pairwise
+from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +28,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import materialize, scratch_path, slices
+from ledgerline.llm.pair_merges import LONGEST, PairMerges
 
 #: Encoded words that stay of a process's table when it has twice as many; those not met lately drop out.
 CACHE = 400_000
-#: Plain words that are encoded as one string.
-JOINT = 512
 #: Bytes of text that are split at once, about.
 SLICE = 8 << 20
 HEAD, FOOT, PAYLOAD = "<QI", "<I", "<Bq"
@@ -54,24 +53,59 @@ def _strings(words: pa.Array) -> list[str]:
     return words.to_numpy(zero_copy_only=False).tolist()
 
 
+#: Kinds of bytes in case-folded words: letters of ASCII and Latin-1 (both bytes of these), ASCII marks, and the rest. A byte that continues a letter follows 0xC3, or else one of the rest.
+LETTER, MARK, OTHER = 0, 1, 2
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[[*range(0x61, 0x7B), 0xC3, *(x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7))]] = LETTER
+KINDS[[x for x in range(0x21, 0x7F) if not chr(x).isalnum()]] = MARK
+#: Bytes of plain words in lower case.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x80:0x9F] += 0x20
+
+
+def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the bytes of strings one after the other, where each begins and the last ends)."""
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, np.int32, len(words) + 1, 4 * words.offset).astype(np.int64)
+    return np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def _plain(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which words are letters with closing marks or without, where the marks of each begin)."""
+    kinds = KINDS[data]
+    marks = np.concatenate([[0], np.cumsum(kinds == MARK)])
+    # what can't stand where it does: the rest anywhere, a letter after a mark, a mark first
+    wrong = kinds == OTHER
+    wrong[1:] |= (kinds[1:] == LETTER) & (kinds[:-1] == MARK)
+    start = ends[:-1][ends[1:] > ends[:-1]]
+    wrong[start] = kinds[start] != LETTER
+    wrong = np.concatenate([[0], np.cumsum(wrong)])
+    begin = ends[1:] - (marks[ends[1:]] - marks[ends[:-1]])
+    fits = (begin > ends[:-1]) & (begin - ends[:-1] <= LONGEST) & (ends[1:] - begin <= LONGEST)
+    return fits & (wrong[ends[1:]] == wrong[ends[:-1]]), begin
+
+
+def _gather(ids: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(runs of ``n`` ids from ``first`` on, one after the other; where each begins and the last ends)."""
+    at = np.concatenate([[0], np.cumsum(n)])
+    return ids[np.repeat(first - at[:-1], n) + np.arange(at[-1])], at
+
+
 class Encoder:
-    """Encodes whole texts to ids; words met lately come from a bounded table.
+    """Encodes whole texts to ids; odd words met lately come from a bounded table.
 
     Of a tokenizer whose normalizer and splitter never join what ASCII white
     space parts, a text's ids are its words' ids in order; ``_wordwise`` tries
     that on a probe, and texts of any other tokenizer are encoded whole. Arrow
-    splits the texts and finds the distinct words; those not in the table are
-    encoded. A word of Latin-1 letters with closing marks is two pieces, the
-    letters and the marks, for a tokenizer that folds case and splits at the
-    end of letters. If its pieces end in ids that end nothing else (``_joint``
-    tries it), many such words are encoded as one string, by the model alone,
-    and parted at these ids. Other words are encoded one by one as they stand,
-    and texts that hold a marker of a special token in one call.
+    splits the texts and finds the distinct words. A word of Latin-1 letters
+    with closing marks is two pieces, the letters and the marks, for a
+    tokenizer that folds case and splits at the end of letters. If its model is
+    plain byte-level BPE (``_merges`` tries it), the pieces are encoded all at
+    once by ``PairMerges``. Other words are encoded one by one as they stand if
+    the table doesn't have them, and texts that hold a marker of a special
+    token in one call.
     """
 
-    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-    LETTERS, CLOSING = "[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+", f"[{re.escape(MARKS)}]"
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -84,8 +118,7 @@ class Encoder:
         self.ids, self.ends, self.met, self.calls = np.zeros(0, self.kind), np.zeros(1, np.int64), np.zeros(0, np.int64), 0
         self.folds = all(self._whole(x) == self._whole(x.lower()) for x in ("WORD Étude", "Some Words, MORE"))
         self.wordwise = self._wordwise()
-        self.last = np.zeros(0, bool)
-        self.joint = self._joint() if self.folds and self.wordwise else None
+        self.merges = self._merges() if self.folds and self.wordwise else None
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -102,25 +135,23 @@ class Encoder:
         words = (probe.encode().lower() if self.folds else probe.encode()).split()
         return self._whole(probe) == [i for w in words for i in self._whole(w.decode())]
 
-    def _joint(self):
-        """The model behind a split at spaces and a byte-level step alone, if that gives plain words the same ids, the last of each marked as such; else None."""
-        from tokenizers import Tokenizer
-
+    def _merges(self) -> PairMerges | None:
+        """The model's merges, if they give plain words the tokenizer's ids; else None."""
         form = json.loads(self.tok.to_str())
-        suffix = form["model"].get("end_of_word_suffix")
-        if not suffix or "ByteLevel" not in json.dumps(form.get("pre_tokenizer")):
+        if "ByteLevel" not in json.dumps(form.get("pre_tokenizer")):
+            return None
+        try:
+            merges = PairMerges(form["model"])
+        except ValueError:
             return None
-        bytewise = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        form |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytewise]}, "post_processor": None, "added_tokens": []}
-        joint = Tokenizer.from_str(json.dumps(form))
-        vocab = self.tok.get_vocab()
-        self.last = np.zeros(max(vocab.values()) + 1, bool)
-        self.last[[i for x, i in vocab.items() if x.endswith(suffix)]] = True
-        tries = ("word", "étude", "straße", "zx" * 20)
-        marks = [*self.MARKS, *(x * 3 for x in self.MARKS), *(f"{x}{y}" for x in self.MARKS for y in self.MARKS)]
-        both = [(f"{x}., A{x.upper().replace('SS', 'ß')}!", f"{x} ., a{x} !") for x in tries] + [(f"{x}{m} {x}", f"{x} {m} {x}") for x in tries[:2] for m in marks]
-        same = all((ids := joint.encode(b).ids) == self._whole(a) and self.last[ids].sum() == len(b.split()) for a, b in both)
-        return joint if same else None
+        letters, marks = "aàbcçdeéèfghiîjklmnñoöpqrsßtuüvwxyÿzÀÉÖÞ", [chr(x) for x in np.flatnonzero(KINDS == MARK)]
+        rng = Random(0)
+        words = ["word", "étude", "straße", "zx" * 20, *("".join(rng.choices(letters, k=1 + i % 24)) for i in range(600))]
+        words += [f"{x}{m}" for x in words[:2] for m in [*marks, *(x * 3 for x in marks), *(x + y for x in marks for y in marks)]]
+        data, ends = _bytes(pa.array(words))
+        plain, begin = _plain(data, ends)
+        ids, n = self._together(merges, data, ends[:-1], begin, ends[1:])
+        return merges if plain.all() and [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [self._whole(w) for w in words] else None
 
     def pack(self, ids: list[int]) -> bytes:
         """Little-endian ids in the width of the vocabulary."""
@@ -131,41 +162,51 @@ class Encoder:
         got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         return np.array([i for ids in got for i in ids], self.kind), np.array([len(ids) for ids in got], np.int64)
 
-    def _together(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids of each) of plain words, encoded many in a string."""
-        parted = pc.replace_substring_regex(words, f"({self.CLOSING}+)$", " \\1")
-        pieces = 1 + pc.subtract(pc.binary_length(parted), pc.binary_length(words)).to_numpy(zero_copy_only=False)
-        runs = pa.ListArray.from_arrays(pa.array([*range(0, len(words), JOINT), len(words)], pa.int32()), pc.utf8_lower(parted))
-        got = self.joint.encode_batch_fast(pc.binary_join(runs, " ").to_pylist(), add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids, self.kind) for e in got])
-        cuts = np.flatnonzero(self.last[ids]) + 1
-        if len(cuts) != pieces.sum():  # an id is missing or not marked
-            return self._each(_strings(words))
-        return ids, np.diff(cuts[np.cumsum(pieces) - 1], prepend=0)
-
-    def _learn(self, words: pa.Array) -> np.ndarray:
+    @staticmethod
+    def _together(merges: PairMerges, data: np.ndarray, first: np.ndarray, begin: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of plain words: letters from ``first`` to ``begin``, marks from there to ``last``."""
+        two = last > begin
+        ends = np.cumsum(1 + two)
+        pieces, sizes = np.repeat(first, 1 + two), np.repeat(begin - first, 1 + two)
+        pieces[ends[two] - 1], sizes[ends[two] - 1] = begin[two], (last - begin)[two]
+        ids, n = merges.encode(LOWER[data], pieces, sizes)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(n)])[ends], prepend=0)
+
+    def _learn(self, words: list[str]) -> np.ndarray:
         """Adds words to the table; returns their rows."""
-        plain = np.zeros(len(words), bool)
-        if self.joint:
-            plain = pc.match_substring_regex(words, f"^{self.LETTERS}{self.CLOSING}*$").to_numpy(zero_copy_only=False)
-        rows = np.zeros(len(words), np.int64)
-        for chosen, encode in ((plain, self._together), (~plain, lambda x: self._each(_strings(x)))):
-            at = np.flatnonzero(chosen)
-            if not len(at):
-                continue
-            part = words.take(pa.array(at))
-            ids, n = encode(part)
-            rows[at] = np.arange(len(self.rows), len(self.rows) + len(at))
-            self.rows.update(zip(_strings(part), rows[at].tolist(), strict=True))
-            self.ids = np.concatenate([self.ids, ids])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
+        ids, n = self._each(words)
+        rows = np.arange(len(self.rows), len(self.rows) + len(words))
+        self.rows.update(zip(words, rows.tolist(), strict=True))
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
+        self.met = np.concatenate([self.met, np.zeros(len(words), np.int64)])
         return rows
 
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where those of each word begin, number of ids of each)."""
+        plain, ids = np.zeros(len(words), bool), np.zeros(0, self.kind)
+        first, n = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        if self.merges:
+            data, ends = _bytes(words)
+            plain, begin = _plain(data, ends)
+            ids, n[plain] = self._together(self.merges, data, ends[:-1][plain], begin[plain], ends[1:][plain])
+            first[plain] = np.cumsum(n[plain]) - n[plain]
+        odd = np.flatnonzero(~plain)
+        if len(odd):
+            strings = _strings(words.take(pa.array(odd)))
+            rows = np.array([self.rows.get(w, -1) for w in strings], np.int64)
+            new = np.flatnonzero(rows < 0)
+            if len(new):
+                rows[new] = self._learn([strings[i] for i in new.tolist()])
+            self.met[rows] = self.calls
+            more, at = self._fetch(rows)
+            first[odd], n[odd] = len(ids) + at[:-1], np.diff(at)
+            ids = np.concatenate([ids.astype(self.kind), more])
+        return ids.astype(self.kind, copy=False), first, n
+
     def _fetch(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of rows one after the other, where each row's begin and the last's end)."""
-        first = self.ends[rows]
-        at = np.concatenate([[0], np.cumsum(self.ends[rows + 1] - first)])
-        return self.ids[np.repeat(first - at[:-1], np.diff(at)) + np.arange(at[-1])], at
+        return _gather(self.ids, self.ends[rows], self.ends[rows + 1] - self.ends[rows])
 
     def _forget(self) -> None:
         """Leaves the CACHE words met last."""
@@ -189,13 +230,9 @@ class Encoder:
             marked |= pc.match_substring(texts, x, ignore_case=self.folds).to_numpy(zero_copy_only=False)
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if self.folds else texts)
         found = split.flatten().dictionary_encode()
-        rows = np.array([self.rows.get(w, -1) for w in _strings(found.dictionary)], np.int64)
-        new = np.flatnonzero(rows < 0)
-        if len(new):
-            rows[new] = self._learn(found.dictionary.take(pa.array(new)))
-            self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
-        self.met[rows] = self.calls
-        ids, at = self._fetch(rows[found.indices.to_numpy()])
+        ids, first, n = self._distinct(found.dictionary)
+        words = found.indices.to_numpy()
+        ids, at = _gather(ids, first[words], n[words])
         at = at[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])]
         if marked.any():
             parts = [self._whole(texts[i].as_py()) if m else ids[at[i] : at[i + 1]] for i, m in enumerate(marked.tolist())]

@@ -397,6 +397,46 @@ def test_new_words_are_encoded_many_at_once():
     assert sum(x.n for x in counted.values()) < 50
 
 
+def test_plain_words_are_encoded_without_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    from ledgerline.llm.queries import tokenizer_path
+
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdeéüßÀXthing"), rng.integers(1, 33))) + rng.choice(["", ",", ".)", "***", "!?"]) for _ in range(3000)]
+    texts = [" ".join(words[i : i + 50]) for i in range(0, 3000, 50)]
+    texts += ["  " + "x" * n + "!" * m + "\n" for n in (1, 63) for m in (0, 1, 64)]
+    tok, enc = Tokenizer.from_file(tokenizer_path()), token_output.Encoder(tokenizer_path())
+    counted = {k: Counted(x) for k, x in vars(enc).items() if isinstance(x, Tokenizer)}
+    vars(enc).update(counted)
+    assert enc([t.encode() for t in texts]) == [enc.pack(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert sum(x.n for x in counted.values()) <= 1  # the empty word before the white space that a text begins with
+
+
+def test_pair_merges_join_the_lowest_rank_first_and_the_leftmost_of_these():
+    from tokenizers import Tokenizer, models
+
+    from ledgerline.llm import pair_merges
+
+    rng = np.random.default_rng(5)
+    for end in ("", "</w>"):
+        vocab = {c + e: None for e in ("", end) for c in pair_merges.byte_chars()}
+        merges = []
+        while len(merges) < 300:  # drawn at random, so that a string has several ways and a later merge may come before one of its parts
+            a, b = (str(x) for x in rng.choice([x for x in vocab if set(x.removesuffix(end) if end else x) <= set("abc")], 2))
+            if not (end and a.endswith(end)) and (a, b) not in merges and len(a + b) < 20:
+                merges.append((a, b))
+                vocab[a + b] = None
+        rng.shuffle(merges)
+        merges = [(str(a), str(b)) for a, b in merges]
+        vocab = {x: i for i, x in enumerate(vocab)}
+        tok = Tokenizer(models.BPE(vocab, merges, **({"end_of_word_suffix": end} if end else {})))
+        words = ["".join(rng.choice(list("abc"), rng.integers(1, 65))) for _ in range(500)] + ["a" * n for n in range(1, 65)]
+        size = np.array([len(w) for w in words])
+        ids, n = pair_merges.PairMerges({"type": "BPE", "vocab": vocab, "merges": merges, "end_of_word_suffix": end}).encode(np.frombuffer("".join(words).encode(), np.uint8), np.cumsum(size) - size, size)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [tok.encode(w).ids for w in words]
+
+
 def test_odd_texts_are_encoded_as_the_tokenizer_does(monkeypatch):
     from tokenizers import Tokenizer
 
